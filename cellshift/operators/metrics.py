@@ -23,6 +23,7 @@ from cellshift.functions.moments import (
 )
 from cellshift.functions.numbers import ratio
 from cellshift.operators.quantiles import exact_quantile
+from cellshift.session import written
 
 RESPONSE_METRICS = (
     "fc_pcc",
@@ -86,29 +87,30 @@ def axis_medians(scores: DataFrame, by: Sequence[str], prefix: str, bounded_axis
     """Median PCC and R2 over the axis.
 
     Proteins are the columns of the matrix, so their exact percentile fits one
-    buffer; samples are unbounded and use the two-pass exact quantile.
+    buffer; samples are unbounded and use the two-pass exact quantile, both
+    scores in the same two passes.
     """
+    by = list(by)
+    names = {"pcc": f"{prefix}_pcc_median", "r2": f"{prefix}_r2_median"}
     if bounded_axis:
-        return scores.groupBy(*by).agg(
-            F.percentile("pcc", 0.5).alias(f"{prefix}_pcc_median"),
-            F.percentile("r2", 0.5).alias(f"{prefix}_r2_median"),
-            F.count("r2").alias(f"n_evaluable_{prefix.split('_')[-1]}s"),
-        )
-    pcc = exact_quantile(scores, by, "pcc", 0.5, f"{prefix}_pcc_median")
-    r2 = exact_quantile(scores, by, "r2", 0.5, f"{prefix}_r2_median")
-    if not by:
-        return pcc.withColumn(f"{prefix}_r2_median", r2.scalar())
-    return pcc.join(r2, list(by), "full_outer")
+        return scores.groupBy(*by).agg(*[F.percentile(kind, 0.5).alias(name) for kind, name in names.items()])
+    long = scores.unpivot(by, ["pcc", "r2"], "_kind", "_score")
+    medians = exact_quantile(long, [*by, "_kind"], "_score", 0.5, "_median")
+    return medians.groupBy(*by).agg(*[F.max(F.when(F.col("_kind") == kind, F.col("_median"))).alias(name) for kind, name in names.items()])
 
 
 def absolute_fidelity(cells: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Counts and the four medians of one absolute table, per group."""
+    """Counts and the four medians of one absolute table, per group.
+
+    The per-sample scores are a thousandth of the cells; they are written once
+    because the counts and both quantile passes read them.
+    """
     by = list(by)
-    sample = axis_medians(axis_scores(cells, by, "sample_id"), by, "absolute_sample", bounded_axis=False)
-    protein = axis_medians(axis_scores(cells, by, "protein"), by, "absolute_protein", bounded_axis=True).drop("n_evaluable_proteins")
-    counts = cells.groupBy(*by).agg(
-        F.countDistinct("sample_id").alias("absolute_n_samples"),
-        F.count(F.when(F.col("m").isNotNull() & F.col("y").isNotNull(), F.lit(1))).alias("absolute_n_observed_values"),
+    per_sample = written(axis_scores(cells, by, "sample_id"), "sample-scores")
+    sample = axis_medians(per_sample, by, "absolute_sample", bounded_axis=False)
+    protein = axis_medians(axis_scores(cells, by, "protein"), by, "absolute_protein", bounded_axis=True)
+    counts = per_sample.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("absolute_n_samples"), F.sum("n_values").alias("absolute_n_observed_values")
     )
     return counts.join(sample, by, "left").join(protein, by, "left")
 
