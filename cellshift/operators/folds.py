@@ -7,9 +7,10 @@ from two counts: all rows of the entity and its excluded rows in that fold.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,37 +38,52 @@ def balanced_group_folds(rows: DataFrame, group: str, folds: int, seed: object)
     return ranked.select(group, "n", snake_fold(F.col("rank"), folds).alias("fold"))
 
 
+def deal_equal_groups(loads: list[int], size: int, groups: int) -> list[int]:
+    """How many of ``groups`` equal groups each fold gets when the least loaded fold always takes the next.
+
+    The picks are the ``groups`` smallest values among ``load + j * size``, so a
+    search for the last level replaces the walk over single groups.
+    """
+    below = lambda level: [max(0, -((load - level) // size)) for load in loads]
+    low, high = min(loads), max(loads) + size * (groups + 1)
+    while low + 1 < high:
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(below(middle)) <= groups else (low, middle)
+    counts = below(low)
+    left = groups - sum(counts)
+    for fold, load in enumerate(loads):
+        if left and load + counts[fold] * size == low:
+            counts[fold] += 1
+            left -= 1
+    return counts
+
+
 def greedy_group_folds(rows: DataFrame, group: str, folds: int, seed: object) -> DataFrame:
     """Exact greedy balance: each group, largest first, goes to the least loaded fold.
 
-    The walk is sequential over *distinct group sizes*: groups of one size
-    are interchangeable, so the state is (size, how many groups) - at most about
-    ``sqrt(2 * rows)`` entries - and one array fold computes for every size how
-    many of its groups each fold receives.  Groups then pick their place by rank.
+    Groups of one size are interchangeable, so the sequential part only sees the
+    histogram of group sizes - at most about ``sqrt(2 * rows)`` distinct sizes -
+    and says how many groups of each size every fold takes.  The groups then
+    find their fold by their place among groups of the same size.
     """
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"))
     ranked = hash_rank(sizes, group, seed, by=["n"], out="_place")
     histogram = sizes.groupBy("n").agg(F.count(F.lit(1)).alias("groups"))
-    steps = histogram.agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("neg"), "groups"))).alias("steps"))
-    zero = F.struct(
-        F.array_repeat(F.lit(0).cast("bigint"), folds).alias("load"),
-        F.array().cast("array<struct<n:bigint,place:bigint,fold:bigint>>").alias("plan"),
-    )
-
-    def deal_one(n: Column, state: Column, place: Column) -> Column:
-        target = F.array_position(state["load"], F.array_min(state["load"])) - 1
-        load = F.transform(state["load"], lambda value, i: F.when(i == target, value + n).otherwise(value))
-        entry = F.struct(n.alias("n"), place.cast("bigint").alias("place"), target.cast("bigint").alias("fold"))
-        return F.struct(load.alias("load"), F.concat(state["plan"], F.array(entry)).alias("plan"))
 
-    def deal_size(state: Column, step: Column) -> Column:
-        n = (-step["neg"]).cast("bigint")
-        return F.aggregate(F.sequence(F.lit(1), step["groups"].cast("int")), state, lambda acc, i: deal_one(n, acc, i))
-
-    plan = steps.select(F.explode(F.aggregate("steps", zero, deal_size)["plan"]).alias("e")).select(
-        F.col("e.n").alias("n"), F.col("e.place").alias("_place"), F.col("e.fold").alias("fold")
-    )
-    return ranked.join(plan, ["n", "_place"]).select(group, "n", "fold")
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = pd.concat(list(batches)).sort_values("n", ascending=False)
+        loads, out = [0] * folds, []
+        for size, groups in zip(table["n"].tolist(), table["groups"].tolist(), strict=True):
+            place = 0
+            for fold, count in enumerate(deal_equal_groups(loads, size, groups)):
+                if count:
+                    out.append((size, fold, place + 1, place + count))
+                place += count
+                loads[fold] += size * count
+        yield pd.DataFrame(out, columns=["n", "fold", "_from", "_to"])
+
+    plan = histogram.repartition(1).mapInPandas(deal, "n bigint, fold bigint, _from bigint, _to bigint")
+    return ranked.join(plan, "n").filter(F.col("_place").between(F.col("_from"), F.col("_to"))).select(group, "n", "fold")
 
 
 def nested_group_folds(rows: DataFrame, context: str, group: str, folds: int, seed: object) -> DataFrame:
