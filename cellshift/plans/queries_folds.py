@@ -427,12 +427,12 @@ def f15(star: Star) -> DataFrame:
 @query(
     "f16_inner_folds",
     """
-WITH outer_fit AS (SELECT k AS outer_fold, sample_id, chemical || '' AS chemical, kind FROM v_axis CROSS JOIN (SELECT unnest(range(4)) AS k) WHERE cf IS NULL OR cf <> k),
- sizes AS (SELECT outer_fold, chemical, count(*) AS n FROM outer_fit WHERE kind = 'treatment' GROUP BY 1, 2),
- inner_fold AS (SELECT outer_fold, chemical, CASE WHEN ((rn - 1) // 2) % 2 = 0 THEN (rn - 1) % 2 ELSE 1 - (rn - 1) % 2 END AS fold
-   FROM (SELECT *, row_number() OVER (PARTITION BY outer_fold ORDER BY n DESC, md5('inner|' || chemical)) AS rn FROM sizes))
-SELECT outer_fold, fold AS inner_fold, count(*) AS n_candidates, count(DISTINCT chemical) AS n_chemicals, CAST(0 AS BIGINT) AS n_outside
-FROM outer_fit JOIN inner_fold USING (outer_fold, chemical) WHERE kind = 'treatment' GROUP BY 1, 2
+WITH sizes AS (SELECT outer_fold, chemical, n FROM (SELECT chemical, cf, count(*) AS n FROM v_axis WHERE kind = 'treatment' GROUP BY 1, 2)
+   CROSS JOIN (SELECT unnest(range(4)) AS outer_fold) WHERE cf <> outer_fold),
+ inner_fold AS (SELECT outer_fold, chemical, n, CASE WHEN ((rn - 1) // 2) % 2 = 0 THEN (rn - 1) % 2 ELSE 1 - (rn - 1) % 2 END AS fold
+   FROM (SELECT outer_fold, chemical, n, row_number() OVER (PARTITION BY outer_fold ORDER BY n DESC, md5('inner|' || chemical)) AS rn FROM sizes))
+SELECT outer_fold, fold AS inner_fold, CAST(sum(n) AS BIGINT) AS n_candidates, count(*) AS n_chemicals, CAST(0 AS BIGINT) AS n_outside
+FROM inner_fold GROUP BY 1, 2
 """,
 )
 def f16(star: Star) -> DataFrame:
