@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import cellshift.plans.views  # noqa: F401
-from cellshift.plans import queries_contracts, queries_entities, queries_folds, queries_metrics  # noqa: F401
+from cellshift.plans import queries_contracts, queries_entities, queries_features, queries_folds, queries_metrics  # noqa: F401
 from cellshift.plans.registry import ORACLES, QUERIES, resolved_sql
 
 
