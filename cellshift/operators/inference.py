@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from cellshift.functions.numbers import hash_int, ratio
 from cellshift.operators.metrics import merged_moments, response_moments, scores_from_moments
 from cellshift.operators.ranking import hash_rank
+from cellshift.session import written
 
 
 # --------------------------------------------------------------------- resampling
@@ -40,6 +41,8 @@ def bootstrap_means(units: DataFrame, by: Sequence[str], unit: str, value: str,
     """
     by = list(by)
     usable = units.select(*by, F.col(unit).cast("string").alias("_unit"), F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    # One row per unit, but usually the end of a long plan over cells: stored once, read by every branch below.
+    usable = written(usable, "bootstrap-units")
     ranked = _ranked_units(usable, by, "_unit", seed)
     picks = draw_picks(ranked, by, draws, seed)
     chosen = picks.join(ranked.select(*by, F.col("_rank").alias("pick"), "_v"), [*by, "pick"])

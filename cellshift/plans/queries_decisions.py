@@ -547,9 +547,10 @@ def l06(star: Star) -> DataFrame:
 @query(
     "l07_expert_scale_selection",
     """
-WITH d AS (SELECT x.axis, x.scale, x.scenario, x.fc_pcc, x.fc_pcc - b.fc_pcc AS df, CASE x.axis WHEN 'strain' THEN x.context_residual_pcc - b.context_residual_pcc WHEN 'chemical' THEN x.drug_residual_pcc - b.drug_residual_pcc
+WITH bad AS (SELECT DISTINCT axis FROM v_screen_rows WHERE fc_pcc IS NULL OR high_effect_pcc IS NULL OR high_effect_f1 IS NULL OR (axis <> 'chemical' AND context_residual_pcc IS NULL) OR (axis <> 'strain' AND drug_residual_pcc IS NULL)),
+ d AS (SELECT x.axis, x.scale, x.scenario, x.fc_pcc, x.fc_pcc - b.fc_pcc AS df, CASE x.axis WHEN 'strain' THEN x.context_residual_pcc - b.context_residual_pcc WHEN 'chemical' THEN x.drug_residual_pcc - b.drug_residual_pcc
    ELSE least(x.context_residual_pcc - b.context_residual_pcc, x.drug_residual_pcc - b.drug_residual_pcc) END AS dr, x.high_effect_pcc - b.high_effect_pcc AS dp, x.high_effect_f1 - b.high_effect_f1 AS dh
-  FROM v_screen_rows x JOIN v_screen_rows b ON b.axis = x.axis AND b.scenario = x.scenario AND b.scale = 0),
+  FROM v_screen_rows x JOIN v_screen_rows b ON b.axis = x.axis AND b.scenario = x.scenario AND b.scale = 0 WHERE x.axis NOT IN (SELECT axis FROM bad)),
  a AS (SELECT axis, scale, avg(fc_pcc) AS fc, avg(df) AS fd, min(dr) AS rd, min(dp) AS hp, min(dh) AS hf FROM d GROUP BY 1, 2),
  g AS (SELECT *, CASE WHEN axis = 'pair' THEN least(hp, hf) ELSE hp END AS hd, coalesce(rd >= -1e-12, false) AND coalesce(hp >= -0.005, false) AND coalesce(hf >= -0.005, false) AS ok FROM a),
  w AS (SELECT axis, scale FROM g WHERE ok QUALIFY row_number() OVER (PARTITION BY axis ORDER BY fc DESC, rd DESC, hd DESC, scale) = 1)

@@ -10,6 +10,7 @@ from cellshift.operators import entities, folds
 from cellshift.plans.queries_folds import _fit_and_valid, axis_table
 from cellshift.plans.registry import query, view
 from cellshift.plans.study import FOLDS
+from cellshift.session import written
 from cellshift.sources.star import Star
 
 view(
@@ -167,15 +168,18 @@ FROM (SELECT *, c_key IN (SELECT key FROM v_support WHERE axis = 'chemical_suppo
 
 @query("g07_support_route", "SELECT sample_id, cs AS chemical_seen, ss AS strain_seen, support_route FROM v_routed")
 def g07(star: Star) -> DataFrame:
-    rows = resolved(star)
-    flagged = entities.support_flags(rows, entities.fit_support(fit_part(star, rows)))
+    rows = written(resolved(star), "resolved")
+    flagged = entities.support_flags(rows, written(entities.fit_support(fit_part(star, rows)), "support"))
     return flagged.select("sample_id", "chemical_seen", "strain_seen", "support_route")
 
 
 def audited(star: Star) -> DataFrame:
-    rows = resolved(star)
+    """Route audit of every sample; the resolved metadata and the two support sets are stored once."""
+    rows = written(resolved(star), "resolved")
     fit = fit_part(star, rows)
-    return entities.route_audit(rows, entities.fit_support(fit), entities.treatment_support(fit))
+    support = written(entities.fit_support(fit), "support")
+    pairs = written(entities.treatment_support(fit), "pairs")
+    return entities.route_audit(rows, support, pairs)
 
 
 @query(
