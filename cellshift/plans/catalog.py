@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import cellshift.plans.views  # noqa: F401
-from cellshift.plans import queries_contracts, queries_decisions, queries_entities, queries_features, queries_folds, queries_metrics, queries_models  # noqa: F401
+from cellshift.plans import queries_contracts, queries_decisions, queries_entities, queries_features, queries_folds, queries_graph, queries_metrics, queries_models  # noqa: F401
 from cellshift.plans.registry import ORACLES, QUERIES, resolved_sql
 
 
