@@ -7,12 +7,16 @@ over the parquet files; every consumer prunes to the columns it needs.
 
 from __future__ import annotations
 
+import math
+import uuid
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellshift.functions.text import composite_key, row_kind
+from cellshift.session import scratch_path
 
 # Fields that must agree between a treatment and its controls in this mapping.
 STAR_MATCH_FIELDS = ("data_source", "strain", "medium", "temperature", "pert_time")
@@ -23,6 +27,27 @@ STAR_HELD_STRAIN = "ASIA"
 STAR_FUTURE_YEAR = 2001
 
 
+# Schemas of the source tables, so that opening a table starts no footer-reading job.
+SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, l_extendedprice DOUBLE, "
+    "l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+    "embeddings": "vec_id BIGINT, embedding ARRAY<FLOAT>, label INT",
+}
+
+# Prepared tables of this process: (application, folder, name) -> (table name, path).
+_PREPARED: dict[tuple[str, str, str], tuple[str, str]] = {}
+
+# Bytes of source data per bucket of a prepared table.
+BUCKET_BYTES = 256 * 1024 * 1024
+
+
 def split_rule(time: Column, chemical: Column, strain: Column, kind: Column) -> Column:
     """First matching rule wins: future time, both unseen, unseen chemical, unseen strain, train."""
     held_chemical = chemical.isin(*STAR_HELD_CHEMICALS)
@@ -42,12 +67,54 @@ class Star:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self._tables: dict[str, DataFrame] = {}
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A lazy table; its file footer is read only once per adapter."""
+        if name not in self._tables:
+            reader = self.spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else self.spark.read
+            self._tables[name] = reader.parquet(f"{self.folder}/{name}.parquet")
+        return self._tables[name]
+
+    def _file_system(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _buckets(self) -> int:
+        """Bucket count from the size of the largest source table, at least one per core."""
+        system, path = self._file_system(f"{self.folder}/lineitem.parquet")
+        size = system.getContentSummary(path).getLength()
+        return max(self.spark.sparkContext.defaultParallelism, min(math.ceil(size / BUCKET_BYTES), 100_000))
+
+    def _prepared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Derive a table once per application, bucketed and sorted by sample_id.
+
+        Samples and cells get the same bucketing, so their joins and the per-sample
+        aggregations need no shuffle, and column pruning reaches the files.  The
+        table lives in the shared scratch folder and is rebuilt if that was cleared.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        known = _PREPARED.get(key)
+        if known:
+            system, path = self._file_system(f"{known[1]}/_SUCCESS")
+            if system.exists(path):
+                return self.spark.table(known[0])
+        table, path = f"cellshift_{name}_{uuid.uuid4().hex}", scratch_path(self.spark, name)
+        buckets = self._buckets()
+        writer = build().repartition(buckets, "sample_id").write.mode("error").format("parquet")
+        writer.bucketBy(buckets, "sample_id").sortBy("sample_id").option("path", path).saveAsTable(table)
+        _PREPARED[key] = (table, path)
+        return self.spark.table(table)
 
     @cached_property
     def samples(self) -> DataFrame:
+        return self._prepared("samples", self._derive_samples)
+
+    @cached_property
+    def cells(self) -> DataFrame:
+        return self._prepared("cells", self._derive_cells)
+
+    def _derive_samples(self) -> DataFrame:
         """One row per order with line items; the first part of the order names the chemical."""
         first_part = self.table("lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(
             F.min("l_partkey").alias("p_partkey")
@@ -87,8 +154,7 @@ class Star:
             .withColumn("match_key", composite_key(STAR_MATCH_FIELDS))
         )
 
-    @cached_property
-    def cells(self) -> DataFrame:
+    def _derive_cells(self) -> DataFrame:
         """Raw positive values: repeated (order, line number) pairs are averaged."""
         return self.table("lineitem").groupBy(
             F.col("l_orderkey").alias("sample_id"),
