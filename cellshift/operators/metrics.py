@@ -13,10 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellshift.functions.moments import (
-    high_effect_counts,
+    STD_FLOOR,
     high_effect_scores,
     merge_aggs,
-    moment_aggs,
     pearson_agg,
     pearson_from_moments,
     r2_agg,
@@ -131,25 +130,63 @@ def regression_report(cells: DataFrame, by: Sequence[str], prediction: str = "m"
 
 
 # ---------------------------------------------------------------- fold changes
-def response_aggs(pred: str = "pred_delta", truth: str = "truth_delta", threshold: float = 1.0) -> list[Column]:
-    """All response sums of one group in a single pass."""
-    p, t = F.col(pred), F.col(truth)
-    ctx, drug = F.col("context_ref"), F.col("drug_ref")
+MASKS = ("fc", "ctx", "drug", "high")
+
+
+def masked_pairs(scored: DataFrame, keep: Sequence[str], threshold: float = 1.0) -> DataFrame:
+    """One narrow row per cell: the (x, y) pair of every score, null where it does not count.
+
+    Masks and differences are evaluated once here, so that the aggregates below
+    work on plain columns and stay small generated code.
+    """
+    p, t, ctx, drug = [F.col(c) for c in ("pred_delta", "truth_delta", "context_ref", "drug_ref")]
     both = p.isNotNull() & t.isNotNull()
+    high_true, high_pred = both & (F.abs(t) > threshold), both & (F.abs(p) > threshold)
+    same = F.signum(p) == F.signum(t)
+    return scored.select(
+        *keep,
+        F.when(both, p).alias("x_fc"),
+        F.when(both, t).alias("y_fc"),
+        F.when(both, p - ctx).alias("x_ctx"),
+        F.when(both, t - ctx).alias("y_ctx"),
+        F.when(both, p - drug).alias("x_drug"),
+        F.when(both, t - drug).alias("y_drug"),
+        F.when(high_true, p).alias("x_high"),
+        F.when(high_true, t).alias("y_high"),
+        F.when(high_pred, 1).alias("_hp"),
+        F.when(high_true & high_pred & same, 1).alias("_hit"),
+        F.when(high_true & same, 1).alias("_sign"),
+    )
+
+
+def _high_counts() -> list[Column]:
     return [
-        F.count(F.when(both, F.lit(1))).alias("response_n_observed_values"),
-        pearson_agg(p, t).alias("fc_pcc"),
-        pearson_agg(p - ctx, t - ctx).alias("context_residual_pcc"),
-        pearson_agg(p - drug, t - drug).alias("drug_residual_pcc"),
-        pearson_agg(p, t, F.abs(t) > threshold).alias("high_effect_pcc"),
-        *high_effect_counts(p, t, threshold),
+        F.count("x_high").alias("n_high_true"),
+        F.count("_hp").alias("n_high_pred"),
+        F.count("_hit").alias("n_high_hit"),
+        F.count("_sign").alias("n_high_sign"),
     ]
 
 
+def _pair_pearson(suffix: str) -> Column:
+    """Correlation of a masked pair whose two columns are null together."""
+    x, y = f"x_{suffix}", f"y_{suffix}"
+    vx, vy, floor = F.var_pop(x), F.var_pop(y), F.lit(STD_FLOOR * STD_FLOOR)
+    return F.when((F.count(x) >= 2) & (vx > floor) & (vy > floor), ratio(F.covar_pop(x, y), F.sqrt(vx * vy)))
+
+
 def response_report(scored: DataFrame, by: Sequence[str], groups: DataFrame | None = None, zero_when_no_hit: bool = False) -> DataFrame:
     """Response metrics per group; ``groups`` adds null rows for groups without a match."""
     by = list(by)
-    sums = scored.groupBy(*by).agg(F.countDistinct("sample_id").alias("response_n_samples"), *response_aggs())
+    sums = masked_pairs(scored, [*by, "sample_id"]).groupBy(*by).agg(
+        F.countDistinct("sample_id").alias("response_n_samples"),
+        F.count("x_fc").alias("response_n_observed_values"),
+        _pair_pearson("fc").alias("fc_pcc"),
+        _pair_pearson("ctx").alias("context_residual_pcc"),
+        _pair_pearson("drug").alias("drug_residual_pcc"),
+        _pair_pearson("high").alias("high_effect_pcc"),
+        *_high_counts(),
+    )
     report = sums.select(
         *by,
         "response_n_samples",
@@ -173,14 +210,12 @@ def response_moments(scored: DataFrame, by: Sequence[str], threshold: float = 1.
 
     These few columns are all that scoring, resampling and streaming need later.
     """
-    p, t, ctx, drug = [F.col(c) for c in ("pred_delta", "truth_delta", "context_ref", "drug_ref")]
-    return scored.groupBy(*by).agg(
-        *moment_aggs(p, t, suffix="_fc"),
-        *moment_aggs(p - ctx, t - ctx, suffix="_ctx"),
-        *moment_aggs(p - drug, t - drug, suffix="_drug"),
-        *moment_aggs(p, t, where=F.abs(t) > threshold, suffix="_high"),
-        *high_effect_counts(p, t, threshold),
-    )
+    aggs: list[Column] = []
+    for suffix in MASKS:
+        x, y = F.col(f"x_{suffix}"), F.col(f"y_{suffix}")
+        total = lambda value, name, tail=suffix: F.coalesce(F.sum(value), F.lit(0.0)).alias(f"{name}_{tail}")
+        aggs += [F.count(x).alias(f"n_{suffix}"), total(x, "sx"), total(y, "sy"), total(x * x, "sxx"), total(y * y, "syy"), total(x * y, "sxy")]
+    return masked_pairs(scored, by, threshold).groupBy(*by).agg(*aggs, *_high_counts())
 
 
 HIGH_COUNTS = ("n_high_true", "n_high_pred", "n_high_hit", "n_high_sign")
@@ -189,7 +224,7 @@ HIGH_COUNTS = ("n_high_true", "n_high_pred", "n_high_hit", "n_high_sign")
 def merged_moments(stats: DataFrame, by: Sequence[str], weight: Column | None = None) -> DataFrame:
     """Merge stored statistics to coarser groups, optionally weighted."""
     factor = F.lit(1.0) if weight is None else weight
-    aggs = [agg for suffix in ("_fc", "_ctx", "_drug", "_high") for agg in merge_aggs(weight, suffix)]
+    aggs = [agg for suffix in MASKS for agg in merge_aggs(weight, f"_{suffix}")]
     aggs += [F.sum(F.col(name) * factor).alias(name) for name in HIGH_COUNTS]
     return stats.groupBy(*by).agg(*aggs)
 
