@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import quality, secrets, sqltext
+from cellshift.llm import minhash, quality, secrets, sqltext, substrings
 from cellshift.llm.catalog import query
 from cellshift.llm.common import table
 
@@ -33,3 +33,16 @@ def op2_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed(F.filter("findings", lambda s: s["rule"].isin(*base))), 256).alias("base_sha256"),
         listed(F.col("findings")).alias("spans"),
     )
+
+
+@query("op1_minhash_near_dedup", sqltext.NEAR)
+def op1_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document on 2-word shingles."""
+    return minhash.near_duplicates(table(spark, folder, "documents"), width=2, percent=80)
+
+
+@query("op5_substring_dedup", sqltext.REPEATS)
+def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of every document that repeat a 13-word window of an earlier document."""
+    found = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -85,5 +85,59 @@ FROM d LEFT JOIN g USING (doc_id)
 """
 
 
+def _near(width: int, percent: int) -> str:
+    window = " || ' ' || ".join(f"words[i + {k}]" for k in range(width))
+    return rf"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, {window} AS sh FROM (SELECT doc_id, words, unnest(range(1, len(words) - {width} + 2)) AS i FROM w WHERE len(words) >= {width})
+  UNION ALL
+  SELECT doc_id, array_to_string(words, ' ') AS sh FROM w WHERE len(words) BETWEEN 1 AND {width - 1}
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), met AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared FROM s x JOIN s y ON x.sh = y.sh AND x.doc_id < y.doc_id GROUP BY 1, 2
+), link AS (
+  SELECT a, b FROM met JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= {percent} * (p.n + q.n - shared)
+), either AS (
+  SELECT a, b FROM link UNION ALL SELECT b, a FROM link
+), reach(a, b) AS (
+  SELECT doc_id, doc_id FROM documents
+  UNION
+  SELECT reach.a, either.b FROM reach JOIN either ON reach.b = either.a
+), least_of AS (
+  SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM documents JOIN least_of USING (doc_id) LEFT JOIN n USING (doc_id)
+"""
+
+
+def _repeats(window: int) -> str:
+    return rf"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), win AS (
+  SELECT doc_id, i, array_to_string(words[i : i + {window - 1}], ' ') AS seq
+  FROM (SELECT doc_id, words, unnest(range(1, len(words) - {window} + 2)) AS i FROM w WHERE len(words) >= {window})
+), first AS (
+  SELECT seq, min(doc_id) AS origin FROM win GROUP BY seq
+), gone AS (
+  SELECT DISTINCT doc_id, i + k AS at_word FROM win JOIN first USING (seq), (SELECT unnest(range(0, {window})) AS k) WHERE origin < doc_id
+), lost AS (
+  SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id
+), each_word AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS at_word, unnest(words) AS word FROM w
+), left_over AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY at_word) AS text FROM each_word ANTI JOIN gone USING (doc_id, at_word) GROUP BY doc_id
+)
+SELECT w.doc_id, len(words)::BIGINT AS n_words, coalesce(lost.n, 0)::BIGINT AS n_removed, sha256(coalesce(left_over.text, '')) AS kept_sha256
+FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""
+
+
+NEAR = _near(2, 80)
+REPEATS = _repeats(13)
 QUALITY = _quality()
 SECRETS = _secrets()
