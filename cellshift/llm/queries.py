@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import minhash, quality, secrets, sqltext, substrings
+from cellshift.llm import binary, minhash, packing, quality, secrets, sqltext, substrings
 from cellshift.llm.catalog import query
 from cellshift.llm.common import table
 
@@ -46,3 +47,18 @@ def op5_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words of every document that repeat a 13-word window of an earlier document."""
     found = substrings.remove_repeats(table(spark, folder, "documents").select("doc_id", "text"))
     return found.select("row.doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """Token pieces of all documents packed into sequences of 2048."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op7_token_files")
+def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Token-id files of all documents, written in order and read back."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    stored = binary.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
