@@ -2,7 +2,8 @@
 
 Documents are cut only where they exceed the sequence length.  A piece goes where the
 sum over all residual gaps of the squared number of open sequences with that gap becomes
-smallest, which keeps gaps spread out and hence usable.  Pieces are placed longest first.
+smallest, which keeps gaps spread out and hence usable; a sequence is opened only when the
+piece fits nowhere.  Pieces are placed longest first.
 The state is one counter per gap, so shards of pieces are packed independently and each
 leaves only its last few sequences open.
 """
@@ -65,10 +66,8 @@ def place_pieces(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
         after = gaps - size
         # Change of the sum of squares: one sequence fewer at the gap, one more at what is left of it.
         change = np.where(after > 0, 2 * open_by_gap[after] + 2 - 2 * open_by_gap[gaps], 1 - 2 * open_by_gap[gaps])
-        best = int(np.argmin(change)) if len(gaps) else -1
-        fresh = 2 * open_by_gap[capacity - size] + 1 if size < capacity else 0
-        if best >= 0 and change[best] <= fresh:
-            gap = int(gaps[best])
+        if len(gaps):
+            gap = int(gaps[int(np.argmin(change))])
             bin_ = waiting[gap].pop()
             open_by_gap[gap] -= 1
         else:

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import binary, minhash, packing, quality, secrets, sqltext, substrings
+from cellshift.llm import binary, minhash, packing, quality, secrets, sqltext, substrings, warc
 from cellshift.llm.catalog import query
 from cellshift.llm.common import table
 
@@ -62,3 +62,11 @@ def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     stored = binary.round_trip(docs, public_tokenizers.path("word_bpe_49k.json"))
     return stored.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query("op3_warc_archives", sqltext.ARCHIVES)
+def op3_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as legacy archives, converted to WARC and read back."""
+    pages = table(spark, folder, "pages").select(F.col("page_id").alias("key"), "url", F.col("html").alias("payload"))
+    records = warc.archive_round_trip(spark, pages)
+    return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")

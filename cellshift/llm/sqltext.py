@@ -137,6 +137,17 @@ FROM w LEFT JOIN lost USING (doc_id) LEFT JOIN left_over USING (doc_id)
 """
 
 
+ARCHIVES = """
+WITH p AS (
+  SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT payload_digest, min(page_id) AS origin FROM p WHERE payload_bytes >= 100 GROUP BY payload_digest
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN origin IS NULL OR origin = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN origin <> page_id THEN origin END AS refers_to
+FROM p LEFT JOIN f USING (payload_digest)
+"""
 NEAR = _near(2, 80)
 REPEATS = _repeats(13)
 QUALITY = _quality()
