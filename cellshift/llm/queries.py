@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import binary, minhash, packing, quality, secrets, sqltext, substrings, warc
+from cellshift.llm import binary, imatch, minhash, packing, quality, secrets, sqltext, substrings, urls, warc
 from cellshift.llm.catalog import query
 from cellshift.llm.common import table
 
@@ -70,3 +70,16 @@ def op3_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages").select(F.col("page_id").alias("key"), "url", F.col("html").alias("payload"))
     records = warc.archive_round_trip(spark, pages)
     return records.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op4_imatch_fingerprints")
+def op4_imatch_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    """I-Match fingerprints of all documents and of their half-edited texts."""
+    return imatch.compare_with_edits(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op8_url_verdicts")
+def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    """Rule or model verdict on the URL of every page."""
+    pages = table(spark, folder, "pages").select("page_id", "url")
+    return urls.judge(pages, urls.labelled_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
