@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import binary, imatch, minhash, packing, quality, secrets, sqltext, substrings, urls, warc
+from cellshift.llm import binary, imatch, minhash, packing, quality, secrets, sqltext, substrings, transducer, urls, warc
 from cellshift.llm.catalog import query
 from cellshift.llm.common import table
 
@@ -83,3 +83,17 @@ def op8_url_verdicts(spark: SparkSession, folder: str) -> DataFrame:
     """Rule or model verdict on the URL of every page."""
     pages = table(spark, folder, "pages").select("page_id", "url")
     return urls.judge(pages, urls.labelled_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@query("op10_bpe_transducer")
+def op10_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level ids of all documents, and their texts decoded again."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    decoded = transducer.decode(transducer.encode_corpus(docs, path), path)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("text", 256).alias("decoded_sha256"),
+    )
