@@ -25,11 +25,14 @@ def query(name: str, sql: str | None = None):
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    import corpus_pipeline
     from cellshift.llm import queries  # noqa: F401
 
-    return dict(QUERIES)
+    return QUERIES | {"pipeline": corpus_pipeline.run}
 
 
 def all_oracles() -> dict[str, str]:
+    import corpus_pipeline
+
     all_queries()
-    return dict(ORACLES)
+    return ORACLES | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

@@ -17,11 +17,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from cellshift.llm.common import ascii_lower, text_of, words_of
 from cellshift.llm.graphs import components
@@ -179,23 +178,44 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return measured.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def _pairs_of_block(least: int):
-    def compare(unit: pd.DataFrame) -> pd.DataFrame:
-        asked, members = unit[unit["asks"]], unit[~unit["asks"]]
-        q = np.stack(asked["signature"].to_numpy()) if len(asked) else np.empty((0, 1), np.int32)
-        m = np.stack(members["signature"].to_numpy()) if len(members) else np.empty((0, 1), np.int32)
-        asker, label = asked["doc_id"].to_numpy(), asked["label"].to_numpy()
-        other, other_label = members["doc_id"].to_numpy(), members["label"].to_numpy()
+def _pairs_of_units(least: int, coordinates: int, kind: pa.DataType):
+    """Matching cross-component pairs of units that arrive one after the other, sorted by unit."""
+
+    def compare(table: pa.Table) -> list[tuple]:
+        doc, label = table["doc_id"].to_numpy(), table["label"].to_numpy()
+        asks = table["asks"].to_numpy()
+        signature = table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
         found = []
-        for i in range(len(q)):
-            near = ((m == q[i]).sum(axis=1) >= least) & (other_label != label[i])
-            found += [(min(asker[i], other[j]), max(asker[i], other[j])) for j in np.flatnonzero(near)]
-        return pd.DataFrame(found, columns=["a", "b"]).drop_duplicates()
+        for i in np.flatnonzero(asks):
+            near = ~asks & (label != label[i])
+            near[near] = (signature[near] == signature[i]).sum(axis=1) >= least
+            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in np.flatnonzero(near)]
+        return found
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def result(found: list[tuple]) -> pa.RecordBatch:
+            pairs = sorted(set(found))
+            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], kind), pa.array([p[1] for p in pairs], kind)], ["a", "b"])
+
+        held: pa.Table | None = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            unit = np.stack([rows[c].to_numpy() for c in ("token", "a", "q")])
+            edges = np.concatenate([[0], np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1])
+            # The last unit may go on in the next batch.
+            found = [pair for first, last in zip(edges[:-1], edges[1:], strict=True) for pair in compare(rows.slice(first, last - first))]
+            held = rows.slice(edges[-1])
+            yield result(found)
+        if held is not None:
+            yield result(compare(held))
 
-    return compare
+    return walk
 
 
-def apart_pairs(postings: DataFrame, labels: DataFrame, signed: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+def apart_pairs(postings: DataFrame, labels: DataFrame, signed: DataFrame, least: int, coordinates: int = COORDINATES, block: int = BLOCK) -> DataFrame:
     """Matching pairs (a, b) that share a list and lie in different components.
 
     In a list the largest component asks nothing of itself: the others' members ask
@@ -219,8 +239,8 @@ def apart_pairs(postings: DataFrame, labels: DataFrame, signed: DataFrame, least
         "token", "doc_id", "label", "signature", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), F.pmod(place, F.col("nq")).alias("q")
     )
     columns = ["token", "doc_id", "label", "signature", "asks", F.col("a").cast("int").alias("a"), F.col("q").cast("int").alias("q")]
-    units = members.select(*columns).unionByName(asks.select(*columns))
-    return units.groupBy("token", "a", "q").applyInPandas(_pairs_of_block(least), f"a {kind}, b {kind}").distinct()
+    units = members.select(*columns).unionByName(asks.select(*columns)).repartition("token", "a", "q").sortWithinPartitions("token", "a", "q")
+    return units.mapInArrow(_pairs_of_units(least, coordinates, to_arrow_type(signed.schema["doc_id"].dataType)), f"a {kind}, b {kind}").distinct()
 
 
 def hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
@@ -250,20 +270,20 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     sets_of = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_high", "set_low")
     nodes = written(sets_of.agg(F.min(F.struct("doc_id", "signature")).alias("first")).select("set_high", "set_low", "first.*"), "shingle-sets")
     postings = written(prefix_postings(nodes, least), "postings")
+    # Full sets of all that meet anybody, hashed once for all rounds.
+    sets = written(shingle_sets(docs, postings.select("doc_id").distinct(), width), "sets")
     links, labels = None, None
     for turn in range(HUB_ROUNDS + 1):
-        last = turn == HUB_ROUNDS
-        met = apart_pairs(postings, labels, nodes, least) if last else hub_pairs(postings, labels, turn)
-        if not last:
+        if turn == HUB_ROUNDS:
+            met = apart_pairs(postings, labels, nodes, least, coordinates)
+        else:
             left = nodes.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
             right = nodes.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
-            met = met.join(left, "a").join(right, "b").filter(_agreements("sa", "sb") >= least).select("a", "b")
-        met = written(met, "met-pairs")
-        wanted = met.select(F.col("a").alias("doc_id")).union(met.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(shingle_sets(docs, wanted, width), "sets")
+            met = hub_pairs(postings, labels, turn).join(left, "a").join(right, "b").filter(_agreements("sa", "sb") >= least).select("a", "b")
         found = written(confirm(met, sets, percent), "links")
-        links = found if links is None else links.unionByName(found)
-        labels = components(links, "a", "b")
+        if links is None or found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
+            labels = components(links, "a", "b")
     named = nodes.join(labels, nodes["doc_id"] == labels["node"], "left").select("set_high", "set_low", F.coalesce("label", "doc_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", *[F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_high", "set_low")])
     joined = rows.join(named, ["set_high", "set_low"], "left")
