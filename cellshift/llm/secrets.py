@@ -181,12 +181,12 @@ def scan(versions: DataFrame, rules: Sequence[Rule] = RULES, ledger: str | None
     return findings_by_path(versions, ledger, rules)
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, mask: str = "[REDACTED]") -> DataFrame:
+def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequence[Rule] = RULES, mask: str = "[REDACTED]", length: str | None = None) -> DataFrame:
     """Rows with the text of every finding replaced; all columns and rows stay.
 
-    Overlapping spans are merged first.  Texts without findings are untouched and
-    null stays null.  A clean text is recognised by its blob id, so only rows with
-    findings are rebuilt.
+    Spans that overlap an earlier one leave one mask.  Texts without findings are
+    untouched and null stays null; ``length`` names a column that follows the new text's
+    length where the text changed.
     """
     columns = docs.columns
     found = scan(docs.select(F.col(key).alias("path"), F.col(text).alias("text")), rules)
@@ -208,8 +208,12 @@ def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: Sequ
         ),
         lambda acc: F.concat(acc["out"], value.substr((acc["at"] + 1).cast("int"), F.length(value))),
     )
-    cleaned = F.when(F.col("findings").isNull(), value).otherwise(walked)
-    return rows.select(*[cleaned.alias(c) if c == text else F.col("_row")[c].alias(c) for c in columns])
+    clean = F.col("findings").isNull()
+    done = rows.select("_row", F.when(clean, value).otherwise(walked).alias("_text"), clean.alias("_clean"))
+    new = {text: F.col("_text")}
+    if length in columns:
+        new[length] = F.when(F.col("_clean"), F.col("_row")[length]).otherwise(F.length("_text").cast("bigint"))
+    return done.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in columns])
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

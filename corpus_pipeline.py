@@ -20,13 +20,6 @@ SIMILARITY_PERCENT = 80
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _recounted(docs: DataFrame, columns: list[str], before: str, after: str) -> DataFrame:
-    """The row's columns with the text replaced where it changed, and n_chars following it."""
-    changed = ~F.col(after).eqNullSafe(F.col(before))
-    new = {"text": F.col(after), "n_chars": F.length(after).cast("bigint")}
-    return docs.select(*[F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in columns])
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the threshold table keeps; null texts fail the base rule."""
     return quality.filter_quality(docs)
@@ -39,16 +32,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the word sequences of earlier documents; others stay as they are."""
-    cut = substrings.remove_repeats(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
-    return _recounted(cut.select("row", F.col("row.text").alias("before"), text.alias("after")), docs.columns, "before", "after")
+    cut, changed = substrings.remove_repeats(docs), F.col("n_removed") > 0
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("bigint")}
+    return cut.select(*[F.when(changed, new[c]).otherwise(F.col("row")[c]).alias(c) if c in new else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with secrets masked; documents stay."""
-    rows = docs.select("doc_id", F.col("text").alias("text"), F.struct(*docs.columns).alias("row"), F.col("text").alias("before"))
-    masked = secrets.redact(rows)
-    return _recounted(masked.select("row", "before", F.col("text").alias("after")), docs.columns, "before", "after")
+    return secrets.redact(docs, length="n_chars")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
