@@ -69,7 +69,7 @@ def lexicon_of(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE
     band = written(counts.filter((F.col("n") >= least) & (F.col("n") <= max(2, int(total * high)))), "lexicon")
     while band.filter(F.col("n") >= least).count() > most:
         least = math.ceil(least * 1.5)
-    return sorted(band.filter(F.col("n") >= least).select("term").toPandas()["term"])
+    return sorted(band.filter(F.col("n") >= least).select("term").toArrow()["term"].to_pylist())
 
 
 class Fingerprinter:

@@ -320,7 +320,7 @@ def marked(docs: DataFrame, key: str, text: str, window: int, broadcast_anchors:
         ]
     )
     if shared.count() <= broadcast_anchors:
-        table = np.sort(shared.toPandas()["anchor"].to_numpy(np.int64))
+        table = np.sort(shared.toArrow()["anchor"].to_numpy())
         return hashed.mapInArrow(_marker(window, spark.sparkContext.broadcast(table)), schema)
     # Too many to broadcast: each text gets the list of its own shared anchors by a join.
     own = hashed.select("doc_id", "words").filter("doc_id is not null").mapInArrow(_named_anchors(window, kind), T.StructType([T.StructField("doc_id", kind), T.StructField("anchor", T.LongType())]))

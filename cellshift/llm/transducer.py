@@ -307,7 +307,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEAS
         need = bar["n"]
     if need is None:
         return []
-    return stored.filter(F.col("n") >= need).select("word").toPandas()["word"].tolist()
+    return stored.filter(F.col("n") >= need).select("word").toArrow()["word"].to_pylist()
 
 
 def lexicon_blob(words: list[str], tokenizer: str) -> bytes:
