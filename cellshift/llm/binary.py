@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm.common import partitions_for, text_of
+from cellshift.llm.common import bounded_batches, partitions_for, text_of
 from cellshift.llm.tokens import word_ids
 from cellshift.session import scratch_path
 
@@ -71,6 +71,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, w
     (part, path, n_docs, n_ids, width, base) is stored as Parquet beside the parts.
     Null texts are empty, null ids come first, equal ids are ordered by text hash.
     """
+    bounded_batches(docs.sparkSession)
     spark = docs.sparkSession
     parts = partitions_for(docs.count(), docs_per_part, spark)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), text_of().alias("text"))

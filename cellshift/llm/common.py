@@ -18,6 +18,16 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1_000) -> None:
+    """Hand texts to Python workers in smaller batches, unless the session sets its own size.
+
+    A worker holds one batch and a few arrays of its size at a time.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(rows))
+
+
 def text_of(column: str = "text") -> Column:
     """Text with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellshift.llm.common import text_of
+from cellshift.llm.common import bounded_batches, text_of
 from cellshift.session import written
 
 # Document shares between which a term is in the lexicon (high and low bound of its IDF).
@@ -63,6 +63,7 @@ def lexicon_of(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE
     Should the band hold more than ``most`` terms, its low end is raised by halves of its
     width until it does not; so the size is bounded and the choice depends on counts alone.
     """
+    bounded_batches(docs.sparkSession)
     total = docs.count()
     counts = docs.select(text_of().alias("text")).mapInPandas(_document_counts, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     least = max(2, math.ceil(total * low))
@@ -126,6 +127,7 @@ def likeness(a: str, b: str) -> float:
 
 def fingerprints(docs: DataFrame, lexicon: list[str]) -> DataFrame:
     """(doc_id, fingerprint) of every row of (doc_id, text); null texts are empty."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Fingerprinter(lexicon))
 
     def each(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -195,6 +197,7 @@ def compare_with_edits(docs: DataFrame, lexicon: list[str] | None = None) -> Dat
     empty text is like itself only.  Null ids come first.  Rows that share a doc_id follow
     each other in text-hash order.  Extra columns are ignored; an empty table gives no rows.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     printer = Fingerprinter(lexicon if lexicon is not None else lexicon_of(docs))
     shared = docs.sparkSession.sparkContext.broadcast(printer)

@@ -7,9 +7,11 @@ joined and the long lists of common values are skipped (prefix filtering over a
 order by list length).  Pairs that meet have their agreements counted, those above the
 match threshold are confirmed on the full sets.
 
-Pairs are never enumerated inside a list.  A list is first compared with one member
-(its hub); components are formed; only members that are still in different components
-of the same list are then compared with each other, in blocks of bounded size.
+Pairs are never enumerated inside a list.  Every list is first compared with its most
+central member, whose tokens are the most widespread.  Matches give loose components,
+confirmed matches the strict ones.  What is left is compared in blocks of bounded size:
+members of one list from different loose components, and members of one loose component
+from different strict ones; the latter meet with their full sets and only links come out.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from cellshift.llm.common import ascii_lower, text_of, words_of
+from cellshift.llm.common import ascii_lower, bounded_batches, text_of, words_of
 from cellshift.llm.graphs import components
 from cellshift.session import written
 
@@ -30,8 +32,8 @@ COORDINATES = 24
 # Agreements that a candidate needs.  At similarity 0.8 the count is binomial(24, 0.8);
 # fewer than 10 has probability 6e-6.
 LEAST_MATCHES = 10
-BLOCK = 1024
-HUB_ROUNDS = 2
+# Members of a block: of signatures, and of full sets.
+BLOCK, SET_BLOCK = 1024, 128
 
 _MIX_A = np.uint64(0x9E3779B97F4A7C15)
 _MIX_B = np.uint64(0xBF58476D1CE4E5B9)
@@ -149,11 +151,12 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
 
 
 def prefix_postings(signed: DataFrame, least: int) -> DataFrame:
-    """(token, doc_id): each document under its rarest tokens, as many as any match must touch.
+    """(token, doc_id, weight): each document under its rarest tokens, as many as any match must touch.
 
     A token is a coordinate with its value.  Tokens of a single document lie in front
     of the order and meet nobody, so they only use up prefix places; a document with
-    fewer than ``least`` shared tokens meets nobody at all.
+    fewer than ``least`` shared tokens meets nobody at all.  The weight is the number of
+    postings that a document's tokens share; it is largest for the original of many copies.
     """
     spread = signed.select("doc_id", F.posexplode("signature").alias("place", "value")).select(
         "doc_id", (F.col("place").cast("bigint") * F.lit(1 << 32) + F.col("value")).alias("token")
@@ -161,7 +164,8 @@ def prefix_postings(signed: DataFrame, least: int) -> DataFrame:
     shared = spread.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     listed = spread.join(shared, "token").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("tokens"))
     prefix = F.slice("tokens", F.lit(1), F.size("tokens") - least + 1)
-    return listed.filter(F.size("tokens") >= least).select("doc_id", F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "doc_id")
+    weight = F.aggregate("tokens", F.lit(0).cast("bigint"), lambda acc, t: acc + t["n"])
+    return listed.filter(F.size("tokens") >= least).select("doc_id", weight.alias("weight"), F.explode(prefix).alias("t")).select(F.col("t.token").alias("token"), "doc_id", "weight")
 
 
 def _agreements(a: str, b: str) -> Column:
@@ -178,20 +182,51 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return measured.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def _pairs_of_units(least: int, coordinates: int, kind: pa.DataType):
-    """Matching cross-component pairs of units that arrive one after the other, sorted by unit."""
+def _near_pairs(least: int, coordinates: int):
+    """Matching pairs between askers and members of other labels."""
 
-    def compare(table: pa.Table) -> list[tuple]:
-        doc, label = table["doc_id"].to_numpy(), table["label"].to_numpy()
-        asks = table["asks"].to_numpy()
-        signature = table["signature"].combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
+    def compare(unit: pa.Table) -> list[tuple]:
+        doc, label, asks = (unit[c].to_numpy() for c in ("doc_id", "label", "asks"))
+        signature = unit["signature"].combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
         found = []
         for i in np.flatnonzero(asks):
-            near = ~asks & (label != label[i])
-            near[near] = (signature[near] == signature[i]).sum(axis=1) >= least
-            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in np.flatnonzero(near)]
+            near = np.flatnonzero(~asks & (label != label[i]))
+            near = near[(signature[near] == signature[i]).sum(axis=1) >= least]
+            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in near]
         return found
 
+    return compare
+
+
+def _linked_pairs(percent: int, least: int, coordinates: int):
+    """Links between askers and members of other labels, one for each asker and label."""
+
+    def compare(unit: pa.Table) -> list[tuple]:
+        doc, label, asks = (unit[c].to_numpy() for c in ("doc_id", "label", "asks"))
+        signature = unit["signature"].combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
+        listed = unit["shingles"].combine_chunks()
+        flat, ends = listed.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(listed.value_lengths().to_numpy())])
+        found = []
+        for i in np.flatnonzero(asks):
+            near = np.flatnonzero(~asks & (label != label[i]))
+            near = near[(signature[near] == signature[i]).sum(axis=1) >= least]
+            if not len(near):
+                continue
+            own, sizes = flat[ends[i] : ends[i + 1]], ends[near + 1] - ends[near]
+            others = np.concatenate([flat[ends[j] : ends[j + 1]] for j in near])
+            hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            shared = np.add.reduceat(hit, np.cumsum(sizes) - sizes, dtype=np.int64)
+            linked = near[100 * shared >= percent * (len(own) + sizes - shared)]
+            _, first = np.unique(label[linked], return_index=True)
+            found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in linked[first]]
+        return found
+
+    return compare
+
+
+def _by_unit(compare, kind: pa.DataType):
+    """Run ``compare`` on units that arrive one after the other, sorted by unit."""
+
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def result(found: list[tuple]) -> pa.RecordBatch:
             pairs = sorted(set(found))
@@ -203,7 +238,7 @@ def _pairs_of_units(least: int, coordinates: int, kind: pa.DataType):
                 continue
             rows = pa.Table.from_batches([batch])
             rows = rows if held is None else pa.concat_tables([held, rows])
-            unit = np.stack([rows[c].to_numpy() for c in ("token", "a", "q")])
+            unit = np.stack([rows[c].to_numpy() for c in ("team", "a", "q")])
             edges = np.concatenate([[0], np.flatnonzero((unit[:, 1:] != unit[:, :-1]).any(axis=0)) + 1])
             # The last unit may go on in the next batch.
             found = [pair for first, last in zip(edges[:-1], edges[1:], strict=True) for pair in compare(rows.slice(first, last - first))]
@@ -215,43 +250,41 @@ def _pairs_of_units(least: int, coordinates: int, kind: pa.DataType):
     return walk
 
 
-def apart_pairs(postings: DataFrame, labels: DataFrame, signed: DataFrame, least: int, coordinates: int = COORDINATES, block: int = BLOCK) -> DataFrame:
-    """Matching pairs (a, b) that share a list and lie in different components.
+def compare_apart(placed: DataFrame, payload: DataFrame, compare, block: int) -> DataFrame:
+    """Pairs (a, b) that ``compare`` finds between members of one team with different labels.
 
-    In a list the largest component asks nothing of itself: the others' members ask
-    all members.  Both sides are cut into blocks, one unit of work per block pair.
+    ``placed`` has (team, doc_id, label), ``payload`` (doc_id, ...) what is compared.  In a
+    team the largest label asks nothing of itself: the others' members ask all members.
+    Both sides are cut into blocks, one unit of work per block pair.
     """
-    kind = signed.schema["doc_id"].dataType.simpleString()
-    placed = postings.join(labels, postings["doc_id"] == labels["node"], "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    per_label = placed.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
+    kind = placed.schema["doc_id"].dataType
+    per_label = placed.groupBy("team", "label").agg(F.count(F.lit(1)).alias("n"))
     split = (
-        per_label.groupBy("token")
+        per_label.groupBy("team")
         .agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("labels"), F.max(F.struct("n", "label")).alias("top"))
         .filter("labels > 1")
-        .select("token", F.col("top.label").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("na"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("nq"))
-    )
-    rows = placed.join(split, "token").join(signed.select("doc_id", "signature"), "doc_id")
-    place = F.xxhash64("doc_id", "token")
-    members = rows.select(
-        "token", "doc_id", "label", "signature", F.lit(False).alias("asks"), F.pmod(place, F.col("na")).alias("a"), F.explode(F.sequence(F.lit(0), F.col("nq") - 1)).alias("q")
-    )
-    asks = rows.filter("label <> main").select(
-        "token", "doc_id", "label", "signature", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), F.pmod(place, F.col("nq")).alias("q")
+        .select("team", F.col("top.label").alias("main"), F.ceil(F.col("n") / block).cast("int").alias("na"), F.ceil((F.col("n") - F.col("top.n")) / block).cast("int").alias("nq"))
     )
-    columns = ["token", "doc_id", "label", "signature", "asks", F.col("a").cast("int").alias("a"), F.col("q").cast("int").alias("q")]
-    units = members.select(*columns).unionByName(asks.select(*columns)).repartition("token", "a", "q").sortWithinPartitions("token", "a", "q")
-    return units.mapInArrow(_pairs_of_units(least, coordinates, to_arrow_type(signed.schema["doc_id"].dataType)), f"a {kind}, b {kind}").distinct()
-
-
-def hub_pairs(postings: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Pairs (a, b) of every list member with the list's hub, where they are not yet together."""
-    if labels is None:
-        placed = postings.withColumn("label", F.col("doc_id"))
-    else:
-        placed = postings.join(labels, postings["doc_id"] == labels["node"], "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    rank = F.struct((F.xxhash64("doc_id", F.lit(turn)) if turn else F.lit(0)).alias("rank"), "doc_id", "label")
-    hubs = placed.groupBy("token").agg(F.min(rank).alias("hub"), F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high")
-    met = placed.join(hubs.select("token", F.col("hub.doc_id").alias("hub"), F.col("hub.label").alias("hub_label")), "token").filter("label <> hub_label")
+    rows = placed.join(split, "team").join(payload, "doc_id")
+    place = F.xxhash64("doc_id", "team")
+    carried = ["team", "doc_id", "label", *[c for c in payload.columns if c != "doc_id"]]
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    members = rows.select(*carried, F.lit(False).alias("asks"), F.pmod(place, F.col("na")).cast("int").alias("a"), every("nq").alias("q"))
+    asks = rows.filter("label <> main").select(*carried, F.lit(True).alias("asks"), every("na").alias("a"), F.pmod(place, F.col("nq")).cast("int").alias("q"))
+    units = members.unionByName(asks).repartition("team", "a", "q").sortWithinPartitions("team", "a", "q")
+    ddl = kind.simpleString()
+    return units.mapInArrow(_by_unit(compare, to_arrow_type(kind)), f"a {ddl}, b {ddl}").distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` with the label of their doc_id, its own where it has none."""
+    return rows.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
+
+
+def hub_pairs(postings: DataFrame) -> DataFrame:
+    """Pairs (a, b) of every list member with the list's most central member."""
+    hubs = postings.groupBy("token").agg(F.max(F.struct("weight", "doc_id")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    met = postings.join(hubs.select("token", F.col("hub.doc_id").alias("hub")), "token").filter("doc_id <> hub")
     return met.select(F.least("doc_id", "hub").alias("a"), F.greatest("doc_id", "hub").alias("b")).distinct()
 
 
@@ -265,6 +298,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     a doc_id link with nothing, have a null component and are kept.  Other columns of
     ``docs`` are ignored.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, width, coordinates), "signatures")
     sets_of = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_high", "set_low")
@@ -272,18 +306,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     postings = written(prefix_postings(nodes, least), "postings")
     # Full sets of all that meet anybody, hashed once for all rounds.
     sets = written(shingle_sets(docs, postings.select("doc_id").distinct(), width), "sets")
-    links, labels = None, None
-    for turn in range(HUB_ROUNDS + 1):
-        if turn == HUB_ROUNDS:
-            met = apart_pairs(postings, labels, nodes, least, coordinates)
-        else:
-            left = nodes.select(F.col("doc_id").alias("a"), F.col("signature").alias("sa"))
-            right = nodes.select(F.col("doc_id").alias("b"), F.col("signature").alias("sb"))
-            met = hub_pairs(postings, labels, turn).join(left, "a").join(right, "b").filter(_agreements("sa", "sb") >= least).select("a", "b")
-        found = written(confirm(met, sets, percent), "links")
-        if links is None or found.limit(1).count():
-            links = found if links is None else links.unionByName(found)
-            labels = components(links, "a", "b")
+    signature = nodes.select("doc_id", "signature")
+    left, right = (signature.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
+    met = hub_pairs(postings).join(left, "a").join(right, "b").filter(_agreements("sa", "sb") >= least).select("a", "b")
+    met = written(met, "met-pairs")
+    links = written(confirm(met, sets, percent), "links")
+    strict, loose = components(links, "a", "b"), components(met, "a", "b")
+    lists = _labelled(postings.select(F.col("token").alias("team"), "doc_id"), loose)
+    apart = written(compare_apart(lists, signature, _near_pairs(least, coordinates), BLOCK), "apart-pairs")
+    groups = _labelled(loose.select(F.col("node").alias("doc_id"), F.col("label").alias("team")), strict)
+    within = compare_apart(groups, signature.join(sets, "doc_id"), _linked_pairs(percent, least, coordinates), SET_BLOCK)
+    links = links.unionByName(confirm(apart, sets, percent)).unionByName(within)
+    labels = components(links, "a", "b")
     named = nodes.join(labels, nodes["doc_id"] == labels["node"], "left").select("set_high", "set_low", F.coalesce("label", "doc_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", *[F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_high", "set_low")])
     joined = rows.join(named, ["set_high", "set_low"], "left")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellshift.llm.common import text_of
+from cellshift.llm.common import bounded_batches, text_of
 from cellshift.llm.tokens import word_ids
 from cellshift.session import written
 
@@ -49,6 +49,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int
     ``ids`` are little-endian unsigned 32-bit integers, the document's end id included.
     A null text is empty and yields one piece that holds the end id only.
     """
+    bounded_batches(docs.sparkSession)
     fields = [("piece", T.IntegerType()), ("start", T.LongType()), ("length", T.LongType()), ("ids", T.BinaryType())]
     schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, k) for n, k in fields]])
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(_cutter(tokenizer, end_id, capacity), schema)

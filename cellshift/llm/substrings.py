@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellshift.llm.common import text_of, words_of
+from cellshift.llm.common import bounded_batches, text_of, words_of
 from cellshift.llm.minhash import _lists, _mix
 from cellshift.session import written
 
@@ -356,6 +356,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     and loses nothing.  Rows that share a key do not cut each other.  Word equality is
     decided on 64-bit word hashes, 13 of which must agree in order.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     table = written(marked(docs, key, text, window, broadcast_anchors), "marked-texts")
     contexts = table.select("doc_id", "sequence", F.explode("contexts").alias("c")).select("doc_id", "sequence", "c.*")

@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.llm.common import text_of
+from cellshift.llm.common import bounded_batches, text_of
 from cellshift.llm.tokens import byte_letters
 from cellshift.session import written
 
@@ -295,6 +295,7 @@ def frequent_words(docs: DataFrame, most: int = LEXICON_WORDS, least: int = LEAS
     The count that a word needs is read from the histogram of counts, so no more than
     ``most`` words ever leave the executors.
     """
+    bounded_batches(docs.sparkSession)
     counts = docs.select(text_of().alias("text")).mapInPandas(_count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     stored = written(counts.filter(F.col("n") >= least), "word-counts")
     # Counts above the cap share one bar; they are frequent in any case.
@@ -379,6 +380,7 @@ def encode(docs: DataFrame, tokenizer: str, blob: bytes) -> DataFrame:
     Strings of special tokens in a text become their ids, as the vocabulary's library does.
     Repeated rows are encoded one by one.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(blob)
     return docs.select("doc_id", text_of().alias("text")).mapInArrow(_encoder(tokenizer, shared), f"doc_id {kind}, ids array<int>")

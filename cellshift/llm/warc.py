@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cellshift.llm.common import bounded_batches
 from cellshift.session import scratch_path, written
 
 # The header fields of the two ARC versions, in order.
@@ -130,6 +131,7 @@ def write_arc(pages: DataFrame, folder: str, date: str = "20000101000000") -> Da
     Odd and even partitions write version 1 and 2.  Null payloads are empty, null urls
     become ``unknown:``, null keys leave out the key header.
     """
+    bounded_batches(pages.sparkSession)
     return written(pages.select("key", "url", "payload").mapInPandas(_arc_writer(folder, date), "path string, records bigint"), "arc-manifest")
 
 
