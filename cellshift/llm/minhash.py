@@ -182,15 +182,16 @@ def confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return measured.filter(100 * F.col("shared") >= percent * (F.col("total") - F.col("shared"))).select("a", "b")
 
 
-def _near_pairs(least: int, coordinates: int):
-    """Matching pairs between askers and members of other labels."""
+def _near_pairs(percent: int, least: int, coordinates: int):
+    """Matching pairs between askers and members of other labels, sizes permitting."""
 
     def compare(unit: pa.Table) -> list[tuple]:
-        doc, label, asks = (unit[c].to_numpy() for c in ("doc_id", "label", "asks"))
+        doc, label, asks, size = (unit[c].to_numpy() for c in ("doc_id", "label", "asks", "n_shingles"))
         signature = unit["signature"].combine_chunks().flatten().to_numpy().reshape(-1, coordinates)
         found = []
         for i in np.flatnonzero(asks):
-            near = np.flatnonzero(~asks & (label != label[i]))
+            fits = 100 * np.minimum(size, size[i]) >= percent * np.maximum(size, size[i])
+            near = np.flatnonzero(~asks & (label != label[i]) & fits)
             near = near[(signature[near] == signature[i]).sum(axis=1) >= least]
             found += [(min(doc[i], doc[j]), max(doc[i], doc[j])) for j in near]
         return found
@@ -302,21 +303,29 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, coordina
     docs = docs.select("doc_id", "text")
     signed = written(signatures(docs, width, coordinates), "signatures")
     sets_of = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("set_high", "set_low")
-    nodes = written(sets_of.agg(F.min(F.struct("doc_id", "signature")).alias("first")).select("set_high", "set_low", "first.*"), "shingle-sets")
+    nodes = written(sets_of.agg(F.min(F.struct("doc_id", "n_shingles", "signature")).alias("first")).select("set_high", "set_low", "first.*"), "shingle-sets")
     postings = written(prefix_postings(nodes, least), "postings")
-    # Full sets of all that meet anybody, hashed once for all rounds.
-    sets = written(shingle_sets(docs, postings.select("doc_id").distinct(), width), "sets")
-    signature = nodes.select("doc_id", "signature")
-    left, right = (signature.select(F.col("doc_id").alias(c), F.col("signature").alias(f"s{c}")) for c in ("a", "b"))
-    met = hub_pairs(postings).join(left, "a").join(right, "b").filter(_agreements("sa", "sb") >= least).select("a", "b")
+    signature = nodes.select("doc_id", "n_shingles", "signature")
+    left, right = (signature.select(*[F.col(x).alias(y + c) for x, y in (("doc_id", ""), ("n_shingles", "n"), ("signature", "s"))]) for c in ("a", "b"))
+    # Sets of similarity s have sizes within a factor s of each other.
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    met = hub_pairs(postings).join(left, "a").join(right, "b").filter(fits & (_agreements("sa", "sb") >= least)).select("a", "b")
     met = written(met, "met-pairs")
-    links = written(confirm(met, sets, percent), "links")
-    strict, loose = components(links, "a", "b"), components(met, "a", "b")
+    loose = components(met, "a", "b")
     lists = _labelled(postings.select(F.col("token").alias("team"), "doc_id"), loose)
-    apart = written(compare_apart(lists, signature, _near_pairs(least, coordinates), BLOCK), "apart-pairs")
+    apart = written(compare_apart(lists, signature, _near_pairs(percent, least, coordinates), BLOCK), "apart-pairs")
+    pairs = met.unionByName(apart)
+    # Full sets of those that met a match, hashed once.
+    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    sets = written(shingle_sets(docs, wanted, width), "sets")
+    links = written(confirm(pairs, sets, percent), "links")
+    strict = components(links, "a", "b")
     groups = _labelled(loose.select(F.col("node").alias("doc_id"), F.col("label").alias("team")), strict)
-    within = compare_apart(groups, signature.join(sets, "doc_id"), _linked_pairs(percent, least, coordinates), SET_BLOCK)
-    links = links.unionByName(confirm(apart, sets, percent)).unionByName(within)
+    mixed = groups.groupBy("team").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("team")
+    groups = written(groups.join(mixed, "team", "left_semi"), "mixed-groups")
+    payload = signature.drop("n_shingles").join(sets.join(groups.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
+    within = written(compare_apart(groups, payload, _linked_pairs(percent, least, coordinates), SET_BLOCK), "links-within")
+    links = links.unionByName(within)
     labels = components(links, "a", "b")
     named = nodes.join(labels, nodes["doc_id"] == labels["node"], "left").select("set_high", "set_low", F.coalesce("label", "doc_id").alias("component_id"))
     rows = signed.select("doc_id", "n_shingles", *[F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col(c)).alias(c) for c in ("set_high", "set_low")])

@@ -50,12 +50,12 @@ def test_members_apart_are_compared_in_blocks(spark):
     """Two classes that share one list are told apart, a missed member is found again."""
     sign = lambda x: [x] * 12 + [9] * 12
     rows = [(i, sign(1), [*range(10)]) for i in range(5)] + [(i, sign(2), [*range(20, 30)]) for i in range(5, 8)] + [(8, sign(1), [*range(9)])]
-    payload = spark.createDataFrame(rows, "doc_id bigint, signature array<int>, shingles array<bigint>")
+    payload = spark.createDataFrame(rows, "doc_id bigint, signature array<int>, shingles array<bigint>").withColumn("n_shingles", F.size("shingles"))
     placed = spark.createDataFrame([(1, i, 0 if i < 5 else 5 if i < 8 else 8) for i in range(9)], "team bigint, doc_id bigint, label bigint")
     for block in (2, 100):
-        near = minhash.compare_apart(placed, payload.drop("shingles"), minhash._near_pairs(20, 24), block)
+        near = minhash.compare_apart(placed, payload.drop("shingles"), minhash._near_pairs(80, 20, 24), block)
         assert {tuple(r) for r in near.collect()} == {(i, 8) for i in range(5)}
-        linked = {tuple(r) for r in minhash.compare_apart(placed, payload, minhash._linked_pairs(80, 20, 24), block).collect()}
+        linked = {tuple(r) for r in minhash.compare_apart(placed, payload.drop("n_shingles"), minhash._linked_pairs(80, 20, 24), block).collect()}
         assert linked and linked <= {(i, 8) for i in range(5)}
 
 
