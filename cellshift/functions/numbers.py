@@ -22,6 +22,14 @@ def non_finite(value: Column | str) -> Column:
     return F.coalesce(F.isnan(column) | (F.abs(column) == F.lit(float("inf"))), F.lit(False))
 
 
+def strict_log2(value: Column | str) -> Column:
+    """log2 of a positive finite value; null and NaN stay missing, anything else stops the query."""
+    column = missing_nan(value)
+    good = (column > 0) & (column < F.lit(float("inf")))
+    refused = F.raise_error(F.concat(F.lit("Observed value is not positive and finite: "), column.cast("string"))).cast("double")
+    return F.when(column.isNull(), F.lit(None).cast("double")).when(good, F.log2(column)).otherwise(refused)
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Divide, null when the denominator is zero or null."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

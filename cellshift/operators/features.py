@@ -69,7 +69,7 @@ def time_scale(fit: DataFrame, time: str = "pert_time", least: float | None = No
     top = fit.agg(F.max(F.col(time).cast("double"))).scalar()
     if least is not None:
         return F.greatest(top, F.lit(float(least)))
-    return F.when(top > 0, top).otherwise(F.raise_error(F.lit("Maximum training time must be positive")).cast("double"))
+    return F.when(top > 0, top).otherwise(F.raise_error(F.lit("No fit row has a time above zero")).cast("double"))
 
 
 def cyclic_time(time: Column, top: Column) -> list[Column]:

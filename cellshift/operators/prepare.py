@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.functions.numbers import missing_nan, ratio
+from cellshift.functions.numbers import missing_nan, non_finite, ratio, strict_log2
 from cellshift.operators.quantiles import exact_quantile
 
 
@@ -40,11 +40,22 @@ def kept_proteins(rates: DataFrame, threshold: float = 0.80) -> DataFrame:
 
 
 def log2_cells(cells: DataFrame, kept: DataFrame | None = None) -> DataFrame:
-    """log2 of positive observed values, restricted to kept proteins."""
-    rows = cells.filter(F.col("value") > 0)
+    """log2 of observed values, restricted to kept proteins.
+
+    Null and NaN mean not observed.  A value that is not positive and finite stops the
+    query; :func:`lenient_log2` makes it missing instead.
+    """
+    rows = cells.filter(missing_nan("value").isNotNull())
     if kept is not None:
         rows = rows.join(kept, "protein", "left_semi")
-    return rows.select("sample_id", "protein", F.log2("value").alias("y"))
+    return rows.select("sample_id", "protein", strict_log2("value").alias("y"))
+
+
+def rejected_values(cells: DataFrame) -> DataFrame:
+    """Observed cells that have no logarithm: (sample_id, protein, value, reason)."""
+    value = missing_nan("value")
+    reason = F.when(non_finite(value), "non_finite").when(value <= 0, "non_positive")
+    return cells.select("sample_id", "protein", "value", reason.alias("reason")).filter(F.col("reason").isNotNull())
 
 
 def lenient_log2(cells: DataFrame) -> DataFrame:
@@ -80,7 +91,7 @@ def detect_scale(cells: DataFrame, threshold: float = 100.0) -> DataFrame:
 
 
 def to_log2_by_scale(cells: DataFrame, scale: str = "auto", threshold: float = 100.0) -> DataFrame:
-    """Bring cells to log2: raw values are transformed, log2 values kept."""
+    """Bring cells to log2: raw values are transformed strictly, log2 values kept."""
     if scale == "raw":
         return log2_cells(cells)
     if scale == "log2":
@@ -89,5 +100,5 @@ def to_log2_by_scale(cells: DataFrame, scale: str = "auto", threshold: float = 1
     return cells.select(
         "sample_id",
         "protein",
-        F.when(found == "raw", F.when(F.col("value") > 0, F.log2("value"))).otherwise(F.col("value")).alias("y"),
+        F.when(found == "raw", strict_log2("value")).otherwise(missing_nan("value")).alias("y"),
     )

@@ -153,6 +153,7 @@ def regime_nominations(table: DataFrame, regimes: Mapping[str, str]) -> tuple[Da
         value("high_effect_pcc").alias("high_pcc"),
         value("high_effect_f1").alias("high_f1"),
     )
+    # Check names of the nomination table.
     checks = wide.select(
         "candidate",
         "scenario",
@@ -309,6 +310,7 @@ def receipt_audit(receipts: DataFrame, control: str) -> DataFrame:
     parent = receipts.filter(F.col("producer") == control).select(*keys, F.col("source_sha").alias("_source"), F.col("parent_sha").alias("_parent"))
     joined = receipts.join(parent, keys, "left")
     same = lambda column: _true(F.col(column) == F.col("_parent"))
+    # Check names of the receipt table.
     checks = {
         "source_matches_control": _true(F.col("source_sha") == F.col("_source")),
         "parent_matches_control": same("parent_sha"),

@@ -303,6 +303,16 @@ def b08(star: Star) -> DataFrame:
     return prepare.log2_cells(star.cells, kept).select("sample_id", "protein", r6("y").alias("y"))
 
 
+@query(
+    "b08_rejected_values",
+    "SELECT event_type, CASE WHEN value - 5 = 0 THEN 'zero' ELSE 'negative' END AS side, 'non_positive' AS reason, count(*) AS n FROM events WHERE value <= 5 GROUP BY 1, 2, 3",
+)
+def b08_rejected(star: Star) -> DataFrame:
+    shifted = star.table("events").select(F.col("event_id").alias("sample_id"), F.col("event_type").alias("protein"), (F.col("value") - 5).alias("value"))
+    side = F.when(F.col("value") == 0, "zero").otherwise("negative")
+    return prepare.rejected_values(shifted).groupBy(F.col("protein").alias("event_type"), side.alias("side"), "reason").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "b08_lenient_log2",
     "SELECT event_type, count(*) AS n_cells, count(*) FILTER (WHERE value > 5) AS n_observed, "

@@ -17,7 +17,9 @@ from cellshift.plans.study import FOLDS, Study
 from cellshift.session import written
 from cellshift.sources.star import Star
 
-DRAWS = 100
+# Draws of the unit and cluster bootstraps, and of the promotion gate's entity bootstrap.
+DRAWS = 10_000
+GATE_DRAWS = 20_000
 
 
 def boot_sql(units: str, by: list[str], seed: object, draws: int = DRAWS) -> str:
@@ -201,7 +203,7 @@ view(
 view(
     "v_promo",
     "SELECT b.*, s42_mean, s52_mean, s62_mean, s42_mean > 0 AND s52_mean > 0 AND s62_mean > 0 AS all_seeds_positive, least(s42_mean, s52_mean, s62_mean) AS min_seed_mean FROM "
-    + boot_sql("SELECT scenario, cluster_axis, metric, heldout_entity AS unit, (s42 + s52 + s62) / 3 AS v FROM v_seed_mean", ["scenario", "cluster_axis", "metric"], 20260813)
+    + boot_sql("SELECT scenario, cluster_axis, metric, heldout_entity AS unit, (s42 + s52 + s62) / 3 AS v FROM v_seed_mean", ["scenario", "cluster_axis", "metric"], 20260813, GATE_DRAWS)
     + " b JOIN (SELECT scenario, cluster_axis, metric, avg(s42) AS s42_mean, avg(s52) AS s52_mean, avg(s62) AS s62_mean FROM v_seed_mean GROUP BY 1, 2, 3) s USING (scenario, cluster_axis, metric)",
 )
 
@@ -211,7 +213,7 @@ def promotion_stats(star: Star) -> DataFrame:
     units = inference.entity_units(seeded_cells(star), AXES, ["model_seed", "scenario"], GRID_METRICS)
     units = units.withColumn("delta", F.round("candidate_value", 6) - F.round("control_value", 6))
     units = written(units, "entity-units")
-    return inference.seed_averaged_bootstrap(units, ["scenario", "cluster_axis", "metric"], SEEDS, DRAWS)
+    return inference.seed_averaged_bootstrap(units, ["scenario", "cluster_axis", "metric"], SEEDS, GATE_DRAWS)
 
 
 @query(
@@ -299,47 +301,59 @@ def k11(star: Star) -> DataFrame:
     return inference.associations(plate_counts(star)).select("target", r6("normalized_mutual_information").alias("nmi"))
 
 
-PERMUTATIONS = 8
+PERMUTATIONS = 200
 
 
-@query(
-    "k12_permutation_null_by_ranks",
+view(
+    "v_null",
     f"""
-WITH k AS (SELECT sample_id, plate, medium, draw, CAST(draw AS VARCHAR) || '|' || CAST(sample_id AS VARCHAR) AS kk FROM v_samples CROSS JOIN (SELECT unnest(range({PERMUTATIONS})) AS draw)),
- a AS (SELECT draw, medium, row_number() OVER (PARTITION BY draw ORDER BY md5('991-to|' || kk)) AS rn FROM k),
+SELECT target, max(o.nmi) AS observed, avg(m.nmi) AS null_mean, quantile_cont(m.nmi, 0.95) AS null_p95, (1.0 + count(*) FILTER (WHERE m.nmi >= o.nmi)) / (1 + count(*)) AS p_ge_observed
+FROM (WITH k AS (SELECT sample_id, plate, {", ".join(TARGETS)}, draw, CAST(draw AS VARCHAR) || '|' || CAST(sample_id AS VARCHAR) AS kk FROM v_samples CROSS JOIN (SELECT unnest(range({PERMUTATIONS})) AS draw)),
+ a AS (SELECT draw, {", ".join(TARGETS)}, row_number() OVER (PARTITION BY draw ORDER BY md5('991-to|' || kk)) AS rn FROM k),
  b AS (SELECT draw, plate, row_number() OVER (PARTITION BY draw ORDER BY md5('991-from|' || kk)) AS rn FROM k),
- c AS (SELECT draw, plate AS u, medium AS v, CAST(count(*) AS DOUBLE) AS n FROM a JOIN b USING (draw, rn) GROUP BY 1, 2, 3),
+ c AS (SELECT target, draw, u, v, CAST(count(*) AS DOUBLE) AS n FROM (SELECT draw, plate AS u, {", ".join(TARGETS)} FROM a JOIN b USING (draw, rn)) UNPIVOT (v FOR target IN ({", ".join(TARGETS)})) GROUP BY 1, 2, 3, 4),
  t AS (SELECT CAST(count(*) AS DOUBLE) AS tot FROM v_samples),
- hu AS (SELECT -sum(x / tot * ln(x / tot)) AS h FROM (SELECT count(*) AS x FROM v_samples GROUP BY plate), t), hv AS (SELECT -sum(x / tot * ln(x / tot)) AS h FROM (SELECT count(*) AS x FROM v_samples GROUP BY medium), t),
- nu AS (SELECT plate AS u, CAST(count(*) AS DOUBLE) AS nu FROM v_samples GROUP BY 1), nv AS (SELECT medium AS v, CAST(count(*) AS DOUBLE) AS nv FROM v_samples GROUP BY 1),
- m AS (SELECT draw, sum(n / tot * ln(n * tot / (nu * nv))) / ((max(hu.h) + max(hv.h)) / 2) AS nmi FROM c JOIN nu USING (u) JOIN nv USING (v), t, hu, hv GROUP BY 1),
- o AS (SELECT nmi FROM v_assoc WHERE target = 'medium')
-SELECT 'medium' AS target, r6((SELECT nmi FROM o)) AS observed, r6(avg(nmi)) AS null_mean, r6(quantile_cont(nmi, 0.95)) AS null_p95, r6((1.0 + count(*) FILTER (WHERE nmi >= (SELECT nmi FROM o))) / (1 + {PERMUTATIONS})) AS p_ge_observed FROM m
+ nu AS (SELECT plate AS u, CAST(count(*) AS DOUBLE) AS nu FROM v_samples GROUP BY 1), nv AS (SELECT target, v, CAST(sum(n) AS DOUBLE) AS nv FROM v_cont GROUP BY 1, 2),
+ hu AS (SELECT -sum(nu / tot * ln(nu / tot)) AS h FROM nu, t), hv AS (SELECT target, -sum(nv / tot * ln(nv / tot)) AS h FROM nv, t GROUP BY 1)
+ SELECT target, draw, sum(n / tot * ln(n * tot / (nu * nv))) / ((max(hu.h) + max(hv.h)) / 2) AS nmi FROM c JOIN nu USING (u) JOIN nv USING (target, v) JOIN hv USING (target), t, hu GROUP BY 1, 2) m
+JOIN (SELECT target, nmi FROM v_assoc) o USING (target) GROUP BY 1
 """,
 )
+_NULL = "r6(observed) AS observed, r6(null_mean) AS null_mean, r6(null_p95) AS null_p95, r6(p_ge_observed) AS p_ge_observed"
+
+
+def permutation_null(star: Star, counts: DataFrame) -> DataFrame:
+    """Null of the mutual information of every target with the plate, from shuffled plate labels."""
+    drawn = inference.permuted_contingency(star.samples.select("sample_id", "plate", *TARGETS), "sample_id", "plate", TARGETS, PERMUTATIONS, 991)
+    null = inference.associations(written(drawn, "permuted-contingency"), ["draw", "target"])
+    return inference.null_summary(inference.associations(counts), null)
+
+
+@query("k12_permutation_null_by_ranks", f"SELECT target, {_NULL} FROM v_null")
 def k12(star: Star) -> DataFrame:
-    observed = inference.associations(inference.contingency(star.samples, "plate", ["medium"]))
-    drawn = inference.permuted_contingency(star.samples.select("sample_id", "plate", "medium"), "sample_id", "plate", ["medium"], PERMUTATIONS, 991)
-    null = inference.associations(drawn, ["draw", "target"])
-    return rounded(inference.null_summary(observed, null), ["target"])
+    return rounded(permutation_null(star, written(plate_counts(star), "contingency")), ["target"])
 
 
 @query("k12_permutation_null_by_margins")
 def k12_margins(star: Star) -> DataFrame:
     counts = written(plate_counts(star), "contingency")
-    null = inference.null_by_margins(counts, 200)
+    null = inference.null_by_margins(counts, PERMUTATIONS)
     return rounded(inference.null_summary(inference.associations(counts), null), ["target"])
 
 
 @query(
     "n08_plate_association_table",
-    "SELECT target, target_levels, r6(nmi) AS nmi, r6(cramers_v) AS cramers_v, r6(purity_u_to_v) AS purity_u_to_v, r6(purity_v_to_u) AS purity_v_to_u, (SELECT count(DISTINCT plate) FROM v_samples) AS n_plates, (SELECT max(n) FROM (SELECT count(*) AS n FROM v_samples GROUP BY plate)) AS largest_plate FROM v_assoc",
+    f"SELECT target, target_levels, r6(nmi) AS nmi, r6(cramers_v) AS cramers_v, r6(purity_u_to_v) AS purity_u_to_v, r6(purity_v_to_u) AS purity_v_to_u, {_NULL} FROM v_assoc JOIN v_null USING (target)",
 )
 def n08(star: Star) -> DataFrame:
-    sizes = star.samples.groupBy("plate").agg(F.count(F.lit(1)).alias("n"))
-    table = inference.associations(plate_counts(star)).withColumnRenamed("normalized_mutual_information", "nmi")
-    extra = sizes.agg(F.struct(F.count(F.lit(1)).alias("n_plates"), F.max("n").alias("largest_plate"))).scalar()
-    return rounded(table, ["target"]).withColumns({"n_plates": extra["n_plates"], "largest_plate": extra["largest_plate"]})
+    counts = written(plate_counts(star), "contingency")
+    table = inference.associations(counts).withColumnRenamed("normalized_mutual_information", "nmi")
+    return rounded(table.join(permutation_null(star, counts), "target"), ["target"])
+
+
+@query("n08_plate_sizes", "SELECT plate, count(*) AS n_samples, count(DISTINCT data_source) AS n_sources FROM v_samples GROUP BY 1")
+def n08_sizes(star: Star) -> DataFrame:
+    return star.samples.groupBy("plate").agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct("data_source").alias("n_sources"))
 
 
 # ------------------------------------------------------------------------- selection
@@ -387,8 +401,7 @@ view(
 def scale_scores(study: Study) -> DataFrame:
     """All 25 strain x chemical scales of every split from one scan."""
     options = [
-        {"strain_scale": row["strain"], "chemical_scale": row["chemical"], "base": 1.0, "by_strain": row["strain"], "by_chemical": row["chemical"]}
-        for row in predict.scale_candidates(["strain", "chemical"])
+        {"strain_scale": s, "chemical_scale": c, "base": 1.0, "by_strain": s, "by_chemical": c} for s in predict.ALLOWED_SCALES for c in predict.ALLOWED_SCALES
     ]
     scores = predict.linear_candidate_scores(delta_components(study.scored), ["split"], PARTS, options, {"strain_scale": "double", "chemical_scale": "double"})
     return rounded(scores.withColumnRenamed("split", "scenario"), ["scenario", "strain_scale", "chemical_scale"])

@@ -585,6 +585,22 @@ def d24(star: Star) -> DataFrame:
     return rounded(both, ["scope"])
 
 
+@query(
+    "d24_incomplete_predictions",
+    "SELECT split, protein, CASE protein WHEN 'L6' THEN 'missing' WHEN 'L5' THEN 'non_finite' ELSE 'absent' END AS reason, count(*) AS n_cells "
+    "FROM v_abs WHERE split <> 'train' AND protein IN ('L5', 'L6', 'L7') GROUP BY 1, 2, 3",
+)
+def d24_incomplete(star: Star) -> DataFrame:
+    """Faults put in: a prediction set without L7, with undefined L6 and infinite L5."""
+    from cellshift.plans.scorer import incomplete_predictions
+
+    held = star.samples.filter(F.col("split") != "train")
+    value = F.when(F.col("protein") == "L6", F.lit(None)).when(F.col("protein") == "L5", F.lit(float("inf"))).otherwise(F.lit(1.0))
+    preds = star.cells.filter(F.col("protein") != "L7").select("sample_id", "protein", value.cast("double").alias("value"))
+    gaps = incomplete_predictions(held, star.cells, preds).join(held.select("sample_id", "split"), "sample_id")
+    return gaps.groupBy("split", "protein", "reason").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 @query(
     "d25_signature_row_pcc",
     f"SELECT split, r6(avg(p)) AS mean_row_pcc, count(p) AS n_rows FROM (SELECT split, sample_id, {pcc('m2', 'y')} AS p FROM v_abs GROUP BY 1, 2) GROUP BY 1",

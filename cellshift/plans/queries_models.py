@@ -44,27 +44,34 @@ def i02(star: Star) -> DataFrame:
 
 
 def member_predictions(star: Star) -> DataFrame:
-    """Three ensemble members as long predictions; the last one lacks a protein."""
+    """Three ensemble members as long predictions."""
     study = Study(star)
     rows = star.log2.join(star.samples.select("sample_id", "split", "strain", "chemical"), "sample_id")
     wide = study.predicted(rows, MEMBERS)
-    long = wide.unpivot(["sample_id", "split", "protein"], ["m1", "m_a", "m_b"], "member", "value")
-    return long.filter(~((F.col("member") == "m_b") & (F.col("protein") == "L7")))
+    return wide.unpivot(["sample_id", "split", "protein"], ["m1", "m_a", "m_b"], "member", "value")
 
 
 @query(
     "i03_seed_average",
-    "SELECT sample_id, protein, r6((m1 + ma + mb) / 3) AS value FROM v_abs WHERE protein <> 'L7'",
+    "SELECT sample_id, protein, r6((m1 + ma + mb) / 3) AS value FROM v_abs",
 )
 def i03(star: Star) -> DataFrame:
     out = predict.seed_average(member_predictions(star), 3)
     return out.select("sample_id", "protein", r6("value").alias("value"))
 
 
-@query("i03_incomplete_members", "SELECT split, protein, count(*) AS n_cells FROM v_abs WHERE protein = 'L7' GROUP BY 1, 2")
+@query(
+    "i03_incomplete_members",
+    "SELECT split, protein, CASE protein WHEN 'L7' THEN 2 WHEN 'L6' THEN 3 ELSE 2 END AS n_seeds, count(*) AS n_cells FROM v_abs WHERE protein IN ('L5', 'L6', 'L7') GROUP BY 1, 2, 3",
+)
 def i03_gaps(star: Star) -> DataFrame:
-    gaps = predict.incomplete_cells(member_predictions(star), 3, ["sample_id", "split", "protein"])
-    return gaps.groupBy("split", "protein").agg(F.count(F.lit(1)).alias("n_cells"))
+    """Faults put in: a member without L7, one that has L6 twice, one that has another's L5 twice in place of its own."""
+    whole = member_predictions(star)
+    last = F.col("member") == "m_b"
+    kept = whole.filter(~(last & F.col("protein").isin("L5", "L7")))
+    faulty = kept.unionByName(whole.filter(last & (F.col("protein") == "L6"))).unionByName(whole.filter((F.col("member") == "m_a") & (F.col("protein") == "L5")))
+    gaps = predict.incomplete_cells(faulty, 3, ["sample_id", "split", "protein"])
+    return gaps.groupBy("split", "protein", "n_seeds").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
 def _values(rows: list[tuple]) -> str:
@@ -247,15 +254,18 @@ def i12_bad(star: Star) -> DataFrame:
 @query(
     "i13_scale_grid",
     f"""
-WITH s AS (SELECT DISTINCT support_regime AS scenario FROM v_regime WHERE support_regime <> 'control'),
- g AS (SELECT a.weight AS strain_scale, b.weight AS chemical_scale, CAST(0 AS DOUBLE) AS pair_scale FROM {WEIGHT_SQL} a CROSS JOIN {WEIGHT_SQL} b)
+WITH s AS (SELECT DISTINCT support_regime AS scenario FROM v_regime WHERE support_regime <> 'control'
+   UNION SELECT 'RT' FROM v_samples WHERE split = 'val_time'),
+ g AS (SELECT a.weight AS strain_scale, b.weight AS chemical_scale, c.weight AS pair_scale FROM {WEIGHT_SQL} a CROSS JOIN {WEIGHT_SQL} b CROSS JOIN {WEIGHT_SQL} c)
 SELECT scenario, strain_scale, chemical_scale, pair_scale FROM s CROSS JOIN g
-WHERE CASE scenario WHEN 'R11' THEN true WHEN 'R10' THEN chemical_scale = 0 WHEN 'R01' THEN strain_scale = 0 ELSE strain_scale = 0 AND chemical_scale = 0 END
+WHERE CASE scenario WHEN 'RT' THEN true WHEN 'R11' THEN pair_scale = 0 WHEN 'R10' THEN pair_scale = 0 AND chemical_scale = 0
+      WHEN 'R01' THEN pair_scale = 0 AND strain_scale = 0 ELSE pair_scale = 0 AND strain_scale = 0 AND chemical_scale = 0 END
 """,
 )
 def i13(star: Star) -> DataFrame:
-    scenarios = audited(star).filter(F.col("support_regime") != "control").select(F.col("support_regime").alias("scenario")).distinct()
-    return predict.scale_grid(scenarios)
+    regimes = audited(star).filter(F.col("support_regime") != "control").select(F.col("support_regime").alias("scenario"))
+    timed = star.samples.filter(F.col("split") == "val_time").select(F.lit("RT").alias("scenario"))
+    return predict.scale_grid(regimes.union(timed).distinct())
 
 
 view("v_grid", f"SELECT split, weight, count(*) AS n_cells, {response('p', 't')} FROM (SELECT *, (1 - weight) * m0 + weight * m2 - c AS p FROM v_score CROSS JOIN {WEIGHT_SQL}) GROUP BY 1, 2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellshift.functions.numbers import missing_nan, non_finite
 from cellshift.functions.text import composite_key, row_kind
 from cellshift.operators import checks, controls, metrics, prepare
 from cellshift.schema import MATCH_FIELDS, TEST_SPLITS
@@ -30,6 +31,16 @@ def prepared_samples(samples: DataFrame, match_fields=MATCH_FIELDS) -> DataFrame
     return samples.withColumn("kind", row_kind("chemical")).withColumn("match_key", composite_key(match_fields))
 
 
+def incomplete_predictions(samples: DataFrame, truth: DataFrame, predictions: DataFrame) -> DataFrame:
+    """Observed truth cells without a finite prediction: (sample_id, protein, reason)."""
+    wanted = truth.filter(missing_nan("value").isNotNull()).join(samples.select("sample_id"), "sample_id", "left_semi").select("sample_id", "protein")
+    given = predictions.select("sample_id", "protein", F.col("value").alias("_p"), F.lit(True).alias("_given"))
+    reason = (
+        F.when(F.col("_given").isNull(), "absent").when(F.col("_p").isNull() | F.isnan("_p"), "missing").when(non_finite("_p"), "non_finite")
+    )
+    return wanted.join(given, ["sample_id", "protein"], "left").select("sample_id", "protein", reason.alias("reason")).filter(F.col("reason").isNotNull())
+
+
 def score_study(
     samples: DataFrame,
     truth: DataFrame,
@@ -43,6 +54,9 @@ def score_study(
 ) -> tuple[DataFrame, DataFrame]:
     """Score a prediction set against truth cells and frozen references.
 
+    Every observed truth cell needs a finite prediction; one that is absent, null or
+    not finite stops the query.
+
     ``samples`` needs sample_id, split, kind, chemical and match_key.  Controls
     come from the scored samples themselves unless another pool is given.
     """
@@ -50,7 +64,10 @@ def score_study(
     p = prepare.to_log2_by_scale(predictions, prediction_scale).withColumnRenamed("y", "m")
     ids = samples.select("sample_id", "split", "kind", "chemical", "match_key")
     # The aligned cells feed six aggregations, so they are written once.
-    absolute = written(y.join(p, ["sample_id", "protein"]).join(ids, "sample_id"), "absolute")
+    refused = F.raise_error(F.concat(F.lit("No finite prediction for "), F.col("sample_id").cast("string"), F.lit("/"), F.col("protein"))).cast("double")
+    checked = F.when(F.col("m").isNull() | non_finite("m"), refused).otherwise(F.col("m"))
+    paired = y.filter(F.col("y").isNotNull()).join(p, ["sample_id", "protein"], "left").withColumn("m", checked)
+    absolute = written(paired.join(ids, "sample_id"), "absolute")
     pool_samples = samples if control_samples is None else control_samples
     pool_cells = y if control_cells is None else control_cells
     means = controls.control_means(pool_samples, pool_cells)

@@ -23,15 +23,20 @@ class Study:
 
     @cached_property
     def all_controls(self) -> DataFrame:
-        return controls.control_means(self.star.samples, self.star.log2)
+        return self.star.stored("all-controls", lambda: controls.control_means(self.star.samples, self.star.log2))
 
     @cached_property
     def train_controls(self) -> DataFrame:
-        return controls.control_means(self.star.train, self.star.log2)
+        return self.star.stored("train-controls", lambda: controls.control_means(self.star.train, self.star.log2))
 
     @cached_property
     def protein_means(self) -> DataFrame:
-        return priors.protein_means(self.star.log2, self.star.train)
+        return self.star.stored("protein-means", lambda: priors.protein_means(self.star.log2, self.star.train))
+
+    def _fit_totals(self, key: str, prefix: str) -> DataFrame:
+        """Sums and counts of train cells per (key, protein)."""
+        fit = lambda: self.star.log2.join(self.star.train.select("sample_id", key), "sample_id")
+        return self.star.stored(f"totals-{key}", lambda: priors.group_totals(fit(), [key], "y", prefix))
 
     @cached_property
     def deltas(self) -> DataFrame:
@@ -45,11 +50,11 @@ class Study:
 
     @cached_property
     def context_reference(self) -> DataFrame:
-        return controls.mean_reference(self.train_deltas, ["match_key"], "context_ref")
+        return self.star.stored("context-reference", lambda: controls.mean_reference(self.train_deltas, ["match_key"], "context_ref"))
 
     @cached_property
     def drug_reference(self) -> DataFrame:
-        return controls.mean_reference(self.train_deltas, ["chemical"], "drug_ref")
+        return self.star.stored("drug-reference", lambda: controls.mean_reference(self.train_deltas, ["chemical"], "drug_ref"))
 
     def predicted(self, rows: DataFrame, alphas: dict[str, float] | None = None) -> DataFrame:
         """Add statistical predictions m0 (protein mean), m1 (+ strain), m2 (+ chemical) to cells.
@@ -57,9 +62,7 @@ class Study:
         ``rows`` needs protein, strain and chemical.  ``alphas`` adds further
         strain-shrunk members under the given names.
         """
-        fit = self.star.log2.join(self.star.train.select("sample_id", "strain", "chemical"), "sample_id")
-        strain = priors.group_totals(fit, ["strain"], "y", "_s")
-        chemical = priors.group_totals(fit, ["chemical"], "y", "_c")
+        strain, chemical = self._fit_totals("strain", "_s"), self._fit_totals("chemical", "_c")
         mean = F.col("protein_mean")
         strain_effect = lambda alpha: priors.shrunk_effect(F.col("_s_n"), F.col("_s_sum") / F.col("_s_n"), mean, alpha)
         chemical_effect = priors.shrunk_effect(F.col("_c_n"), F.col("_c_sum") / F.col("_c_n"), mean, ALPHA)
@@ -99,13 +102,16 @@ class Study:
     @cached_property
     def chemical_folds(self) -> DataFrame:
         treatments = self.star.train.filter(F.col("kind") == "treatment")
-        return folds.balanced_group_folds(treatments, "chemical", FOLDS, SCENARIO_SEEDS["chemical"]).select(
-            "chemical", "fold"
-        )
+        dealt = folds.balanced_group_folds(treatments, "chemical", FOLDS, SCENARIO_SEEDS["chemical"])
+        return self.star.stored("chemical-folds", lambda: dealt.select("chemical", "fold"))
 
     @cached_property
     def oof(self) -> DataFrame:
-        """Out-of-fold cells of the chemical hold-out: fold-local predictors and references.
+        """Out-of-fold cells of the chemical hold-out, derived once per application."""
+        return self.star.stored("out-of-fold", self._derive_oof)
+
+    def _derive_oof(self) -> DataFrame:
+        """Fold-local predictors and references of every held-out cell.
 
         The fit side of a fold is every train row outside its held-out chemicals,
         expressed as totals minus the fold's own share.
@@ -114,10 +120,10 @@ class Study:
             self.chemical_folds, "chemical", "left"
         )
         fit = self.star.log2.join(train.select("sample_id", "strain", "fold"), "sample_id")
-        protein = controls.leave_fold_out_mean(fit, [], "y", out="m0")
-        strain = controls.leave_fold_out_mean(fit, ["strain"], "y", out="_sm", count_out="_sn")
+        protein = self.star.stored("oof-protein", lambda: controls.leave_fold_out_mean(fit, [], "y", out="m0"))
+        strain = self.star.stored("oof-strain", lambda: controls.leave_fold_out_mean(fit, ["strain"], "y", out="_sm", count_out="_sn"))
         deltas = self.train_deltas.join(self.chemical_folds, "chemical")
-        context = controls.leave_fold_out_mean(deltas, ["match_key"], "truth_delta", out="context_ref")
+        context = self.star.stored("oof-context", lambda: controls.leave_fold_out_mean(deltas, ["match_key"], "truth_delta", out="context_ref"))
         effect = priors.shrunk_effect(F.col("_sn"), F.col("_sm"), F.col("m0"), ALPHA)
         return (
             deltas.select("sample_id", "fold", "strain", "chemical", "match_key", "protein", "y", "control", "truth_delta")

@@ -40,6 +40,8 @@ def scratch_root(spark: SparkSession) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cellshift.scratch", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("Set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("cellshift.scratch", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -58,6 +60,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(spark: SparkSession, *labels: str) -> None:
+    """Delete this application's written tables of the given labels, once nothing reads them any more."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    system = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    for label in labels:
+        for path in _WRITTEN.pop((spark.sparkContext.applicationId, label), []):
+            system.delete(spark._jvm.org.apache.hadoop.fs.Path(path), True)
+
+
+# Tables written by this process: (application, label) -> paths.
+_WRITTEN: dict[tuple[str, str], list[str]] = {}
+
+
 def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     """Write a frame once to the scratch folder and read it back.
 
@@ -69,4 +84,5 @@ def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
+    _WRITTEN.setdefault((spark.sparkContext.applicationId, label), []).append(path)
     return spark.read.parquet(path)

@@ -23,7 +23,7 @@ def read_samples_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFram
     header = header_of(spark, path, sep)
     missing = [name for name in METADATA_COLUMNS if name not in header]
     if missing:
-        raise ContractError(f"Metadata is missing required columns: {missing}")
+        raise ContractError(f"Sample table lacks {missing}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
     rows = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
     extra = [name for name in header if name not in METADATA_COLUMNS]
@@ -39,7 +39,7 @@ def read_samples_parquet(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.parquet(path)
     missing = [name for name in METADATA_COLUMNS if name not in rows.columns]
     if missing:
-        raise ContractError(f"Metadata is missing required columns: {missing}")
+        raise ContractError(f"Sample table lacks {missing}")
     return rows.withColumnsRenamed(METADATA_COLUMNS)
 
 
@@ -47,10 +47,10 @@ def read_wide_matrix_csv(spark: SparkSession, path: str, key: str = "sample_ID",
     """Wide abundance matrix to long cells; only the wanted protein columns are parsed."""
     header = header_of(spark, path)
     if key not in header:
-        raise ContractError(f"Protein matrix is missing {key}")
+        raise ContractError(f"No key column {key} in the matrix")
     names = [name for name in header if name != key]
     if not names:
-        raise ContractError("Protein matrix has no protein columns")
+        raise ContractError("The matrix holds nothing but its key column")
     wanted = list(proteins) if proteins is not None else names
     absent = [name for name in wanted if name not in names]
     if absent:

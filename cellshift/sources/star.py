@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellshift.functions.text import composite_key, row_kind
+from cellshift.operators.prepare import log2_cells
 from cellshift.session import scratch_path
 
 # Fields that must agree between a treatment and its controls in this mapping.
@@ -106,6 +107,23 @@ class Star:
         _PREPARED[key] = (table, path)
         return self.spark.table(table)
 
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """Derive a summary table once per application and read it from the scratch folder.
+
+        Its file size is then known to the planner, which broadcasts it below the session's
+        threshold and otherwise joins it like any other table.
+        """
+        key = (self.spark.sparkContext.applicationId, self.folder, f"stored-{name}")
+        known = _PREPARED.get(key)
+        if known:
+            system, path = self._file_system(f"{known[1]}/_SUCCESS")
+            if system.exists(path):
+                return self.spark.read.parquet(known[1])
+        path = scratch_path(self.spark, name)
+        build().write.mode("error").parquet(path)
+        _PREPARED[key] = ("", path)
+        return self.spark.read.parquet(path)
+
     @cached_property
     def samples(self) -> DataFrame:
         return self._prepared("samples", self._derive_samples)
@@ -164,7 +182,7 @@ class Star:
     @cached_property
     def log2(self) -> DataFrame:
         """Observed cells on the log2 scale: (sample_id, protein, y)."""
-        return self.cells.filter(F.col("value") > 0).select("sample_id", "protein", F.log2("value").alias("y"))
+        return log2_cells(self.cells)
 
     @cached_property
     def train(self) -> DataFrame:
