@@ -73,14 +73,17 @@ def released(spark: SparkSession, *labels: str) -> None:
 _WRITTEN: dict[tuple[str, str], list[str]] = {}
 
 
-def written(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
+def written(df: DataFrame, label: str, *partition_by: str, compression: str | None = None) -> DataFrame:
     """Write a frame once to the scratch folder and read it back.
 
-    Used where one expensive intermediate feeds several branches of a plan.
+    Used where one expensive intermediate feeds several branches of a plan.  The
+    compression is the session's unless one is named.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
     writer = df.write.mode("error")
+    if compression:
+        writer = writer.option("compression", compression)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
