@@ -358,10 +358,10 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    table = written(marked(docs, key, text, window, broadcast_anchors), "marked-texts")
+    table = written(marked(docs, key, text, window, broadcast_anchors), "marked-texts", compression="zstd")
     contexts = table.select("doc_id", "sequence", F.explode("contexts").alias("c")).select("doc_id", "sequence", "c.*")
     crowded = contexts.select("anchor", F.xxhash64("words").alias("code")).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_CONTEXTS)
-    crowded = crowded.select("anchor", F.lit(True).alias("crowded"))
+    crowded = written(crowded.select("anchor", F.lit(True).alias("crowded")), "crowded-anchors")
     single = F.transform(
         F.sequence(F.lit(0), F.size("words") - window),
         lambda i: F.struct((F.col("start") + i).alias("start"), F.slice("words", i + 1, F.lit(window)).alias("words")),
@@ -371,9 +371,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     dealt = dealt.select(
         "doc_id", "sequence", F.col("piece.start").alias("start"), F.col("piece.words").alias("words"), F.xxhash64("piece.words").alias("code"), "anchor", "crowded"
     )
-    dealt = written(dealt.withColumn("route", F.when(F.col("crowded"), F.col("code")).otherwise(F.col("anchor"))).drop("anchor", "crowded"), "contexts")
+    dealt = dealt.withColumn("route", F.when(F.col("crowded"), F.col("code")).otherwise(F.col("anchor"))).drop("anchor", "crowded")
     distinct = dealt.groupBy("route", "code", "words").agg(F.min("doc_id").alias("doc_id"))
-    shards = max(1, dealt.count() // SHARD_CONTEXTS + 1)
+    shards = (table.agg(F.sum(F.size("contexts"))).first()[0] or 0) // SHARD_CONTEXTS + 1
     firsts = (
         distinct.withColumn("shard", F.pmod("route", F.lit(shards)))
         .groupBy("shard")
