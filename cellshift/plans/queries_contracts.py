@@ -29,8 +29,11 @@ THRESHOLD = 0.80
 def a01(star: Star) -> DataFrame:
     path = scratch_path(star.spark, "samples-csv")
     renamed = star.samples.select(*[F.col(ours).alias(theirs) for theirs, ours in METADATA_COLUMNS.items()])
-    writers.write_csv(renamed, path)
-    samples = readers.read_samples_csv(star.spark, path)
+    # Two column orders in one folder.
+    late = F.col("pert_time") > 1996
+    writers.write_csv(renamed.filter(~late), f"{path}/early")
+    writers.write_csv(renamed.filter(late).select(*renamed.columns[::-1]), f"{path}/late")
+    samples = readers.read_samples_csv(star.spark, f"{path}/*")
     return samples.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_samples"),
         F.countDistinct("chemical").alias("n_chemicals"),
@@ -41,12 +44,15 @@ def a01(star: Star) -> DataFrame:
 
 
 def _wide_csv(star: Star) -> str:
-    """Write the cells as a wide sample x protein CSV."""
+    """Write the cells as wide sample x protein CSV files with two column orders in one folder."""
     path = scratch_path(star.spark, "wide-csv")
-    proteins = [f"L{i}" for i in range(1, 8)]
-    wide = star.cells.groupBy("sample_id").pivot("protein", proteins).agg(F.first("value"))
-    writers.write_csv(wide.withColumnRenamed("sample_id", "sample_ID"), path)
-    return path
+    # Protein names are column names here, so they are few.
+    proteins = sorted(row["protein"] for row in star.cells.select("protein").distinct().collect())
+    wide = star.cells.groupBy("sample_id").pivot("protein", proteins).agg(F.first("value")).withColumnRenamed("sample_id", "sample_ID")
+    odd = F.col("sample_ID") % 2 == 1
+    writers.write_csv(wide.filter(~odd), f"{path}/even")
+    writers.write_csv(wide.filter(odd).select(*proteins[::-1], "sample_ID"), f"{path}/odd")
+    return f"{path}/*"
 
 
 @query(

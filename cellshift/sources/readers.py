@@ -18,14 +18,41 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path).columns
 
 
+def header_groups(spark: SparkSession, path: str, sep: str = ",", **options: object) -> list[tuple[list[str], list[str]]]:
+    """(column names, files) for every header line that the files of a path begin with.
+
+    A file's first line is the first row of its first block; one row per file reaches the
+    driver, as many as its file listing has.
+    """
+    lines = spark.read.options(**options).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0")
+    first = lines.groupBy("file_path").agg(F.first("value").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header").collect()
+    # The files are named, so the CSV reader splits quoted names the way it will split the rows.
+    return [(spark.read.option("header", True).option("sep", sep).csv(row["files"][0]).columns, row["files"]) for row in found]
+
+
+def _by_name(parts: Sequence[DataFrame]) -> DataFrame:
+    """Union of groups by column name; a column that a group lacks is null there."""
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part, allowMissingColumns=True)
+    return whole
+
+
 def read_samples_csv(spark: SparkSession, path: str, sep: str = ",") -> DataFrame:
-    """Sample metadata with the required-column contract; keys stay text, the time is a number."""
-    header = header_of(spark, path, sep)
+    """Sample metadata with the required-column contract; keys stay text, the time is a number.
+
+    Files may order their columns differently; each is read by its own header.
+    """
+    return _by_name([_samples_csv(spark, header, files, sep) for header, files in header_groups(spark, path, sep)])
+
+
+def _samples_csv(spark: SparkSession, header: list[str], files: list[str], sep: str) -> DataFrame:
     missing = [name for name in METADATA_COLUMNS if name not in header]
     if missing:
         raise ContractError(f"Sample table lacks {missing}")
     schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    rows = spark.read.schema(schema).option("header", True).option("sep", sep).csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("sep", sep).csv(files)
     extra = [name for name in header if name not in METADATA_COLUMNS]
     named = [
         F.col(f"`{theirs}`").cast("double").alias(ours) if ours == "pert_time" else F.col(f"`{theirs}`").alias(ours)
@@ -44,8 +71,15 @@ def read_samples_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_wide_matrix_csv(spark: SparkSession, path: str, key: str = "sample_ID", proteins: Sequence[str] | None = None) -> DataFrame:
-    """Wide abundance matrix to long cells; only the wanted protein columns are parsed."""
-    header = header_of(spark, path)
+    """Wide abundance matrix to long cells; only the wanted protein columns are parsed.
+
+    Files may order their columns differently; each is read by its own header.
+    """
+    parts = [_wide_matrix_csv(spark, header, files, key, proteins) for header, files in header_groups(spark, path)]
+    return _by_name(parts)
+
+
+def _wide_matrix_csv(spark: SparkSession, header: list[str], files: list[str], key: str, proteins: Sequence[str] | None) -> DataFrame:
     if key not in header:
         raise ContractError(f"No key column {key} in the matrix")
     names = [name for name in header if name != key]
@@ -56,15 +90,17 @@ def read_wide_matrix_csv(spark: SparkSession, path: str, key: str = "sample_ID",
     if absent:
         raise ContractError(f"Protein matrix lacks columns: {absent}")
     schema = T.StructType([T.StructField(name, T.StringType() if name == key else T.DoubleType()) for name in header])
-    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(path)
+    rows = spark.read.schema(schema).option("header", True).option("mode", "FAILFAST").csv(files)
     return long_cells(rows.select(F.col(f"`{key}`").alias("sample_id"), *[F.col(f"`{name}`") for name in wanted]))
 
 
 def read_registry_tsv(spark: SparkSession, path: str) -> DataFrame:
     """Reviewed registry as text; empty fields are empty text, never null."""
-    header = [name.strip() for name in header_of(spark, path, "\t")]
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
-    return spark.read.schema(schema).option("header", True).option("sep", "\t").csv(path).na.fill("")
+    parts = []
+    for header, files in header_groups(spark, path, "\t"):
+        schema = T.StructType([T.StructField(name.strip(), T.StringType()) for name in header])
+        parts.append(spark.read.schema(schema).option("header", True).option("sep", "\t").csv(files))
+    return _by_name(parts).na.fill("")
 
 
 def registry_type(columns: Sequence[str]) -> str:
@@ -121,9 +157,14 @@ def incomplete_folds(predictions: DataFrame, folds: int) -> DataFrame:
 
 
 def read_leaderboard(spark: SparkSession, root: str) -> DataFrame:
-    """Run summaries below a directory tree; the run id comes from the path."""
-    rows = spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").csv(root)
-    return rows.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)/", 1))
+    """Run summaries below a directory tree, each read by its own header; the run id comes from the path."""
+    groups = header_groups(spark, root, recursiveFileLookup=True, pathGlobFilter="*.csv")
+    parts = []
+    for header, files in groups:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+        rows = spark.read.schema(schema).option("header", True).csv(files)
+        parts.append(rows.withColumn("run", F.regexp_extract(F.col("_metadata.file_path"), r"run=([^/]+)/", 1)))
+    return _by_name(parts)
 
 
 def load_references(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
