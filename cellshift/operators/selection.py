@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellshift.operators.priors import against_baseline
@@ -277,6 +277,12 @@ def promotion_checks(stats: DataFrame, fc_threshold: Column | float = PRIMARY_FC
     return stats.withColumn("passed", passed)
 
 
+def expected_checks(spark: SparkSession, axes: Mapping[str, Sequence[str]], residuals: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(scenario, cluster_axis, metric) rows that a verdict needs: each scenario's own axes and residuals."""
+    rows = [(scenario, axis, metric) for scenario in axes for axis in axes[scenario] for metric in ("fc_pcc", *residuals[scenario], *HIGH_METRICS)]
+    return spark.createDataFrame(rows, "scenario string, cluster_axis string, metric string")
+
+
 def promotion_verdict(checks: DataFrame, by: Sequence[str], expected: DataFrame | None = None) -> DataFrame:
     """Overall verdict with the failing rows as reasons; expected rows that are absent also block."""
     by = list(by)

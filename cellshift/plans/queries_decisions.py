@@ -209,7 +209,11 @@ view(
 
 
 def promotion_stats(star: Star) -> DataFrame:
-    """Bootstrapped entity statistics per (scenario, axis, metric)."""
+    """Bootstrapped entity statistics per (scenario, axis, metric), drawn once per application."""
+    return star.stored("promotion-stats", lambda: _drawn_promotion_stats(star))
+
+
+def _drawn_promotion_stats(star: Star) -> DataFrame:
     units = inference.entity_units(seeded_cells(star), AXES, ["model_seed", "scenario"], GRID_METRICS)
     units = units.withColumn("delta", F.round("candidate_value", 6) - F.round("control_value", 6))
     units = written(units, "entity-units")
@@ -635,18 +639,28 @@ def l09(star: Star) -> DataFrame:
     return selection.promotion_checks(promotion_stats(star)).select("scenario", "cluster_axis", "metric", "n_units", "passed")
 
 
+# Axes and residuals that each scenario must show; plates are asked of the time split and never scored, so it is blocked.
+GATE_AXES = {"val_chem_only": ["chemical"], "val_strain_only": ["strain"], "val_both": ["chemical", "strain", "strain+chemical"], "val_time": ["strain+chemical", "plate"]}
+GATE_RESIDUALS = {"val_chem_only": ["context_residual_pcc"], "val_strain_only": ["drug_residual_pcc"], "val_both": ["context_residual_pcc", "drug_residual_pcc"], "val_time": ["context_residual_pcc"]}
+_GATE_SQL = ", ".join(
+    f"('{scenario}', '{axis}', '{metric}')" for scenario in GATE_AXES for axis in GATE_AXES[scenario] for metric in ("fc_pcc", *GATE_RESIDUALS[scenario], *selection.HIGH_METRICS)
+)
+
+
 @query(
     "l09_promotion_verdict",
     f"""
 SELECT scenario, count(*) AS n_checks, count(*) FILTER (WHERE passed) AS n_passed, bool_and(passed) AND bool_or(metric IN ('context_residual_pcc', 'drug_residual_pcc')) AS promoted,
   coalesce(array_to_string(list_sort(list(scenario || '/' || cluster_axis || '/' || metric) FILTER (WHERE NOT passed)), '; '), '') AS reasons
-FROM (SELECT *, {_passed_sql('0.01')} AS passed FROM v_promo WHERE cluster_axis = 'chemical') GROUP BY 1
+FROM (SELECT e.*, coalesce(p.passed, false) AS passed FROM (VALUES {_GATE_SQL}) e(scenario, cluster_axis, metric)
+      LEFT JOIN (SELECT *, {_passed_sql('0.01')} AS passed FROM v_promo) p USING (scenario, cluster_axis, metric)) GROUP BY 1
 """,
 )
 def l09_verdict(star: Star) -> DataFrame:
-    checks = selection.promotion_checks(promotion_stats(star).filter(F.col("cluster_axis") == "chemical"))
+    checks = selection.promotion_checks(promotion_stats(star)).withColumn("_by", F.col("scenario"))
+    expected = selection.expected_checks(star.spark, GATE_AXES, GATE_RESIDUALS).withColumn("_by", F.col("scenario"))
     # The verdict groups by scenario; the scenario also labels the reasons.
-    return selection.promotion_verdict(checks.withColumn("_by", F.col("scenario")), ["_by"]).withColumnRenamed("_by", "scenario")
+    return selection.promotion_verdict(checks, ["_by"], expected).withColumnRenamed("_by", "scenario")
 
 
 @query(
