@@ -28,10 +28,11 @@ from cellshift.llm.common import ascii_lower, bounded_batches, text_of, words_of
 from cellshift.llm.graphs import components
 from cellshift.session import written
 
-COORDINATES = 24
-# Agreements that a candidate needs.  At similarity 0.8 the count is binomial(24, 0.8);
-# fewer than 10 has probability 6e-6.
-LEAST_MATCHES = 10
+COORDINATES = 48
+# Agreements that a candidate needs.  At similarity 0.8 the count is binomial(48, 0.8);
+# fewer than 25 has probability 3.3e-6.  A text whose coordinates are shared by chance
+# (as in a large corpus, where most values occur twice somewhere) seldom has so many.
+LEAST_MATCHES = 25
 # Members of a block: of signatures, and of full sets.
 BLOCK, SET_BLOCK = 1024, 128
 
