@@ -34,6 +34,28 @@ def _ranked_units(units: DataFrame, by: Sequence[str], unit: str, seed: object)
     return ranked.withColumn("_n", F.lit(units.agg(F.count(F.lit(1))).scalar()))
 
 
+# Units of a group up to which their values travel as one array, and slices of the draws.
+ROW_UNITS, DRAW_SLICES = 2_000, 32
+
+
+def _means_in_rows(ranked: DataFrame, by: Sequence[str], draws: int, seed: object) -> DataFrame:
+    """(by, draw, _m) without a row per unit and draw: a group's values are looked up in one array.
+
+    The picks are those of :func:`draw_picks`.
+    """
+    packed = ranked.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_v"))), lambda x: x["_v"]).alias("_values"))
+    sliced = packed.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(DRAW_SLICES - 1)))).repartition(*by, "_slice")
+    each = F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")
+    spread = sliced.withColumn("draw", F.explode(F.filter(each, lambda d: F.pmod(d, F.lit(DRAW_SLICES)) == F.col("_slice"))))
+    size = F.size("_values")
+    total = F.aggregate(
+        F.sequence(F.lit(1), size),
+        F.lit(0.0),
+        lambda acc, rank: acc + F.element_at("_values", (hash_int(F.lit(str(seed)), F.col("draw"), rank) % size + 1).cast("int")),
+    )
+    return spread.select(*by, "draw", (total / size).alias("_m"))
+
+
 def bootstrap_means(units: DataFrame, by: Sequence[str], unit: str, value: str, draws: int = 10_000, seed: object = 0) -> DataFrame:
     """Mean, 95 % interval and P(mean > 0) of per-unit deltas; undefined deltas are left out.
 
@@ -44,9 +66,12 @@ def bootstrap_means(units: DataFrame, by: Sequence[str], unit: str, value: str,
     # One row per unit, but usually the end of a long plan over cells: stored once, read by every branch below.
     usable = written(usable, "bootstrap-units")
     ranked = _ranked_units(usable, by, "_unit", seed)
-    picks = draw_picks(ranked, by, draws, seed)
-    chosen = picks.join(ranked.select(*by, F.col("_rank").alias("pick"), "_v"), [*by, "pick"])
-    means = chosen.groupBy(*by, "draw").agg(F.avg("_v").alias("_m"))
+    if (ranked.agg(F.max("_n")).first()[0] or 0) <= ROW_UNITS:
+        means = _means_in_rows(ranked, by, draws, seed)
+    else:
+        picks = draw_picks(ranked, by, draws, seed)
+        chosen = picks.join(ranked.select(*by, F.col("_rank").alias("pick"), "_v"), [*by, "pick"])
+        means = chosen.groupBy(*by, "draw").agg(F.avg("_v").alias("_m"))
     spread = means.groupBy(*by).agg(
         F.percentile("_m", 0.025).alias("ci_low"),
         F.percentile("_m", 0.975).alias("ci_high"),
