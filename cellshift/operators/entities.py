@@ -40,6 +40,8 @@ def keyed_registry(registry: DataFrame, key_column: str) -> DataFrame:
 def resolve(rows: DataFrame, column: str, registry: DataFrame, key_column: str, prefix: str, allow_proxy: bool = True) -> DataFrame:
     """Attach the registry record of a name; names without one are unresolved.
 
+    Distinct names are normalised and looked up; the rows then meet that short table by name.
+
     Adds ``<prefix>_key``, ``_canonical_id``, ``_status``, ``_tier``,
     ``_proxy_target``, ``_proxy``, ``_missing``, ``_semantic`` and ``_support_key``.
     """
@@ -49,7 +51,8 @@ def resolve(rows: DataFrame, column: str, registry: DataFrame, key_column: str,
     record = keyed_registry(registry, key_column).select(
         F.col("entity_key").alias(f"{prefix}_key"), *[F.col(n).alias(f"_r_{n}") for n in wanted + tier + flags]
     )
-    joined = rows.withColumn(f"{prefix}_key", entity_key(column)).join(record, f"{prefix}_key", "left")
+    names = rows.select(F.col(column).alias("_name")).distinct()
+    found = names.withColumn(f"{prefix}_key", entity_key("_name")).join(record, f"{prefix}_key", "left")
     text = lambda name, default="": F.coalesce(F.trim(F.col(f"_r_{name}").cast("string")), F.lit(default))
     status = text("mapping_status", "unresolved")
     proxy = status == "proxy"
@@ -66,7 +69,8 @@ def resolve(rows: DataFrame, column: str, registry: DataFrame, key_column: str,
     }
     for name in flags:
         columns[f"{prefix}_{name}"] = F.coalesce(text_flag(F.col(f"_r_{name}")), F.lit(False))
-    return joined.withColumns(columns).drop(*[f"_r_{n}" for n in wanted + tier + flags])
+    table = found.withColumns(columns).drop(*[f"_r_{n}" for n in wanted + tier + flags])
+    return rows.join(table, F.col(column).eqNullSafe(F.col("_name")), "left").drop("_name")
 
 
 def support_key(canonical_id: Column, key: Column) -> Column:
