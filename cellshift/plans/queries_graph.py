@@ -175,32 +175,54 @@ def m08(star: Star) -> DataFrame:
     return graph.rewiring_violations(edges, graph.rewire(edges, 7, swaps_per_edge=1))
 
 
+def rewired_twin(star: Star) -> DataFrame:
+    """The rewired graph with the original weights in random order, made once per application."""
+
+    def build() -> DataFrame:
+        edges = written(edge_table(star), "edges")
+        return graph.permuted_weights(graph.rewire(edges, 7, swaps_per_edge=1), edges, 5)
+
+    return star.stored("rewired-twin", build)
+
+
+@query("m09_weight_permutation", "SELECT r6(weight) AS weight, count(*) AS n_edges, CAST(count(*) AS BIGINT) AS n_distinct_edges FROM v_edges GROUP BY 1")
+def m09(star: Star) -> DataFrame:
+    """Weights on the rewired edges: the same multiset as on the original ones, one per edge."""
+    twin = rewired_twin(star)
+    return twin.groupBy(r6("weight").alias("weight")).agg(F.count(F.lit(1)).alias("n_edges"), F.count_distinct("src", "dst").alias("n_distinct_edges"))
+
+
 @query(
-    "m09_weight_permutation",
+    "m09_permuted_ranks",
     """
 WITH a AS (SELECT src, dst, row_number() OVER (ORDER BY md5('5-to|' || src || '-' || dst)) AS p FROM v_edges), b AS (SELECT weight, row_number() OVER (ORDER BY md5('5-from|' || src || '-' || dst)) AS p FROM v_edges)
 SELECT src, dst, r6(weight) AS weight FROM a JOIN b USING (p)
 """,
 )
-def m09(star: Star) -> DataFrame:
+def m09_ranks(star: Star) -> DataFrame:
+    """The permutation itself, on edges that SQL can name."""
     edges = written(edge_table(star), "edges")
-    out = graph.permuted_weights(edges.select("src", "dst"), edges, 5)
-    return out.select("src", "dst", r6("weight").alias("weight"))
+    return graph.permuted_weights(edges.select("src", "dst"), edges, 5).select("src", "dst", r6("weight").alias("weight"))
+
+
+_GRAPH_STATS = ["n_nodes", "n_edges", "covered_nodes", "max_degree"]
+_GRAPH_SQL = f"SELECT {', '.join(f'CAST({n} AS DOUBLE) AS {n}' for n in _GRAPH_STATS)} FROM ({DEGREE_SQL})"
 
 
 @query(
     "m10_graph_report",
-    f"SELECT 'mapping' AS section, mapping_method AS name, CAST(count(*) AS DOUBLE) AS value FROM v_map GROUP BY 2 UNION ALL SELECT 'graph', name, value FROM "
-    f"(SELECT CAST(n_nodes AS DOUBLE) AS n_nodes, CAST(n_edges AS DOUBLE) AS n_edges, CAST(covered_nodes AS DOUBLE) AS covered_nodes, CAST(max_degree AS DOUBLE) AS max_degree FROM ({DEGREE_SQL})) UNPIVOT (value FOR name IN (n_nodes, n_edges, covered_nodes, max_degree))",
+    "SELECT 'mapping' AS section, mapping_method AS name, CAST(count(*) AS DOUBLE) AS value FROM v_map GROUP BY 2 "
+    + " ".join(f"UNION ALL SELECT '{section}', name, value FROM ({_GRAPH_SQL}) UNPIVOT (value FOR name IN ({', '.join(_GRAPH_STATS)}))" for section in ("graph", "rewired")),
 )
 def m10(star: Star) -> DataFrame:
-    methods = graph.method_counts(mapping_table(star)).select(F.lit("mapping").alias("section"), F.col("mapping_method").alias("name"), F.col("n").cast("double").alias("value"))
-    stats = graph.degree_statistics(edge_table(star), node_table(star).agg(F.count(F.lit(1))))
-    names = ["n_nodes", "n_edges", "covered_nodes", "max_degree"]
-    long = stats.select(*[F.col(n).cast("double").alias(n) for n in names]).select(
-        F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("e")
-    )
-    return methods.unionByName(long.select(F.lit("graph").alias("section"), "e.name", "e.value"))
+    """Mapping methods and the statistics of both graphs; rewiring keeps every degree."""
+    report = graph.method_counts(mapping_table(star)).select(F.lit("mapping").alias("section"), F.col("mapping_method").alias("name"), F.col("n").cast("double").alias("value"))
+    nodes = node_table(star).agg(F.count(F.lit(1)))
+    for section, edges in (("graph", edge_table(star)), ("rewired", rewired_twin(star))):
+        stats = graph.degree_statistics(edges, nodes)
+        long = stats.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).cast("double").alias("value")) for n in _GRAPH_STATS])).alias("e"))
+        report = report.unionByName(long.select(F.lit(section).alias("section"), "e.name", "e.value"))
+    return report
 
 
 # ------------------------------------------------------------------------ audits
