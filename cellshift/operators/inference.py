@@ -75,7 +75,7 @@ def bootstrap_means(units: DataFrame, by: Sequence[str], unit: str, value: str,
     spread = means.groupBy(*by).agg(
         F.percentile("_m", 0.025).alias("ci_low"),
         F.percentile("_m", 0.975).alias("ci_high"),
-        F.avg(F.when(F.col("_m") > 0, 1.0).otherwise(0.0)).alias("probability_positive"),
+        F.avg(F.when(F.round("_m", 12) > 0, 1.0).otherwise(0.0)).alias("probability_positive"),
     )
     observed = usable.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_units"), F.avg("_v").alias("mean_delta"), F.stddev_samp("_v").alias("std_delta")
@@ -125,7 +125,8 @@ def cluster_bootstrap(
     long = macro.select(
         "draw", F.explode(F.array(*[F.struct(F.lit(n).alias("metric"), (F.col(f"x_{n}") - F.col(f"c_{n}")).alias("delta")) for n in metrics])).alias("e")
     ).select("draw", "e.metric", "e.delta")
-    sampled = F.when(F.col("draw") >= 0, F.col("delta"))
+    # A draw in which both models agree differs from zero by summation order only.
+    sampled = F.when(F.col("draw") >= 0, F.round("delta", 12))
     n_clusters = pair.agg(F.countDistinct(cluster)).scalar()
     return long.groupBy("metric").agg(
         F.max(F.when(F.col("draw") == -1, F.col("delta"))).alias("mean_delta"),

@@ -35,7 +35,7 @@ def boot_sql(units: str, by: list[str], seed: object, draws: int = DRAWS) -> str
  p AS (SELECT {comma}draw, CAST('0x' || substr(md5('{seed}|' || CAST(draw AS VARCHAR) || '|' || CAST(rk AS VARCHAR)), 1, 8) AS BIGINT) % n + 1 AS pick FROM u CROSS JOIN (SELECT unnest(range({draws})) AS draw)),
  m AS (SELECT {', '.join([*(f'p.{k}' for k in by), 'p.draw'])}, avg(b.v) AS mv FROM p JOIN u b ON {join} GROUP BY ALL)
  SELECT * FROM (SELECT {comma}count(*) AS n_units, avg(v) AS mean_delta, stddev_samp(v) AS std_delta FROM u {group})
- JOIN (SELECT {comma}quantile_cont(mv, 0.025) AS ci_low, quantile_cont(mv, 0.975) AS ci_high, avg(CASE WHEN mv > 0 THEN 1.0 ELSE 0.0 END) AS probability_positive FROM m {group}) {using})
+ JOIN (SELECT {comma}quantile_cont(mv, 0.025) AS ci_low, quantile_cont(mv, 0.975) AS ci_high, avg(CASE WHEN round(mv, 12) > 0 THEN 1.0 ELSE 0.0 END) AS probability_positive FROM m {group}) {using})
 """
 
 
@@ -130,7 +130,7 @@ WITH st AS (SELECT * FROM {stats}),
  lg AS (SELECT * FROM mc UNPIVOT (score FOR metric IN (fc_pcc, context_residual_pcc, high_effect_pcc, high_effect_f1))),
  dl AS (SELECT a.draw, a.metric, a.score - b.score AS d FROM lg a JOIN lg b ON a.draw = b.draw AND a.metric = b.metric AND a.model = 'm1' AND b.model = 'm0')
 SELECT metric, r6(max(d) FILTER (WHERE draw = -1)) AS mean_delta, r6(quantile_cont(CASE WHEN draw >= 0 THEN d END, 0.025)) AS ci_low, r6(quantile_cont(CASE WHEN draw >= 0 THEN d END, 0.975)) AS ci_high,
-  r6(avg(CASE WHEN d > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE draw >= 0)) AS p_delta_gt_zero, (SELECT count(*) FROM cl) AS n_clusters FROM dl GROUP BY 1
+  r6(avg(CASE WHEN round(d, 12) > 0 THEN 1.0 ELSE 0.0 END) FILTER (WHERE draw >= 0)) AS p_delta_gt_zero, (SELECT count(*) FROM cl) AS n_clusters FROM dl GROUP BY 1
 """
 
 
