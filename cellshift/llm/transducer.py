@@ -34,7 +34,8 @@ from cellshift.session import written
 LEXICON_WORDS = 100_000
 LEAST_COUNT = 8
 FLUSH_WORDS = 200_000
-CACHE_WORDS = 150_000
+# Bounds of a worker's caches: words with their ids, and pieces of unseen words.
+CACHE_WORDS, CACHE_PIECES = 400_000, 200_000
 LONG_WORD = 48
 
 _WHITE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -68,6 +69,7 @@ class Merges:
         for token, at in self.special.items():
             self.bytes_of[at] = token.encode()
         self._rank: dict[int, int] | None = None
+        self._merged: dict[bytes, list[int]] = {}
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Rank of each pair, a large number where it does not merge."""
@@ -136,8 +138,11 @@ class Merges:
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """Token ids of words, each split into the vocabulary's pieces first."""
         pieces = [[p.encode() for p in PIECES.findall(word)] for word in words]
-        short = list({p for row in pieces for p in row if len(p) <= LONG_WORD})
-        known = dict(zip(short, self._by_length(short), strict=True))
+        if len(self._merged) > CACHE_PIECES:
+            self._merged.clear()
+        known = self._merged
+        short = list({p for row in pieces for p in row if len(p) <= LONG_WORD and p not in known})
+        known.update(zip(short, self._by_length(short), strict=True))
         return [[t for p in row for t in (known[p] if p in known else self.merge_one(p))] for row in pieces]
 
     def _by_length(self, words: list[bytes]) -> list[list[int]]:
@@ -364,8 +369,8 @@ def _encoder(tokenizer: str, shared):
             _ENCODERS[key] = Encoder(tokenizer, shared.value)
         encoder = _ENCODERS[key]
         for batch in batches:
-            for first in range(0, batch.num_rows, 500):
-                part = batch.slice(first, 500)
+            for first in range(0, batch.num_rows, 1000):
+                part = batch.slice(first, 1000)
                 found = encoder.encode(part.column(part.schema.get_field_index("text")).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(found), np.int32)))
