@@ -1,8 +1,7 @@
 """URL verdicts: host and path rules first, then boosted trees on lexical features.
 
-The trees are trained on labelled URLs, of which a documented number at most is used.
-Suffix statistics are kept for suffixes with enough labelled rows only, so their table
-has at most ``train_rows / SUFFIX_ROWS`` rows however large the corpus is.
+Suffix statistics are sums over all labelled URLs, for suffixes with enough labelled rows.
+The trees are fitted on a documented number of labelled rows at most.
 """
 
 from __future__ import annotations
@@ -20,6 +19,7 @@ from cellshift.session import scratch_root, written
 
 TRAIN_ROWS = 40_000
 SUFFIX_ROWS = 20
+BROADCAST_SUFFIXES = 200_000
 MOST_RULES = 10_000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "fragment", "suffix_rows", "suffix_block_rate")
 
@@ -76,11 +76,26 @@ def _entropy(text: Column) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def host_labels(host: Column) -> Column:
+    return F.filter(F.split(host, r"\."), lambda x: x != "")
+
+
+def suffix_of(host: Column) -> Column:
+    """The last two labels of a host."""
+    labels = host_labels(host)
+    return F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), ".")
+
+
+def with_suffix(frame: DataFrame, url: str = "url") -> DataFrame:
+    """Append the host suffix of a URL."""
+    return frame.withColumn("suffix", let(parts(F.col(url)), lambda p: suffix_of(p["host"])))
+
+
 def lexical(frame: DataFrame, url: str = "url") -> DataFrame:
     """Append host, path, suffix and the lexical features of a URL (null reads as empty)."""
     text = F.coalesce(F.col(url).cast("string"), F.lit(""))
     host, path = F.col("host"), F.col("path")
-    labels = F.filter(F.split(host, r"\."), lambda x: x != "")
+    labels = host_labels(host)
     query = F.regexp_extract(text, r"\?([^#]*)", 1)
     return (
         frame.withColumn("_parts", parts(F.col(url)))
@@ -88,7 +103,7 @@ def lexical(frame: DataFrame, url: str = "url") -> DataFrame:
         .drop("_parts")
         .withColumns(
             {
-                "suffix": F.array_join(F.slice(labels, F.greatest(F.size(labels) - 1, F.lit(1)), F.lit(2)), "."),
+                "suffix": suffix_of(host),
                 "url_length": F.length(text).cast("double"),
                 "host_length": F.length(host).cast("double"),
                 "path_length": F.length(path).cast("double"),
@@ -105,39 +120,49 @@ def lexical(frame: DataFrame, url: str = "url") -> DataFrame:
 
 
 def suffix_table(labelled: DataFrame) -> DataFrame:
-    """Labelled rows and blocked rows per host suffix, for suffixes with enough of them."""
-    sums = labelled.groupBy("suffix").agg(F.count(F.lit(1)).alias("suffix_n"), F.sum("label").alias("suffix_blocked"))
+    """Labelled rows and blocked rows per host suffix, for suffixes with enough of them; ``n`` is a row's count."""
+    sums = labelled.groupBy("suffix").agg(F.sum("n").alias("suffix_n"), F.sum(F.col("n") * F.col("label")).alias("suffix_blocked"))
     return sums.filter(F.col("suffix_n") >= SUFFIX_ROWS)
 
 
 def with_suffix_statistics(frame: DataFrame, suffixes: DataFrame, own: Column | None = None) -> DataFrame:
     """Append log row count and smoothed block rate; ``own`` is the row's label, left out of its own rate."""
-    # Bounded by the training bound over SUFFIX_ROWS rows.
-    joined = frame.join(F.broadcast(suffixes), "suffix", "left")
+    # The table grows with the labelled URLs, so its counted size decides on the broadcast.
+    small = suffixes.count() <= BROADCAST_SUFFIXES
+    joined = frame.join(F.broadcast(suffixes) if small else suffixes, "suffix", "left")
     n, blocked = F.coalesce("suffix_n", F.lit(0)), F.coalesce("suffix_blocked", F.lit(0.0))
     if own is not None:
         n, blocked = F.greatest(n - 1, F.lit(0)), F.greatest(blocked - own, F.lit(0.0))
     return joined.withColumns({"suffix_rows": F.log1p(n.cast("double")), "suffix_block_rate": (blocked + 1.0) / (n + 10.0)}).drop("suffix_n", "suffix_blocked")
 
 
+def fit_rows(counted: DataFrame, train_rows: int) -> DataFrame:
+    """(url, label, n) with ``taken``, the rows that each stands for in the fit; those without any are left out."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    share = min(1.0, train_rows / max(1, total))
+    # Systematic rounding: the expected total is share x rows, and a hot URL is neither whole nor absent.
+    offset = F.pmod(F.xxhash64("url", "label"), F.lit(1 << 40)) / float(1 << 40)
+    return counted.withColumn("taken", F.floor(F.col("n") * F.lit(share) + offset)).filter("taken > 0")
+
+
 def train(labelled: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 7) -> tuple[GBTClassificationModel | None, DataFrame]:
     """Trees and suffix table from (url, label), label 1.0 being block.
 
-    At most about ``train_rows`` rows are used, picked by URL hash.  Classes are weighted
-    to equal totals.  With one class only there is no model: nothing is blocked.
+    Suffixes are counted over all rows.  The fit takes about ``train_rows`` rows at most:
+    a distinct (url, label) with n rows stands for its share of them, rounded up or down
+    by hash, as one weighted row.  Classes are weighted to equal totals.  With one class
+    only there is no model: nothing is blocked.
     """
     spark = labelled.sparkSession
     scratch_root(spark)
     rows = labelled.filter("label is not null").select("url", F.col("label").cast("double").alias("label"))
-    total = rows.count()
-    share = min(1.0, train_rows / max(1, total))
-    rows = rows.filter(F.pmod(F.xxhash64("url"), F.lit(1_000_000)) < int(share * 1_000_000))
-    taken = written(lexical(rows).coalesce(max(1, spark.sparkContext.defaultParallelism // 2)), "url-training")
-    sizes = {row["label"]: row["count"] for row in taken.groupBy("label").count().collect()}
-    suffixes = written(suffix_table(taken), "url-suffixes")
+    counted = written(rows.groupBy("url", "label").agg(F.count(F.lit(1)).alias("n")), "url-counted")
+    suffixes = written(suffix_table(with_suffix(counted)), "url-suffixes")
+    taken = written(lexical(fit_rows(counted, train_rows)).coalesce(max(1, spark.sparkContext.defaultParallelism // 2)), "url-training")
+    sizes = {row["label"]: row["count"] for row in taken.groupBy("label").agg(F.sum("taken").alias("count")).collect()}
     if len(sizes) < 2:
         return None, suffixes
-    weight = F.when(F.col("label") == 1.0, 0.5 / sizes[1.0]).otherwise(0.5 / sizes[0.0]) * sum(sizes.values())
+    weight = F.when(F.col("label") == 1.0, 0.5 / sizes[1.0]).otherwise(0.5 / sizes[0.0]) * sum(sizes.values()) * F.col("taken")
     ready = _assembled(with_suffix_statistics(taken, suffixes, F.col("label"))).withColumn("weight", weight)
     trees = GBTClassifier(featuresCol="features", labelCol="label", weightCol="weight", maxDepth=4, maxIter=15, stepSize=0.3, maxBins=32, seed=seed)
     return trees.fit(ready.select("features", "label", "weight")), suffixes

@@ -163,6 +163,21 @@ def test_url_parts_rules_and_verdicts(spark):
     assert {r.verdict for r in urls.judge(pages, labelled.limit(0), rules=[]).collect()} == {"allow"}
 
 
+def test_suffixes_count_all_labelled_urls(spark, monkeypatch):
+    rows = [(f"http://h{i}.common.net/{i}", float(i % 2)) for i in range(2000)] + [(f"http://casino{i}.rare.org/", 1.0) for i in range(60)] + [("http://hot.example.com/x", 0.0)] * 1000
+    labelled = spark.createDataFrame(rows, "url string, label double")
+    model, suffixes = urls.train(labelled, 300)
+    assert {tuple(r) for r in suffixes.collect()} == {("common.net", 2000, 1000.0), ("rare.org", 60, 60.0), ("example.com", 1000, 0.0)}
+    counted = labelled.groupBy("url", "label").agg(F.count(F.lit(1)).alias("n"))
+    taken = {r.url: r.taken for r in urls.fit_rows(counted, 300).collect()}
+    assert abs(sum(taken.values()) - 300) < 60 and taken["http://hot.example.com/x"] in (98, 99)
+    assert sum(r.taken for r in urls.fit_rows(counted, 5000).collect()) == len(rows)
+    pages = labelled.select("url")
+    want = urls.judge(pages, labelled, train_rows=300).collect()
+    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 0)
+    assert sorted(urls.judge(pages, labelled, train_rows=300).collect(), key=str) == sorted(want, key=str)
+
+
 def test_fingerprints_of_edited_texts(spark, monkeypatch):
     rng = random.Random(2)
     words = [f"w{i}" for i in range(300)]
