@@ -149,16 +149,37 @@ def h09(star: Star) -> DataFrame:
     return out.select("sample_id", "protein", r6("prior").alias("prior"))
 
 
-# Fit rows of the scale queries: train samples of one medium, so that scales differ from the whole.
+# The scale queries h10-h12 leave L7 out of the fit: it stands for a protein that the fit has not seen and
+# takes the default.  Their *_all_proteins forms fit every protein.
+SCALE_ALL_SQL = "SELECT protein, avg(y) AS m, greatest(stddev_pop(y), 0.5) AS s, count(y) AS n, stddev_pop(y) AS raw FROM v_y JOIN v_train USING (sample_id) GROUP BY 1"
 SCALE_SQL = "SELECT protein, avg(y) AS m, greatest(stddev_pop(y), 0.5) AS s, count(y) AS n, stddev_pop(y) AS raw FROM v_y JOIN v_train USING (sample_id) WHERE protein <> 'L7' GROUP BY 1"
 
 
-def _scale(star: Star, unit_below: bool = False) -> DataFrame:
-    observed = star.log2.filter(F.col("protein") != "L7")
+def _scale(star: Star, unit_below: bool = False, unseen: str | None = "L7") -> DataFrame:
+    observed = star.log2.filter(F.col("protein") != unseen) if unseen else star.log2
     floor = 1.1 if unit_below else 0.5
     return features.target_scale(observed, star.train, star.log2.select("protein"), floor, unit_below=unit_below)
 
 
+def _target_scales(star: Star, unseen: str | None) -> DataFrame:
+    unit = _scale(star, True, unseen).select("protein", r6("target_scale").alias("unit_scale"))
+    plain = _scale(star, False, unseen).select("protein", r6("target_mean").alias("target_mean"), r6("target_scale").alias("target_scale"))
+    return plain.join(unit, "protein")
+
+
+def _standardised_cells(star: Star, unseen: str | None) -> DataFrame:
+    scale = _scale(star, False, unseen)
+    cells = features.standardise(star.log2, scale, "y", "z")
+    cells = features.standardise(cells, scale, "y", "response_z", centre=False)
+    cells = features.destandardise(cells, scale, "z", "restored")
+    return cells.select("sample_id", "protein", *[r6(n).alias(n) for n in ("z", "response_z", "restored")])
+
+
+def _standardised_fold_changes(star: Star, unseen: str | None) -> DataFrame:
+    out = features.standardise(Study(star).train_deltas, _scale(star, False, unseen), "truth_delta", "target", centre=False)
+    return out.select("sample_id", "protein", r6("target").alias("target"))
+
+
 @query(
     "h10_target_scale",
     f"""
@@ -167,9 +188,7 @@ FROM (SELECT DISTINCT protein FROM v_y) p LEFT JOIN ({SCALE_SQL}) x USING (prote
 """,
 )
 def h10(star: Star) -> DataFrame:
-    unit = _scale(star, unit_below=True).select("protein", r6("target_scale").alias("unit_scale"))
-    plain = _scale(star).select("protein", r6("target_mean").alias("target_mean"), r6("target_scale").alias("target_scale"))
-    return plain.join(unit, "protein")
+    return _target_scales(star, "L7")
 
 
 @query(
@@ -180,11 +199,7 @@ FROM v_y LEFT JOIN ({SCALE_SQL}) x USING (protein)
 """,
 )
 def h11(star: Star) -> DataFrame:
-    scale = _scale(star)
-    cells = features.standardise(star.log2, scale, "y", "z")
-    cells = features.standardise(cells, scale, "y", "response_z", centre=False)
-    cells = features.destandardise(cells, scale, "z", "restored")
-    return cells.select("sample_id", "protein", *[r6(n).alias(n) for n in ("z", "response_z", "restored")])
+    return _standardised_cells(star, "L7")
 
 
 @query(
@@ -192,8 +207,37 @@ def h11(star: Star) -> DataFrame:
     f"SELECT sample_id, protein, r6(t / coalesce(s, 0.5)) AS target FROM v_tdelta LEFT JOIN ({SCALE_SQL}) x USING (protein)",
 )
 def h12(star: Star) -> DataFrame:
-    out = features.standardise(Study(star).train_deltas, _scale(star), "truth_delta", "target", centre=False)
-    return out.select("sample_id", "protein", r6("target").alias("target"))
+    return _standardised_fold_changes(star, "L7")
+
+
+@query(
+    "h10_target_scale_all_proteins",
+    f"""
+SELECT p.protein, r6(coalesce(m, 0)) AS target_mean, r6(coalesce(s, 0.5)) AS target_scale, r6(CASE WHEN coalesce(n, 0) < 2 OR raw < 1.1 THEN 1 ELSE raw END) AS unit_scale
+FROM (SELECT DISTINCT protein FROM v_y) p LEFT JOIN ({SCALE_ALL_SQL}) x USING (protein)
+""",
+)
+def h10_all(star: Star) -> DataFrame:
+    return _target_scales(star, None)
+
+
+@query(
+    "h11_standardised_cells_all_proteins",
+    f"""
+SELECT sample_id, protein, r6((y - coalesce(m, 0)) / coalesce(s, 0.5)) AS z, r6(y / coalesce(s, 0.5)) AS response_z, r6(y) AS restored
+FROM v_y LEFT JOIN ({SCALE_ALL_SQL}) x USING (protein)
+""",
+)
+def h11_all(star: Star) -> DataFrame:
+    return _standardised_cells(star, None)
+
+
+@query(
+    "h12_standardised_fold_changes_all_proteins",
+    f"SELECT sample_id, protein, r6(t / coalesce(s, 0.5)) AS target FROM v_tdelta LEFT JOIN ({SCALE_ALL_SQL}) x USING (protein)",
+)
+def h12_all(star: Star) -> DataFrame:
+    return _standardised_fold_changes(star, None)
 
 
 # --------------------------------------------------------- entity feature blocks

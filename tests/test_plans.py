@@ -96,3 +96,11 @@ def test_controls_pool_is_respected(spark, small):
     y = prepare.log2_cells(cells)
     empty_pool = samples.filter("sample_id = 'tr_a'")
     assert controls.control_means(samples, y, empty_pool).count() == 0
+
+
+@pytest.mark.parametrize("name", ["h10_target_scale_all_proteins", "h11_standardised_cells_all_proteins", "h12_standardised_fold_changes_all_proteins"])
+def test_scales_fit_every_protein(spark, name):
+    test_queries_match_sql(spark, name)
+    if name.startswith("h10"):
+        found = {r["protein"]: r for r in entry.queries()[name](spark, SF).collect()}
+        assert all(r["target_mean"] != 0 for r in found.values()) and "L7" in found
