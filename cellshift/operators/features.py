@@ -336,9 +336,10 @@ def double_centred(distances: DataFrame) -> DataFrame:
 def classical_mds(distances: DataFrame, dimensions: int) -> DataFrame:
     """Coordinates (entity, dimension, coordinate) from a distance table, signs anchored.
 
-    The distributed SVD of the symmetric Gram matrix gives eigenvectors; a
-    component whose left and right vectors disagree in sign has a negative
-    eigenvalue and is dropped.
+    The Gram matrix is shifted by its largest absolute row sum, which no eigenvalue
+    exceeds.  The shifted matrix has no negative eigenvalue, so its first singular
+    vectors are those of the largest eigenvalues, however many negative ones there are.
+    Dimensions without a positive eigenvalue have coordinate 0 and no eigenvalue.
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
@@ -346,11 +347,13 @@ def classical_mds(distances: DataFrame, dimensions: int) -> DataFrame:
     gram = double_centred(distances)
     order = Window.orderBy("i")
     names = distances.select("i").distinct().withColumn("_at", F.row_number().over(order) - 1)
+    shift = gram.groupBy("i").agg(F.sum(F.abs("gram")).alias("s")).agg(F.max("s")).first()[0] or 1.0
     placed = gram.join(names, "i").join(names.withColumnsRenamed({"i": "j", "_at": "_to"}), "j")
-    packed = placed.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("_to", "gram"))).alias("r"))
+    shifted = placed.withColumn("gram", F.col("gram") + F.when(F.col("_at") == F.col("_to"), shift).otherwise(0.0))
+    packed = shifted.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("_to", "gram"))).alias("r"))
     rows = packed.select("_at", F.transform("r", lambda e: e["gram"]).alias("v"))
     matrix = IndexedRowMatrix(rows.rdd.map(lambda row: IndexedRow(row["_at"], Vectors.dense(row["v"]))))
-    found = matrix.computeSVD(dimensions + 2, computeU=False)
+    found = matrix.computeSVD(min(dimensions, names.count()), computeU=False)
     vectors = found.V.toArray()
     spark = distances.sparkSession
     out = []
@@ -361,7 +364,7 @@ def classical_mds(distances: DataFrame, dimensions: int) -> DataFrame:
         out.append((column, float(found.s[column]), [float(x) for x in vector]))
     table = spark.createDataFrame(out, "component bigint, sigma double, vec array<double>")
     long = table.select("component", "sigma", F.posexplode("vec").alias("_at", "x")).join(names, "_at")
-    # Sign of the eigenvalue: v' G v, computed on the long Gram table.
+    # The eigenvalue: v' G v, computed on the long Gram table without the shift.
     quad = (
         gram.join(long.select("component", "i", F.col("x").alias("xi")), "i")
         .join(long.select("component", F.col("i").alias("j"), F.col("x").alias("xj")), ["component", "j"])
@@ -371,6 +374,6 @@ def classical_mds(distances: DataFrame, dimensions: int) -> DataFrame:
     top = quad.agg(F.max("eigenvalue")).scalar()
     positive = quad.filter(F.col("eigenvalue") > F.greatest(top * 1e-12, F.lit(1e-12)))
     ranked = positive.withColumn("dimension", F.row_number().over(Window.orderBy(F.desc("eigenvalue"))) - 1).filter(F.col("dimension") < dimensions)
-    return long.join(ranked, "component").select(
-        F.col("i").alias("entity"), F.col("dimension").cast("bigint").alias("dimension"), (F.col("x") * F.sqrt("eigenvalue")).alias("coordinate"), "eigenvalue"
-    )
+    placed = long.join(ranked, "component").select("i", F.col("dimension").cast("bigint").alias("dimension"), (F.col("x") * F.sqrt("eigenvalue")).alias("_c"), "eigenvalue")
+    grid = names.select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(dimensions - 1).cast("bigint"))).alias("dimension"))
+    return grid.join(placed, ["i", "dimension"], "left").select(F.col("i").alias("entity"), "dimension", F.coalesce("_c", F.lit(0.0)).alias("coordinate"), "eigenvalue")

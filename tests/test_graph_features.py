@@ -61,6 +61,34 @@ def test_classical_mds_recovers_distances(spark):
         assert math.isclose(np.linalg.norm(found[i] - found[j]), d, abs_tol=1e-6)
 
 
+def _reference_mds(d, dimensions):
+    """The reference's full spectrum, padded with zeros."""
+    q = d**2
+    values, vectors = np.linalg.eigh(-0.5 * (q - q.mean(1, keepdims=True) - q.mean(0, keepdims=True) + q.mean()))
+    values, vectors = values[::-1], vectors[:, ::-1]
+    out = np.zeros((len(d), dimensions))
+    for k in range(min(dimensions, int((values > max(values[0] * 1e-12, 1e-12)).sum()))):
+        v = vectors[:, k]
+        out[:, k] = v * np.sign(v[np.abs(v).argmax()]) * np.sqrt(values[k])
+    return out
+
+
+def test_classical_mds_takes_all_positive_dimensions(spark):
+    rng = np.random.default_rng(4)
+    # Random distances have large negative eigenvalues before the fifth positive one; three entities have two dimensions at most.
+    wide = np.triu(rng.uniform(0.1, 10, size=(12, 12)), 1)
+    wide = wide + wide.T
+    points = rng.normal(size=(3, 2))
+    few = np.array([[np.linalg.norm(a - b) for b in points] for a in points])
+    for d, dimensions in ((wide, 5), (few, 5)):
+        n = len(d)
+        rows = [(i, j, float(d[i, j])) for i in range(n) for j in range(n)]
+        found = np.full((n, dimensions), np.nan)
+        for r in features.classical_mds(spark.createDataFrame(rows, "i int, j int, d double"), dimensions).collect():
+            found[r["entity"], r["dimension"]] = r["coordinate"]
+        assert np.allclose(found, _reference_mds(d, dimensions), atol=1e-6)
+
+
 def test_response_basis_energy(spark):
     rng = np.random.default_rng(1)
     matrix = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 5)) + 0.01 * rng.normal(size=(40, 5))
