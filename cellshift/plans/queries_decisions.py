@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellshift.functions.numbers import r6
@@ -11,7 +13,7 @@ from cellshift.operators.fingerprints import multiset_digest
 from cellshift.operators.grids import literal_rows
 from cellshift.plans.queries_metrics import rounded
 from cellshift.plans.queries_models import GRID_METRICS, PARTS, WEIGHT_SQL, WEIGHTS, _values, blend_grid, delta_components, family_grid, fusion_cells
-from cellshift.plans.registry import query, view
+from cellshift.plans.registry import VIEWS, query, view
 from cellshift.plans.sqltext import digest_sum, pcc, r2, response
 from cellshift.plans.study import FOLDS, Study
 from cellshift.session import written
@@ -214,9 +216,13 @@ def promotion_stats(star: Star) -> DataFrame:
 
 
 def _drawn_promotion_stats(star: Star) -> DataFrame:
-    units = inference.entity_units(seeded_cells(star), AXES, ["model_seed", "scenario"], GRID_METRICS)
+    return _drawn_stats(seeded_cells(star), "entity-units")
+
+
+def _drawn_stats(cells: DataFrame, label: str) -> DataFrame:
+    units = inference.entity_units(cells, AXES, ["model_seed", "scenario"], GRID_METRICS)
     units = units.withColumn("delta", F.round("candidate_value", 6) - F.round("control_value", 6))
-    units = written(units, "entity-units")
+    units = written(units, label)
     return inference.seed_averaged_bootstrap(units, ["scenario", "cluster_axis", "metric"], SEEDS, GATE_DRAWS)
 
 
@@ -683,6 +689,77 @@ def l10(star: Star) -> DataFrame:
     return selection.combined_verdict(verdicts, ["scenario"])
 
 
+# Negative control: the candidate with strain labels rotated by name, so every strain takes another one's effect.
+def negative_control_cells(star: Star) -> DataFrame:
+    """Scored cells of the three seeds against the same members with rotated strains."""
+    study = Study(star)
+    alphas = {f"s{seed}": alpha for seed, alpha in SEED_ALPHA.items()}
+    own = study.predicted(study.scored.drop("m0", "m1", "m2"), alphas)
+    strains = star.samples.select("strain").distinct()
+    order = Window.orderBy("strain")
+    first = strains.agg(F.min("strain")).scalar()
+    donors = strains.select("strain", F.coalesce(F.lead("strain").over(order), first).alias("_donor"))
+    moved = own.drop("m0", "m1", "m2").withColumnsRenamed({name: f"_{name}" for name in alphas})
+    moved = moved.join(donors, "strain").withColumnsRenamed({"strain": "_own", "_donor": "strain"})
+    both = study.predicted(moved, alphas).drop("strain").withColumnRenamed("_own", "strain")
+    options = F.array(
+        *[
+            F.struct(F.lit(seed).alias("model_seed"), (F.col(f"_s{seed}") - F.col("control")).alias("candidate_delta"), (F.col(f"s{seed}") - F.col("control")).alias("control_delta"))
+            for seed in SEEDS
+        ]
+    )
+    return both.withColumn("_s", F.explode(options)).select("*", "_s.*").withColumnRenamed("split", "scenario")
+
+
+view(
+    "v_donor",
+    "SELECT strain, coalesce(lead(strain) OVER (ORDER BY strain), min(strain) OVER ()) AS donor FROM (SELECT DISTINCT strain FROM v_samples)",
+)
+view(
+    "v_neg_seeded",
+    """
+SELECT split AS scenario, s.strain, chemical, t, ctx, drug, seed AS model_seed, m0 + coalesce(sn / (sn + alpha) * (sm - m0), 0) - c AS p0, CASE seed WHEN 42 THEN ma - c WHEN 52 THEN m1 - c ELSE mb - c END AS p1
+FROM v_score s JOIN v_donor USING (strain) LEFT JOIN v_sm x ON x.strain = donor AND x.protein = s.protein CROSS JOIN (VALUES (42, 1.0), (52, 8.0), (62, 64.0)) AS e(seed, alpha)
+""",
+)
+view("v_neg_units", VIEWS["v_units"].replace("v_seeded", "v_neg_seeded"))
+view("v_neg_seed_mean", VIEWS["v_seed_mean"].replace("v_units", "v_neg_units"))
+view("v_neg_promo", VIEWS["v_promo"].replace("v_seed_mean", "v_neg_seed_mean"))
+
+
+def negative_control_stats(star: Star) -> DataFrame:
+    """Bootstrapped entity statistics of the candidate against the negative control."""
+    return star.stored("negative-control-stats", lambda: _drawn_stats(negative_control_cells(star), "negative-control-units"))
+
+
+@query(
+    "l10_gated_comparisons_verdict",
+    f"""
+WITH s AS (SELECT 'primary' AS comparison, scenario, cluster_axis, metric, {_passed_sql('0.01')} AS passed FROM v_promo
+  UNION ALL SELECT 'negative_control', scenario, cluster_axis, metric, {_passed_sql('0.0')} FROM v_neg_promo),
+ c AS (SELECT comparison, scenario, bool_and(coalesce(passed, false)) AND bool_or(metric LIKE '%residual%') AS promoted, count(*) FILTER (WHERE passed) AS n_passed, count(*) AS n_checks
+  FROM (VALUES {_GATE_SQL}) e(scenario, cluster_axis, metric) CROSS JOIN (SELECT unnest(['primary', 'negative_control']) AS comparison) LEFT JOIN s USING (comparison, scenario, cluster_axis, metric) GROUP BY 1, 2)
+SELECT scenario, count(*) AS n_comparisons, sum(n_checks)::BIGINT AS n_checks, sum(n_passed)::BIGINT AS n_passed, bool_and(promoted) AS promoted FROM c GROUP BY 1
+""",
+)
+def l10_gated(star: Star) -> DataFrame:
+    primary = selection.promotion_checks(promotion_stats(star), selection.PRIMARY_FC_MIN_DELTA)
+    negative = selection.promotion_checks(negative_control_stats(star), selection.NEGATIVE_CONTROL_FC_MIN_DELTA)
+    return gated_comparisons({"primary": primary, "negative_control": negative})
+
+
+def gated_comparisons(checks: dict[str, DataFrame]) -> DataFrame:
+    """Every comparison must show and pass each scenario's required rows."""
+    verdicts = []
+    for name, found in checks.items():
+        expected = selection.expected_checks(found.sparkSession, GATE_AXES, GATE_RESIDUALS).withColumn("_by", F.col("scenario"))
+        verdict = selection.promotion_verdict(found.withColumn("_by", F.col("scenario")), ["_by"], expected)
+        verdicts.append(verdict.select(F.col("_by").alias("scenario"), F.lit(name).alias("comparison"), "n_checks", "n_passed", "promoted"))
+    rows = reduce(DataFrame.unionByName, verdicts)
+    sums = rows.groupBy("scenario").agg(F.sum("n_checks").alias("n_checks"), F.sum("n_passed").alias("n_passed"))
+    return selection.combined_verdict(rows, ["scenario"]).join(sums, "scenario")
+
+
 @query(
     "l11_receipt_audit",
     f"""

@@ -104,3 +104,20 @@ def test_scales_fit_every_protein(spark, name):
     if name.startswith("h10"):
         found = {r["protein"]: r for r in entry.queries()[name](spark, SF).collect()}
         assert all(r["target_mean"] != 0 for r in found.values()) and "L7" in found
+
+
+def test_every_required_axis_and_comparison_gates(spark):
+    from cellshift.operators import selection
+    from cellshift.plans import queries_decisions as decisions
+
+    needed = selection.expected_checks(spark, decisions.GATE_AXES, decisions.GATE_RESIDUALS)
+    shown = needed.filter("cluster_axis <> 'plate'").withColumn("passed", F.lit(True))
+    promoted = lambda primary, negative: {r["scenario"] for r in decisions.gated_comparisons({"primary": primary, "negative_control": negative}).collect() if r["promoted"]}
+    assert promoted(shown, shown) == {"val_chem_only", "val_strain_only", "val_both"}
+    failed = shown.withColumn("passed", ~((F.col("scenario") == "val_both") & (F.col("cluster_axis") == "chemical")))
+    assert promoted(failed, shown) == promoted(shown, failed) == {"val_chem_only", "val_strain_only"}
+    assert promoted(shown.filter("cluster_axis = 'strain'"), shown) == {"val_strain_only"}
+
+
+def test_gated_comparisons_match_sql(spark):
+    test_queries_match_sql(spark, "l10_gated_comparisons_verdict")
