@@ -145,10 +145,10 @@ def _exactly(stream, n: int) -> bytes:
 def arc_records(stream) -> Iterator[dict]:
     """Records of an opened ARC file: header fields by name, offset and block.
 
-    The version block names the version; header lines are split from the right, as only
-    the URL may hold blanks in files of careless writers.
+    The version block, which is the first record, names the version; header lines are split
+    from the right, as only the URL may hold blanks in files of careless writers.
     """
-    fields, at = ARC_FIELDS[1], 0
+    fields, at, first = ARC_FIELDS[1], 0, True
     while True:
         line = stream.readline()
         if not line:
@@ -159,7 +159,8 @@ def arc_records(stream) -> Iterator[dict]:
         text = line.rstrip(b"\r\n").decode("utf-8", "replace")
         length = int(text.rsplit(" ", 1)[1])
         block = _exactly(stream, length)
-        if text.startswith("filedesc:"):
+        naming, first = first and text.startswith("filedesc:"), False
+        if naming:
             version = int(block.split(b" ", 1)[0])
             if version not in ARC_FIELDS:
                 raise ValueError(f"Unknown ARC version {version}")
@@ -167,7 +168,7 @@ def arc_records(stream) -> Iterator[dict]:
         parts = text.rsplit(" ", len(fields) - 1)
         if len(parts) != len(fields):
             raise ValueError(f"ARC header has {len(parts)} of {len(fields)} fields")
-        yield dict(zip(fields, parts, strict=True)) | {"offset": at, "block": block}
+        yield dict(zip(fields, parts, strict=True)) | {"offset": at, "block": block, "version_block": naming}
         at += len(line) + length
 
 
@@ -199,7 +200,7 @@ def _index(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = []
             with _opened(path) as stream:
                 for record in arc_records(stream):
-                    if record["URL"].startswith("filedesc:"):
+                    if record["version_block"]:
                         continue
                     head, payload = split_http(record["block"])
                     key = header_value(head, KEY_HEADER)
@@ -264,7 +265,7 @@ def _converter(folder: str):
         archive = _Archive(folder, ".warc.gz", _info)
         with _opened(path) as stream:
             for record in arc_records(stream):
-                if record["URL"].startswith("filedesc:"):
+                if record["version_block"]:
                     continue
                 to = decided.get(record["offset"])
                 archive.add(as_warc(path, record, (record_id(os.path.basename(to[0]), int(to[1])), "") if to else None))

@@ -126,6 +126,13 @@ def test_archives_round_trip(spark):
     assert warc.archive_round_trip(spark, pages.limit(0)).count() == 0
 
 
+def test_pages_named_like_a_version_block_stay(spark):
+    rows = [(i, url, f"text {i}") for i, url in enumerate(["filedesc://x.arc", "filedesc:", "http://a.b/"])]
+    pages = spark.createDataFrame(rows, "key bigint, url string, payload string")
+    got = sorted((r.key, r.payload_bytes, r.record_type) for r in warc.archive_round_trip(spark, pages).collect())
+    assert got == [(i, 6, "response") for i in range(3)]
+
+
 def test_both_arc_versions_are_parsed():
     v2 = b"filedesc://x 0.0.0.0 20010203040506 text/plain 200 - - 0 x 10\n2 0 org\nU\n" + b"http://h/ 1.2.3.4 20010203 text/html 404 abc - 99 f 5\nhello\n\n"
     records = list(warc.arc_records(io.BytesIO(v2)))
