@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import binary, imatch, minhash, packing, quality, secrets, sqltext, substrings, transducer, urls, warc
+from cellshift.llm import binary, imatch, minhash, packing, quality, resampling, secrets, sqltext, substrings, transducer, urls, warc
 from cellshift.llm.catalog import query
 from cellshift.llm.common import table
 
@@ -97,3 +97,11 @@ def op10_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("text", 256).alias("decoded_sha256"),
     )
+
+
+@query("op11_importance_resampling", sqltext.RESAMPLED)
+def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """Weight, score and rank of every document toward the texts of the benchmark."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    drawn = resampling.resample(docs, table(spark, folder, "benchmark").select("text"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")

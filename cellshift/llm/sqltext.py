@@ -152,3 +152,57 @@ NEAR = _near(2, 80)
 REPEATS = _repeats(13)
 QUALITY = _quality()
 SECRETS = _secrets()
+
+
+def crc32_of(text: str) -> str:
+    """DuckDB expression of the CRC-32 of a text's UTF-8 bytes, one table entry per bit."""
+    entries = []
+    for bit in range(8):
+        value = 1 << bit
+        for _ in range(8):
+            value = value >> 1 ^ (0xEDB88320 if value & 1 else 0)
+        entries.append(value)
+    step = "(c >> 8)"
+    for bit, value in enumerate(entries):
+        step = f"xor({step}, ((xor(c, b) >> {bit}) & 1) * {value})"
+    digits = f"hex(encode({text}))"
+    listed = f"list_transform(range(length({digits}) // 2), lambda i: ('0x' || substr({digits}, 2 * i + 1, 2))::BIGINT)"
+    return f"xor(list_reduce({listed}, lambda c, b: {step}, 4294967295::BIGINT), 4294967295::BIGINT)"
+
+
+_WORDS_OF = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+RESAMPLED = rf"""
+WITH rows AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS_OF} AS w FROM documents
+  UNION ALL SELECT NULL, NULL, {_WORDS_OF} FROM benchmark
+), runs AS MATERIALIZED (
+  SELECT r, unnest(list_concat(w,
+    list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+    list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f
+  FROM rows
+), per_row AS MATERIALIZED (
+  SELECT r, f, count(*) AS n FROM runs GROUP BY r, f
+), bucketed AS MATERIALIZED (
+  SELECT f, {crc32_of("f")} % 10000 AS bucket FROM (SELECT DISTINCT f FROM per_row)
+), counted AS (
+  SELECT bucket, coalesce(sum(n) FILTER (r IS NOT NULL), 0) AS s, coalesce(sum(n) FILTER (r IS NULL), 0) AS t
+  FROM per_row JOIN bucketed USING (f) GROUP BY bucket
+), totals AS (
+  SELECT coalesce(sum(s), 0) AS s_all, coalesce(sum(t), 0) AS t_all FROM counted
+), gains AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (s_all + 10000))::DOUBLE / ((s + 1) * (t_all + 10000))::DOUBLE))::BIGINT AS gain FROM counted, totals
+), weights AS (
+  SELECT r, sum(n) AS n_features, sum(n * gain) AS weight
+  FROM per_row JOIN bucketed USING (f) JOIN gains USING (bucket) WHERE r IS NOT NULL GROUP BY r
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0)::BIGINT AS n_features, coalesce(weight, 0)::BIGINT AS weight,
+         coalesce(weight, 0)::BIGINT + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+  FROM rows LEFT JOIN weights USING (r) WHERE rows.r IS NOT NULL
+), placed AS (
+  SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS LAST) AS place,
+         count(*) FILTER (n_words >= 20) OVER () AS n
+  FROM scored
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END::BIGINT AS rank FROM placed
+"""
