@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellshift.llm import binary, imatch, minhash, packing, quality, resampling, secrets, sqltext, substrings, transducer, urls, warc
+from cellshift.llm import binary, imatch, minhash, packing, quality, resampling, secrets, spelling, sqltext, substrings, toxicity, transducer, urls, warc
 from cellshift.llm.catalog import query
 from cellshift.llm.common import table
 
@@ -105,3 +105,18 @@ def op11_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     drawn = resampling.resample(docs, table(spark, folder, "benchmark").select("text"))
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query("op12_toxicity")
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity of every document by the nearest labelled ones that are not held out."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    labels = table(spark, folder, "labels").select("doc_id", F.col("toxic").alias("label")).filter(~toxicity.held_out())
+    judged = toxicity.scores(docs, toxicity.learn(docs, labels))
+    return judged.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
+@query("op13_spelling_variants", sqltext.SPELLINGS)
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of the documents with its near words, its form and the root that forms lead to."""
+    return spelling.variants(table(spark, folder, "documents").select("doc_id", "text"))

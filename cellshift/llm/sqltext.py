@@ -206,3 +206,37 @@ WITH rows AS MATERIALIZED (
 )
 SELECT doc_id, n_features, weight, score, CASE WHEN n_words >= 20 AND place <= 5 * n // 100 THEN place END::BIGINT AS rank FROM placed
 """
+
+
+SPELLINGS = rf"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{C0}}-\x{{FF}}]+')) AS run
+  FROM documents
+), per_doc AS (
+  SELECT coalesce(doc_id::VARCHAR, '') || ':' || run AS named, run, count(*) AS n FROM runs WHERE length(run) >= 7 GROUP BY ALL
+), digests AS MATERIALIZED (
+  SELECT run, n, {crc32_of("named")} AS h FROM per_doc
+), noted AS (
+  SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM digests
+), words AS MATERIALIZED (
+  SELECT word, sum(n)::BIGINT AS n FROM noted WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2
+), cut AS MATERIALIZED (
+  SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+), pairs AS (
+  SELECT a.word AS word, b.word AS other FROM cut a JOIN cut b USING (i, rest) WHERE a.word <> b.word
+  UNION SELECT cut.word, words.word FROM cut JOIN words ON cut.rest = words.word
+  UNION SELECT words.word, cut.word FROM cut JOIN words ON cut.rest = words.word
+), near AS (
+  SELECT pairs.word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS best, max(n) AS best_n
+  FROM pairs JOIN words ON words.word = other GROUP BY pairs.word
+), formed AS MATERIALIZED (
+  SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n
+  FROM words LEFT JOIN near USING (word)
+), led AS (
+  SELECT word, coalesce(form, word) AS root, form IS NOT NULL AS going FROM formed
+  UNION ALL SELECT led.word, f.form, TRUE FROM led JOIN formed f ON f.word = led.root WHERE led.going AND f.form IS NOT NULL
+), steps AS (
+  SELECT word, root, row_number() OVER (PARTITION BY word ORDER BY n DESC) AS back FROM led JOIN (SELECT word AS root, n FROM words) USING (root)
+)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, root FROM steps WHERE back = 1) USING (word)
+"""
