@@ -127,51 +127,50 @@ class Vectors:
 
 
 class BlockMaxIndex:
-    """Inverted lists over unit vectors in blocks, with each term's largest weight per block."""
+    """Inverted lists over unit vectors, cut into blocks of examples, with each term's largest weight per block."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK) -> None:
-        self.block, self.n_blocks = block, -(-len(vectors) // block)
-        terms = np.concatenate([v[0] for v in vectors]) if vectors else np.empty(0, np.int64)
-        owners = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]) if vectors else np.empty(0, np.int64)
-        weights = np.concatenate([v[1] for v in vectors]) if vectors else np.empty(0)
-        order = np.lexsort((owners, terms))
-        self.owners, self.weights = owners[order], weights[order]
-        slot = terms[order] * self.n_blocks + self.owners // block if vectors else terms
-        self.starts = np.searchsorted(slot, np.arange(n_terms * self.n_blocks + 1)).astype(np.int32)
-        largest = np.zeros(n_terms * self.n_blocks)
-        np.maximum.at(largest, slot, self.weights)
-        self.largest = largest.reshape(n_terms, self.n_blocks) if self.n_blocks else np.zeros((n_terms, 0))
+        self.block, self.n_terms, self.n_blocks = block, n_terms, -(-len(vectors) // block)
+        empty = (np.empty(0, np.int64), np.empty(0))
+        terms, weights = (np.concatenate([x[i] for x in [*vectors, empty]]) for i in (0, 1))
+        owners = np.repeat(np.arange(len(vectors)), [len(v[0]) for v in vectors]) if vectors else empty[0]
+        order = np.lexsort((owners, terms, owners // block))
+        self.terms, self.owners, self.weights = terms[order], owners[order], weights[order]
+        self.starts = np.searchsorted(self.owners // block, np.arange(self.n_blocks + 1))
+        self.largest = np.zeros((n_terms, self.n_blocks))
+        np.maximum.at(self.largest, (self.terms, self.owners // block), self.weights)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> list[tuple[float, int]]:
         """The k largest (cosine, example) over 0, ties to the smaller example; blocks that cannot reach them stay closed."""
+        query = np.zeros(self.n_terms)
+        query[terms] = weights
         bounds = weights @ self.largest[terms]
         best: list[tuple[float, int]] = []
         for b in np.argsort(-bounds, kind="stable").tolist():
-            if bounds[b] <= 0 or len(best) == k and bounds[b] < -best[-1][0] - 1e-9:
+            least = -best[-1][0] - 1e-9 if len(best) == k else 0.0
+            if bounds[b] <= 0 or bounds[b] < least:
                 break
-            scores = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                first, last = self.starts[t * self.n_blocks + b], self.starts[t * self.n_blocks + b + 1]
-                if last > first:
-                    scores[self.owners[first:last] - b * self.block] += w * self.weights[first:last]
-            best += [(-float(scores[i]), b * self.block + i) for i in np.flatnonzero(scores).tolist()]
-            best = sorted(best)[:k]
+            own = slice(self.starts[b], self.starts[b + 1])
+            scores = np.bincount(self.owners[own] - b * self.block, self.weights[own] * query[self.terms[own]], self.block)
+            at = np.flatnonzero(scores > least)
+            if len(at):
+                best = sorted([*best, *zip((-scores[at]).tolist(), (at + b * self.block).tolist(), strict=True)])[:k]
         return [(-s, i) for s, i in best]
 
 
-def isotonic(x: np.ndarray, y: np.ndarray, prior: float, bins: int = 25) -> tuple[list[float], list[float]]:
-    """Points of a rising line through the label shares of even bins of x, each smoothed by one row of the prior."""
-    blocks: list[list[float]] = []  # rows, sum of x, sum of y
-    at = np.minimum((x * bins).astype(int), bins - 1)
-    for b in range(bins):
-        own = at == b
-        if own.any():
-            blocks.append([float(own.sum()), float(x[own].sum()), float(y[own].sum())])
-            share = lambda z: (z[2] + prior) / (z[0] + 1)
-            while len(blocks) > 1 and share(blocks[-2]) >= share(blocks[-1]):
-                last = blocks.pop()
-                blocks[-1] = [a + c for a, c in zip(blocks[-1], last, strict=True)]
-    return [z[1] / z[0] for z in blocks], [(z[2] + prior) / (z[0] + 1) for z in blocks]
+BINS = 25
+
+
+def isotonic(bins: list[tuple[float, float, float]], prior: float) -> tuple[list[float], list[float]]:
+    """Points of a rising line through the label shares of bins (rows, sum of x, toxic rows) in order of x, each smoothed by one row of the prior."""
+    blocks: list[list[float]] = []
+    share = lambda z: (z[2] + prior) / (z[0] + 1)
+    for part in bins:
+        blocks.append(list(part))
+        while len(blocks) > 1 and share(blocks[-2]) >= share(blocks[-1]):
+            last = blocks.pop()
+            blocks[-1] = [a + c for a, c in zip(blocks[-1], last, strict=True)]
+    return [z[1] / z[0] for z in blocks], [share(z) for z in blocks]
 
 
 @dataclass
@@ -235,43 +234,60 @@ def _to_counts(terms: list[tuple[str, float]]):
     return convert
 
 
+def _paired(flat: list[int]) -> tuple[tuple[int, int], ...]:
+    return tuple(zip(flat[::2], flat[1::2], strict=True))
+
+
+def _unbiased(shared):
+    """Bins of the vote shares of examples, each without one row of its own."""
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge, sums = shared.value.prepare(), np.zeros((BINS, 3))
+        for batch in batches:
+            for flat, rows, toxic in zip(*_batch(batch, "counts", "rows", "toxic"), strict=True):
+                for label, n in ((1, toxic), (0, rows - toxic)):
+                    if n:
+                        share = judge.votes(_paired(flat), label)[0]
+                        sums[min(int(share * BINS), BINS - 1)] += n, n * share, n * label
+        some = np.flatnonzero(sums[:, 0])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), *[pa.array(sums[some, i]) for i in range(3)]], ["bin", "n", "share", "toxic"])
+
+    return vote
+
+
 def learn(docs: DataFrame, labels: DataFrame, most: int = LEARNING_ROWS) -> Judge:
     """Fit on (doc_id, text) and (doc_id, label); only the bounded sample's counts reach the driver.
 
     Without labelled rows, or with one label only, every text gets that label's share (0
     without rows).
     """
+    spark = docs.sparkSession
     rows = written(learning_rows(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), labels, most), "learning-rows")
     terms = telling_terms(rows)
     listed = rows.mapInArrow(_to_counts(terms), "doc_id bigint, counts array<int>, label int").groupBy("counts").agg(
         F.count(F.lit(1)).alias("rows"), F.sum("label").alias("toxic"), F.min("doc_id").alias("doc_id")
     )
-    judge = Judge(terms)
+    examples = written(listed, "examples")
+    judge, vectors = Judge(terms), Vectors(terms)
     # Examples with the same heaviest term are neighbours, so that few blocks hold a term's large weights.
-    heavy = Vectors(terms)
     found = []
     n_all = toxic_all = 0
-    for row in listed.collect():
+    for row in examples.collect():
         n_all, toxic_all = n_all + row.rows, toxic_all + row.toxic
-        key = tuple(zip(row.counts[::2], row.counts[1::2], strict=True))
+        key = _paired(row.counts)
         if key:
-            places, weights = heavy.unit(key)
+            places, weights = vectors.unit(key)
             found.append((int(places[weights.argmax()]), key, (row.rows, row.toxic, row.doc_id)))
         else:
             judge.without = row.toxic / row.rows
     found.sort()
     judge.keys, judge.tallies = [key for _, key, _ in found], [tally for _, _, tally in found]
     judge.prior = toxic_all / n_all if n_all else 0.0
-    judge.prepare()
-    shares, truth = [], []
-    for key, (rows_, toxic, _) in zip(judge.keys, judge.tallies, strict=True):
-        for label, n in ((1, toxic), (0, rows_ - toxic)):
-            if n:
-                share = judge.votes(key, label)[0]
-                shares += [share] * n
-                truth += [label] * n
-    if shares:
-        judge.points = isotonic(np.array(shares), np.array(truth), judge.prior)
+    if found:
+        dealt = examples.filter(F.size("counts") > 0).repartition(spark.sparkContext.defaultParallelism)
+        bins = dealt.mapInArrow(_unbiased(spark.sparkContext.broadcast(judge)), "bin int, n double, share double, toxic double")
+        sums = bins.groupBy("bin").agg(*[F.sum(c).alias(c) for c in ("n", "share", "toxic")]).orderBy("bin").collect()
+        judge.points = isotonic([(r.n, r.share, r.toxic) for r in sums], judge.prior)
     return judge
 
 
