@@ -144,8 +144,10 @@ class Acceptors:
         """
         arcs = self.arcs[p]
         pairs = [(x + rest, y + rest) for i, (x, a) in enumerate(arcs) for y, b in arcs[i + 1 :] for rest in self.common(a, b)]
-        if q >= 0:
-            pairs += [(rest, x + rest) for x, a in self.arcs[q] for rest in self.common(a, p) if rest[:1] != x]
+        # Along a run of one letter all rests begin with it; then there is nothing to list.
+        for x, a in self.arcs[q] if q >= 0 else ():
+            if not arcs or any(label != x for label, _ in arcs):
+                pairs += [(rest, x + rest) for rest in self.common(a, p) if rest[:1] != x]
         return pairs
 
     def one_edit(self, p: int, q: int, deepest: int) -> Iterator[tuple[str, str]]:
