@@ -90,7 +90,7 @@ def op10_bpe_transducer(spark: SparkSession, folder: str) -> DataFrame:
     """Byte-level ids of all documents, and their texts decoded again."""
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    decoded = transducer.decode(transducer.encode_corpus(docs, path), path)
+    decoded = transducer.encode_corpus(docs, path, with_text=True)
     return decoded.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
