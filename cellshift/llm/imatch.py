@@ -1,9 +1,10 @@
 """I-Match fingerprints: hashes of a text's mid-frequency terms under random sub-lexicons.
 
-The lexicon holds the terms whose document share lies in a band.  A share of at least
-``LOW_SHARE`` is met by at most (mean distinct terms per document) / LOW_SHARE terms, so
-the lexicon stays the same size as the corpus grows; its size is checked before it is
-broadcast.  Each sub-lexicon keeps a pseudo-random fraction of it.  A text's distinct
+The lexicon holds the terms whose document share lies in a band; terms of any length are
+counted, long ones under a digest.  A share of at least ``LOW_SHARE`` is met by at most
+(mean distinct terms per document) / LOW_SHARE terms, so the lexicon stays the same size
+as the corpus grows.  Its size is checked before it is broadcast, and a band that holds
+more terms than agreed is refused: the band alone decides, never the size of the corpus.  Each sub-lexicon keeps a pseudo-random fraction of it.  A text's distinct
 terms are sorted and hashed once per sub-lexicon; the likeness of two fingerprints is the
 share of equal hashes among those that are not empty on both sides.
 """
@@ -29,8 +30,10 @@ from cellshift.session import written
 
 # Document shares between which a term is in the lexicon (high and low bound of its IDF).
 LOW_SHARE, HIGH_SHARE = 0.001, 0.2
-MOST_TERMS = 400_000
-LONGEST_TERM = 48
+# Terms a broadcast lexicon may hold (about 60 bytes each in a worker).
+MOST_TERMS = 1_000_000
+# Longer terms are named by a digest.
+LONG_TERM = 48
 # Fractions of the lexicon kept by the sub-lexicons.
 FRACTIONS = (1.0,) + (1 / 16,) * 7 + (1 / 64,) * 16 + (1 / 256,) * 24
 DOCS_PER_BLOCK, MOST_BLOCKS = 1_000, 20_000
@@ -41,8 +44,8 @@ EMPTY = "-"
 
 
 def terms_of(text: str) -> set[str]:
-    """Distinct lower-case terms: runs of letters and digits."""
-    return set(TERM.findall(text.lower()))
+    """Distinct lower-case terms: runs of letters and digits, long ones by a digest that no term equals."""
+    return {t if len(t) <= LONG_TERM else "#" + hashlib.blake2b(t.encode(), digest_size=16).hexdigest() for t in TERM.findall(text.lower())}
 
 
 def _document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +53,7 @@ def _document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     counts: Counter = Counter()
     for frame in frames:
         for text in frame["text"]:
-            counts.update(t for t in terms_of(text) if len(t) <= LONGEST_TERM)
+            counts.update(terms_of(text))
             if len(counts) > FLUSH_TERMS:
                 yield pd.DataFrame({"term": list(counts), "n": list(counts.values())})
                 counts = Counter()
@@ -60,17 +63,17 @@ def _document_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def lexicon_of(docs: DataFrame, low: float = LOW_SHARE, high: float = HIGH_SHARE, most: int = MOST_TERMS) -> list[str]:
     """Sorted terms of the band, from the document counts of all rows of (text).
 
-    Should the band hold more than ``most`` terms, its low end is raised by halves of its
-    width until it does not; so the size is bounded and the choice depends on counts alone.
+    A band of more than ``most`` terms is refused with an error.
     """
     bounded_batches(docs.sparkSession)
     total = docs.count()
     counts = docs.select(text_of().alias("text")).mapInPandas(_document_counts, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
     least = max(2, math.ceil(total * low))
-    band = written(counts.filter((F.col("n") >= least) & (F.col("n") <= max(2, int(total * high)))), "lexicon")
-    while band.filter(F.col("n") >= least).count() > most:
-        least = math.ceil(least * 1.5)
-    return sorted(band.filter(F.col("n") >= least).select("term").toArrow()["term"].to_pylist())
+    band = written(counts.filter((F.col("n") >= least) & (F.col("n") <= max(2, int(total * high)))).select("term"), "lexicon")
+    size = band.count()
+    if size > most:
+        raise ValueError(f"The band holds {size} terms, more than the {most} that may be broadcast; narrow it or raise the bound")
+    return sorted(band.toArrow()["term"].to_pylist())
 
 
 class Fingerprinter:
