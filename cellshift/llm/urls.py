@@ -19,7 +19,6 @@ from cellshift.session import scratch_root, written
 
 TRAIN_ROWS = 40_000
 SUFFIX_ROWS = 20
-BROADCAST_SUFFIXES = 200_000
 MOST_RULES = 10_000
 FEATURES = ("url_length", "host_length", "path_length", "depth", "labels", "hyphens", "digit_ratio", "entropy", "parameters", "fragment", "suffix_rows", "suffix_block_rate")
 
@@ -127,9 +126,7 @@ def suffix_table(labelled: DataFrame) -> DataFrame:
 
 def with_suffix_statistics(frame: DataFrame, suffixes: DataFrame, own: Column | None = None) -> DataFrame:
     """Append log row count and smoothed block rate; ``own`` is the row's label, left out of its own rate."""
-    # The table grows with the labelled URLs, so its counted size decides on the broadcast.
-    small = suffixes.count() <= BROADCAST_SUFFIXES
-    joined = frame.join(F.broadcast(suffixes) if small else suffixes, "suffix", "left")
+    joined = frame.join(suffixes, "suffix", "left")
     n, blocked = F.coalesce("suffix_n", F.lit(0)), F.coalesce("suffix_blocked", F.lit(0.0))
     if own is not None:
         n, blocked = F.greatest(n - 1, F.lit(0)), F.greatest(blocked - own, F.lit(0.0))
