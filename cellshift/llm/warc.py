@@ -282,6 +282,7 @@ def convert(arc: DataFrame, folder: str, least: int = LEAST_REVISIT_BYTES) -> Da
     key stays a response, the others refer to it.  Records without a key refer to a keyed
     equal and are responses if there is none; records that share the smallest key stay responses.
     """
+    spark = arc.sparkSession
     index = written(_one_file_per_task(arc).mapInPandas(_index, "path string, offset bigint, key bigint, size bigint, digest string"), "arc-index")
     firsts = (
         index.filter((F.col("size") >= least) & F.col("key").isNotNull())
@@ -291,7 +292,9 @@ def convert(arc: DataFrame, folder: str, least: int = LEAST_REVISIT_BYTES) -> Da
     known = index.join(firsts, "digest", "left")
     again = F.col("first").isNotNull() & (F.col("size") >= least) & ~F.col("key").eqNullSafe(F.col("first.key"))
     decided = known.select("path", "offset", F.when(again, F.col("first.path")).alias("to_path"), F.when(again, F.col("first.offset")).alias("to_offset"))
-    return written(decided.groupBy("path").applyInPandas(_converter(folder), "path string, records bigint"), "warc-manifest")
+    # The decisions are few bytes for many of archive to rewrite, so their size must not set the number of tasks.
+    dealt = decided.repartition(max(spark.sparkContext.defaultParallelism, 4 * arc.count()), "path")
+    return written(dealt.groupBy("path").applyInPandas(_converter(folder), "path string, records bigint"), "warc-manifest")
 
 
 def warc_records(stream) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -353,8 +356,11 @@ def read_warc(manifest: DataFrame) -> DataFrame:
 
 def with_referred_keys(records: DataFrame) -> DataFrame:
     """Append ``refers_to``: the key of the record that a revisit's identifier names."""
-    named = records.filter("refers_to_id is null").select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
-    return records.join(named, "refers_to_id", "left")
+    first = F.col("refers_to_id").isNull()
+    named = records.filter(first).select(F.col("record_id").alias("refers_to_id"), F.col("key").alias("refers_to"))
+    # Responses refer to nothing; in the join they would all meet under one null key.
+    responses = records.filter(first).withColumn("refers_to", F.lit(None).cast("bigint"))
+    return responses.unionByName(records.filter(~first).join(named, "refers_to_id", "left"))
 
 
 def archive_round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
