@@ -137,15 +137,19 @@ def judge(docs: DataFrame, text: str = "text", thresholds: Sequence[Threshold] =
     one by one.  Existing columns keep their names and values except those with the
     names of the appended ones, which are replaced.
     """
-    taken = F.col("_counts")
-    fields = {name: taken["w"][name] for name in ("n_words", "n_stop_words", "n_repeat_words")}
-    fields |= {name: taken["l"][name] for name in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
-    fields |= {name: taken[name] for name in ("word_chars", "n_symbols")}
+    names = ["_words", "_lines", "_chars", "_symbols"]
+    while set(names) & {*docs.columns, text}:
+        names = [name + "_" for name in names]
+    w, l_, chars, symbols = (F.col(name) for name in names)
+    fields = {name: w[name] for name in ("n_words", "n_stop_words", "n_repeat_words")}
+    fields |= {name: l_[name] for name in ("n_lines", "n_dup_lines", "n_ellipsis_lines", "n_bullet_lines")}
+    fields |= {"word_chars": chars, "n_symbols": symbols}
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
+    # A generator of one row: its columns cannot be inlined, so a filter on them does not count the text again.
     return (
-        docs.withColumn("_counts", counts(text_of(text)))
+        docs.select("*", F.inline(F.array(counts(text_of(text)))).alias(*names))
         .withColumns(fields)
-        .drop("_counts")
+        .drop(*names)
         .withColumns({name: metric() for name, metric in METRICS.items()})
         .withColumn("base_failed", failed)
         .withColumn("kept", ~F.col("base_failed") & passes(thresholds))
