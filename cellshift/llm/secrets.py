@@ -54,7 +54,13 @@ RULES = (
     ),
     Rule("access", r"AKIA[A-Z0-9]{14,}", hints=("akia",), base=True),
     Rule("hex", r"[0-9a-f]{16,}", base=True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", hints=("private key-----",)),
+    # The key with its END line; where that is missing, the base64 lines that follow.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\x20\x09-\x0D]*-----END [A-Z ]{0,40}PRIVATE KEY-----|[\x0A\x0D]*[A-Za-z0-9+/=]{16,}[A-Za-z0-9+/=\x0A\x0D]*)?",
+        hints=("private key-----",),
+        version=2,
+    ),
     Rule("host_token", r"gh[pousr]_[A-Za-z0-9]{36,}", hints=("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}", hints=("xox",)),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+", hints=(".eyj",)),
