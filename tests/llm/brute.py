@@ -81,3 +81,44 @@ def quality_counts(text: str | None) -> tuple:
     covered = {i + k for at in windows.values() if len(at) > 1 for i in at for k in range(3)}
     failed = len(words) < 50 or 100 * len(covered) > 50 * len(words)
     return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered), failed)
+
+
+def imatch(texts: list[str], low: float, high: float, fractions: tuple[float, ...]) -> dict:
+    """doc_id to (fingerprint, likeness to its edited text, likeness to the next text), all terms and hashes spelt out."""
+    named = lambda t: t if len(t) <= 48 else "#" + hashlib.blake2b(t.encode(), digest_size=16).hexdigest()
+    sets = lambda text: {named(t) for t in re.findall(r"[^\W_]+", text.lower())}
+    counts: dict[str, int] = {}
+    for text in texts:
+        for term in sets(text):
+            counts[term] = counts.get(term, 0) + 1
+    least, most = max(2, -int(-len(texts) * low // 1)), max(2, int(len(texts) * high))
+    band = {t for t, n in counts.items() if least <= n <= most}
+
+    def inside(code: int, k: int) -> bool:
+        x = (code ^ (k + 1)) * 0x9E3779B97F4A7C15 % (1 << 64)
+        x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 % (1 << 64)
+        return (x >> 11) / (1 << 53) < fractions[k]
+
+    def prints(text: str) -> list[str] | str:
+        terms = sets(text)
+        found = sorted(terms & band)
+        if not found:
+            return "=" + hashlib.blake2b("\n".join(sorted(terms)).encode(), digest_size=8).hexdigest()
+        codes = [hashlib.blake2b(t.encode(), digest_size=8).digest() for t in found]
+        kept = [[c for c in codes if inside(int.from_bytes(c, "little"), k)] for k in range(len(fractions))]
+        return [hashlib.blake2b(b"".join(c), digest_size=4).hexdigest() if c else "-" for c in kept]
+
+    def like(a, b) -> float:
+        if a == b:
+            return 1.0
+        if isinstance(a, str) or isinstance(b, str):
+            return 0.0
+        both = [(x, y) for x, y in zip(a, b, strict=True) if (x, y) != ("-", "-")]
+        return sum(x == y for x, y in both) / len(both)
+
+    out = {}
+    for i, text in enumerate(texts):
+        follow, half = texts[(i + 1) % len(texts)], len(text) // 2
+        own, edited = prints(text), prints(text[: len(text) - half] + follow[:half])
+        out[i] = (own if isinstance(own, str) else ".".join(own), like(own, edited), like(own, prints(follow)))
+    return out

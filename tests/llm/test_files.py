@@ -16,6 +16,7 @@ from tokenizers import Tokenizer
 
 from cellshift.llm import binary, imatch, packing, transducer, urls, warc
 from cellshift.llm.tokens import WordIds
+from tests.llm import brute
 
 WORD_BPE, BYTE_BPE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
 ODD = [
@@ -170,7 +171,7 @@ def test_url_parts_rules_and_verdicts(spark):
     assert {r.verdict for r in urls.judge(pages, labelled.limit(0), rules=[]).collect()} == {"allow"}
 
 
-def test_suffixes_count_all_labelled_urls(spark, monkeypatch):
+def test_suffixes_count_all_labelled_urls(spark):
     rows = [(f"http://h{i}.common.net/{i}", float(i % 2)) for i in range(2000)] + [(f"http://casino{i}.rare.org/", 1.0) for i in range(60)] + [("http://hot.example.com/x", 0.0)] * 1000
     labelled = spark.createDataFrame(rows, "url string, label double")
     model, suffixes = urls.train(labelled, 300)
@@ -181,8 +182,11 @@ def test_suffixes_count_all_labelled_urls(spark, monkeypatch):
     assert sum(r.taken for r in urls.fit_rows(counted, 5000).collect()) == len(rows)
     pages = labelled.select("url")
     want = urls.judge(pages, labelled, train_rows=300).collect()
-    monkeypatch.setattr(urls, "BROADCAST_SUFFIXES", 0)
-    assert sorted(urls.judge(pages, labelled, train_rows=300).collect(), key=str) == sorted(want, key=str)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert sorted(urls.judge(pages, labelled, train_rows=300).collect(), key=str) == sorted(want, key=str)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_fingerprints_of_edited_texts(spark, monkeypatch):
@@ -214,7 +218,19 @@ def test_fingerprints_of_edited_texts(spark, monkeypatch):
 def test_band_counts_all_documents(spark):
     docs = make(spark, ["common rare" if i == 0 else f"common mid{i % 2} mid{i % 2}" for i in range(20)])
     assert imatch.lexicon_of(docs, 0.1, 0.6) == ["mid0", "mid1"]
-    assert len(imatch.lexicon_of(docs, 0.1, 1.0, most=1)) <= 1
+    with pytest.raises(ValueError, match="may be broadcast"):
+        imatch.lexicon_of(docs, 0.1, 1.0, most=1)
+
+
+def test_fingerprints_equal_a_plain_version(spark):
+    """Lexicon, sub-lexicons and likeness from a separate walk over all documents, long terms and long texts included."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcde") for _ in range(rng.randint(2, 5))) for _ in range(150)] + ["x" * 60, "y" * 4000]
+    texts = [" ".join(rng.choice(vocabulary) for _ in range(rng.choice([0, 3, 30, 200]))) for _ in range(60)] + [None, "z" * 90, "q " * 30_000]
+    docs = spark.createDataFrame([(i, t, "clash", 0) for i, t in enumerate(texts)], "doc_id bigint, text string, fingerprint string, block int")
+    got = {r.doc_id: r for r in imatch.compare_with_edits(docs).collect()}
+    want = brute.imatch([t or "" for t in texts], imatch.LOW_SHARE, imatch.HIGH_SHARE, imatch.FRACTIONS)
+    assert {d: (r.fingerprint, r.near_edited, r.near_next) for d, r in got.items()} == want
 
 
 def test_bpe_equals_the_library(spark, byte_model):
@@ -228,10 +244,11 @@ def test_bpe_equals_the_library(spark, byte_model):
 
 def test_transducer_holds_its_words_and_no_others():
     words = sorted({w.encode() for w in ["tap", "taps", "top", "tops", "stop", "stops", "é", "日本", "日"]})
-    lexicon = transducer.Lexicon(transducer.compile_lexicon(words, [[i, i + 1] for i in range(len(words))]))
+    ids = [np.array([i, i + 1], "<i4").tobytes() for i in range(len(words))]
+    lexicon = transducer.Lexicon(transducer.compile_lexicon(words, ids))
     numbers = lexicon.find([*words, b"ta", b"tapsx", b"", b"x"])
     assert numbers.tolist() == [*range(len(words)), -1, -1, -1, -1]
-    assert [lexicon.ids_of(i).tolist() for i in range(3)] == [[0, 1], [1, 2], [2, 3]]
+    assert lexicon.ids_of(np.arange(3)) == ids[:3]
     assert len(lexicon.final) < len({w[:k] for w in words for k in range(len(w) + 1)})
     none = transducer.Lexicon(transducer.compile_lexicon([], []))
     assert none.find([b"a"]).tolist() == [-1]
@@ -242,8 +259,20 @@ def test_long_words_merge_like_short_ones(byte_model):
     rng = random.Random(1)
     words = ["".join(rng.choice("etaoin shrdlu".replace(" ", "")) for _ in range(rng.randint(1, 30))) for _ in range(200)]
     want = [byte_model.encode(w, add_special_tokens=False).ids for w in words]
-    assert merges.merge_all([w.encode() for w in words]) == want
-    assert [merges.merge_one(w.encode()) for w in words] == want
+    listed = lambda ids: [np.frombuffer(x, "<i4").tolist() for x in ids]
+    assert listed(merges.merge_all([w.encode() for w in words])) == want
+    assert listed(merges.merge_one(w.encode()) for w in words) == want
+
+
+def test_chunks_are_the_words_of_a_text():
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("ab \n\t\u3000,.") for _ in range(rng.randint(0, 12)))
+        words = []
+        for alone, later in zip(*transducer.chunks_of(text), strict=True):
+            for chunk in [alone, *map(transducer.spelled, later)]:
+                words += transducer.WORDS.findall(chunk)
+        assert words == transducer.WORDS.findall(text), repr(text)
 
 
 def test_invalid_bytes_become_replacement_characters(spark, byte_model):
