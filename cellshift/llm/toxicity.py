@@ -2,7 +2,7 @@
 
 Learning looks at no more than ``LEARNING_ROWS`` labelled rows (a hash sample beyond that;
 equal texts once).  Terms are lower-case words and word beginnings of four to six letters;
-kept are those whose document counts among toxic and other rows differ significantly.  A
+kept are those that occur significantly and several times more often in toxic rows.  A
 text is the TF-IDF vector of its kept terms, of length one.  Rows with equal vectors are
 one example with its counts.  Examples lie in blocks of an inverted index that knows every
 term's largest weight per block: a query opens blocks in the order of the score they could
@@ -29,8 +29,9 @@ from cellshift.session import written
 
 LEARNING_ROWS = 40_000
 PREFIXES = (4, 5, 6)
-# Chi-squared a term must reach (a chance of one in twenty million), rows it must occur in, terms kept.
-LEAST_CHI2, LEAST_ROWS, MOST_TERMS = 30.0, 5, 2_000
+# Chi-squared a term must reach (a chance of one in twenty million), times the usual odds
+# of label 1, rows it must occur in, terms kept.
+LEAST_CHI2, LEAST_ODDS, LEAST_ROWS, MOST_TERMS = 30.0, 3.0, 5, 2_000
 NEIGHBOURS, BLOCK = 16, 64
 THRESHOLD = 0.3
 FLUSH_TERMS, CACHE_WORDS, CACHE_VECTORS = 200_000, 400_000, 50_000
@@ -84,7 +85,7 @@ def learning_rows(docs: DataFrame, labels: DataFrame, most: int = LEARNING_ROWS)
 
 
 def telling_terms(rows: DataFrame, least: float = LEAST_CHI2, most: int = MOST_TERMS) -> list[tuple[str, float]]:
-    """(term, inverse document frequency) of the terms of (text, label) that tell labels apart, in term order."""
+    """(term, inverse document frequency) of the terms of (text, label) that speak for label 1, in term order."""
     bounded_batches(rows.sparkSession)
     total = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("toxic")).first()
     n_all, t_all = float(total.n), float(total.toxic)
@@ -94,7 +95,8 @@ def telling_terms(rows: DataFrame, least: float = LEAST_CHI2, most: int = MOST_T
     apart = F.abs(toxic * F.lit(n_all) - n * F.lit(t_all)) - F.lit(n_all / 2)
     scale = n * (F.lit(n_all) - n) * F.lit(t_all) * F.lit(n_all - t_all)
     chi2 = F.when((scale > 0) & (apart > 0), F.lit(n_all) * apart * apart / scale).otherwise(0.0)
-    best = counts.filter(F.col("n") >= LEAST_ROWS).withColumn("chi2", chi2).filter(F.col("chi2") >= least).orderBy(F.desc("chi2"), "term").limit(most)
+    often = (toxic + 0.5) * F.lit(n_all - t_all) >= LEAST_ODDS * (n - toxic + 0.5) * F.lit(t_all)
+    best = counts.filter((F.col("n") >= LEAST_ROWS) & often).withColumn("chi2", chi2).filter(F.col("chi2") >= least).orderBy(F.desc("chi2"), "term").limit(most)
     return sorted((r.term, math.log((n_all + 1) / (r.n + 1)) + 1) for r in best.collect())
 
 
