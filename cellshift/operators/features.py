@@ -5,14 +5,15 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellshift.functions.text import key_part, slug
+from cellshift.operators import spectral
 from cellshift.operators.quantiles import exact_quantile
 from cellshift.operators.ranking import best_per_group, hash_rank, shifted_donor
+from cellshift.session import written
 
 
 # ------------------------------------------------------------------ categories
@@ -278,37 +279,34 @@ def permuted_column(rows: DataFrame, key: str, column: str, seed: object, out: s
 
 
 # ------------------------------------------------------------------- low rank
-def sample_vectors(cells: DataFrame, proteins: DataFrame, value: str) -> DataFrame:
-    """Zero-filled vector per sample; its length is the protein list, never the sample count."""
-    names = proteins.agg(F.sort_array(F.collect_set("protein"))).scalar()
-    packed = cells.groupBy("sample_id").agg(F.map_from_entries(F.collect_list(F.struct("protein", value))).alias("_m"))
-    return packed.withColumn("_names", names).select(
-        "sample_id",
-        array_to_vector(F.transform("_names", lambda name: F.coalesce(F.try_element_at(F.col("_m"), name), F.lit(0.0)))).alias("features"),
-    )
+def centred_cells(deltas: DataFrame, value: str = "truth_delta") -> DataFrame:
+    """(sample_id, protein, d): responses minus the observed mean of their protein; missing cells stay absent, that is zero."""
+    centre = deltas.groupBy("protein").agg(F.avg(value).alias("_c"))
+    return deltas.join(centre, "protein").select("sample_id", "protein", (F.col(value) - F.col("_c")).alias("d"))
 
 
 def response_basis(deltas: DataFrame, rank: int, value: str = "truth_delta") -> DataFrame:
-    """Low-rank basis of the centred, zero-filled responses: (component, energy, loadings).
+    """Low-rank basis of the centred, zero-filled responses: (component, protein, energy, residual, loading).
 
-    Centring by the observed mean and filling with zero leaves every column with
-    mean zero, so the principal components are the right singular vectors and
-    the explained variance is the share of energy.
+    The components are the leading eigenvectors of the centred cells' normal matrix,
+    found by joins and sums over the cells (see ``spectral``).  ``energy`` is a component's
+    share of the sum of squares, ``residual`` the error of its eigenvector equation as a
+    share of the largest eigenvalue.  Signs are fixed at the largest loading.  Ranks beyond
+    the data's own have energy and loadings zero.
     """
-    centre = deltas.groupBy("protein").agg(F.avg(value).alias("_c"))
-    centred = deltas.join(centre, "protein").select("sample_id", "protein", (F.col(value) - F.col("_c")).alias("_d"))
-    rows = sample_vectors(centred, deltas.select("protein"), "_d")
-    model = PCA(k=rank, inputCol="features", outputCol="scores").fit(rows)
-    spark = deltas.sparkSession
-    # The model is rank x proteins numbers; signs are fixed at the largest loading.
-    loadings = model.pc.toArray()
-    energy = model.explainedVariance.toArray()
-    out = []
-    for component in range(rank):
-        column = loadings[:, component]
-        anchor = column[abs(column).argmax()]
-        out.append((component, float(energy[component]), [float(v) for v in (column if anchor >= 0 else -column)]))
-    return spark.createDataFrame(out, "component bigint, energy double, loadings array<double>")
+    cells = written(centred_cells(deltas, value), "centred-cells")
+    total = cells.agg(F.sum(F.col("d") * F.col("d"))).first()[0] or 0.0
+    if not total:
+        raise ValueError("A response basis needs cells that differ from their protein's mean")
+    found, values, residuals = spectral.leading(spectral.normal_product(cells, "sample_id", "protein", "d"), cells.select(F.col("protein").alias("key")).distinct(), rank)
+    at = F.col("component")
+    return spectral.anchored(found, rank).select(
+        at,
+        F.col("key").alias("protein"),
+        (spectral.value_table(at, values) / total).alias("energy"),
+        (spectral.value_table(at, residuals) / float(values[0])).alias("residual"),
+        F.col("x").alias("loading"),
+    )
 
 
 # ------------------------------------------------------------------------- MDS
@@ -334,46 +332,29 @@ def double_centred(distances: DataFrame) -> DataFrame:
 
 
 def classical_mds(distances: DataFrame, dimensions: int) -> DataFrame:
-    """Coordinates (entity, dimension, coordinate) from a distance table, signs anchored.
+    """Coordinates (entity, dimension, coordinate, eigenvalue) from a distance table, signs anchored.
 
-    The Gram matrix is shifted by its largest absolute row sum, which no eigenvalue
-    exceeds.  The shifted matrix has no negative eigenvalue, so its first singular
-    vectors are those of the largest eigenvalues, however many negative ones there are.
-    Dimensions without a positive eigenvalue have coordinate 0 and no eigenvalue.
+    The eigenvectors of the Gram matrix that lead by size are found by joins and sums (see
+    ``spectral``).  If all are positive, these are wanted.  Otherwise the matrix is shifted
+    by the most negative one, so the positive ones lead however many negative ones there
+    are.  Dimensions without a positive eigenvalue have coordinate 0 and no eigenvalue.
     """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import IndexedRow, IndexedRowMatrix
-
-    gram = double_centred(distances)
-    order = Window.orderBy("i")
-    names = distances.select("i").distinct().withColumn("_at", F.row_number().over(order) - 1)
-    shift = gram.groupBy("i").agg(F.sum(F.abs("gram")).alias("s")).agg(F.max("s")).first()[0] or 1.0
-    placed = gram.join(names, "i").join(names.withColumnsRenamed({"i": "j", "_at": "_to"}), "j")
-    shifted = placed.withColumn("gram", F.col("gram") + F.when(F.col("_at") == F.col("_to"), shift).otherwise(0.0))
-    packed = shifted.groupBy("_at").agg(F.sort_array(F.collect_list(F.struct("_to", "gram"))).alias("r"))
-    rows = packed.select("_at", F.transform("r", lambda e: e["gram"]).alias("v"))
-    matrix = IndexedRowMatrix(rows.rdd.map(lambda row: IndexedRow(row["_at"], Vectors.dense(row["v"]))))
-    found = matrix.computeSVD(min(dimensions, names.count()), computeU=False)
-    vectors = found.V.toArray()
-    spark = distances.sparkSession
-    out = []
-    for column in range(vectors.shape[1]):
-        vector = vectors[:, column]
-        anchor = vector[abs(vector).argmax()]
-        vector = vector if anchor >= 0 else -vector
-        out.append((column, float(found.s[column]), [float(x) for x in vector]))
-    table = spark.createDataFrame(out, "component bigint, sigma double, vec array<double>")
-    long = table.select("component", "sigma", F.posexplode("vec").alias("_at", "x")).join(names, "_at")
-    # The eigenvalue: v' G v, computed on the long Gram table without the shift.
-    quad = (
-        gram.join(long.select("component", "i", F.col("x").alias("xi")), "i")
-        .join(long.select("component", F.col("i").alias("j"), F.col("x").alias("xj")), ["component", "j"])
-        .groupBy("component")
-        .agg(F.sum(F.col("xi") * F.col("gram") * F.col("xj")).alias("eigenvalue"))
+    gram = written(double_centred(distances), "gram")
+    keys = gram.select(F.col("i").alias("key")).distinct()
+    shift = 0.0
+    found, values, _ = spectral.leading(spectral.symmetric_product(gram, "i", "j", "gram"), keys, dimensions, by_size=True)
+    if values.min() < -1e-9 * abs(values).max():
+        shift = float(-values.min())
+        found, values, _ = spectral.leading(spectral.symmetric_product(gram, "i", "j", "gram", shift), keys, dimensions)
+        values = values - shift
+    positive = values > max(float(values.max()) * 1e-12, 1e-12, shift * 1e-9)
+    at = F.col("component")
+    eigenvalue = spectral.value_table(at, np.where(positive, values, np.nan))
+    held = ~F.isnan(eigenvalue)
+    return spectral.anchored(found, dimensions).select(
+        F.col("key").alias("entity"),
+        at.alias("dimension"),
+        F.when(held, F.col("x") * F.sqrt(eigenvalue)).otherwise(0.0).alias("coordinate"),
+        F.when(held, eigenvalue).alias("eigenvalue"),
     )
-    top = quad.agg(F.max("eigenvalue")).scalar()
-    positive = quad.filter(F.col("eigenvalue") > F.greatest(top * 1e-12, F.lit(1e-12)))
-    ranked = positive.withColumn("dimension", F.row_number().over(Window.orderBy(F.desc("eigenvalue"))) - 1).filter(F.col("dimension") < dimensions)
-    placed = long.join(ranked, "component").select("i", F.col("dimension").cast("bigint").alias("dimension"), (F.col("x") * F.sqrt("eigenvalue")).alias("_c"), "eigenvalue")
-    grid = names.select("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(dimensions - 1).cast("bigint"))).alias("dimension"))
-    return grid.join(placed, ["i", "dimension"], "left").select(F.col("i").alias("entity"), "dimension", F.coalesce("_c", F.lit(0.0)).alias("coordinate"), "eigenvalue")
+

@@ -6,11 +6,12 @@ the same units.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellshift.functions.numbers import hash_int, ratio
@@ -246,7 +247,7 @@ def associations(counts: DataFrame, by: Sequence[str] = ("target",)) -> DataFram
 def permuted_contingency(rows: DataFrame, key: str, source: str, targets: Sequence[str], draws: int, seed: object) -> DataFrame:
     """Contingency counts after shuffling the source labels, per draw (two hash orders joined by rank).
 
-    Costs draws x rows; :func:`null_by_margins` samples the same null from the
+    Costs draws x rows; :func:`split_contingency` draws the same null from the
     margins alone and is the choice for large tables.
     """
     spread = rows.select(key, source, *targets).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")))
@@ -273,40 +274,104 @@ def null_summary(observed: DataFrame, null: DataFrame, value: str = "normalized_
     )
 
 
-def _table_nmi(table: np.ndarray) -> float:
-    total = table.sum()
-    rows, columns = table.sum(axis=1), table.sum(axis=0)
-    entropy = lambda counts: float(-sum(c / total * np.log(c / total) for c in counts if c > 0))
-    i, j = np.nonzero(table)
-    n = table[i, j]
-    mutual = float((n / total * np.log(n * total / (rows[i].astype(float) * columns[j]))).sum())
-    mean = (entropy(rows) + entropy(columns)) / 2.0
-    return mutual / mean if mean > 0 else 1.0
+def source_tree(counts: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """Binary tree over the source levels of every target: (target, u, leaf), node sizes, depth.
 
+    Leaves are numbered in level order, the node of depth d above a leaf is its number
+    without the last (depth - d) bits; sizes are (target, depth, node, size).
+    """
+    levels = written(counts.groupBy("target", "u").agg(F.sum("n").alias("size")), "source-levels")
+    order = Window.partitionBy("target").orderBy("u")
+    leaves = levels.withColumn("leaf", (F.row_number().over(order) - 1).cast("bigint"))
+    most = leaves.agg(F.max("leaf")).first()[0] or 0
+    depth = int(most).bit_length()
+    above = F.explode(F.sequence(F.lit(0), F.lit(depth)))
+    sizes = leaves.withColumn("depth", above).withColumn("node", F.expr(f"shiftright(leaf, {depth} - depth)"))
+    return leaves.select("target", "u", "leaf"), sizes.groupBy("target", "depth", "node").agg(F.sum("size").alias("size")), depth
 
-def null_by_margins(counts: DataFrame, draws: int, seed: int = 991) -> DataFrame:
-    """Permutation null of the mutual information sampled from the margins: (target, draw, value).
 
-    Shuffling one label column leaves both margins fixed, and the shuffled
-    contingency table is multivariate hypergeometric.  Sampling that table costs
-    draws x levels instead of draws x rows; the draws are spread over tasks.
-    """
-    margin = lambda level: counts.groupBy("target", level).agg(F.sum("n").alias("_n"))
-    pack = lambda level, out: margin(level).groupBy("target").agg(F.sort_array(F.collect_list("_n")).alias(out))
-    tasks = pack("u", "rows").join(pack("v", "columns"), "target")
-    plan = tasks.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>"))).repartition("target", "draw")
+def _split(seed: int, depth: int):
+    """Deal the counts of each (draw, target, node) to its two children, the left one taking its size at random."""
 
-    def sample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
         for batch in batches:
-            values = []
-            for target, draw, rows, columns in zip(batch["target"], batch["draw"], batch["rows"], batch["columns"], strict=True):
-                rng = np.random.default_rng([seed, int(draw), *target.encode()])
-                left = np.asarray(columns, dtype=np.int64).copy()
-                table = np.zeros((len(rows), len(left)), dtype=np.int64)
-                for position, size in enumerate(rows):
-                    table[position] = rng.multivariate_hypergeometric(left, int(size), method="marginals")
-                    left -= table[position]
-                values.append(_table_nmi(table))
-            yield pd.DataFrame({"target": batch["target"], "draw": batch["draw"], "normalized_mutual_information": values})
-
-    return plan.select("target", "draw", "rows", "columns").mapInPandas(sample, "target string, draw bigint, normalized_mutual_information double")
+            frame = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            key = frame[["draw", "target", "node"]]
+            starts = np.flatnonzero((key != key.shift()).any(axis=1).to_numpy())
+            rest = frame.iloc[starts[-1] :] if len(starts) else frame
+            if len(starts) > 1:
+                yield dealt(frame.iloc[: starts[-1]], starts[:-1])
+        if rest is not None and len(rest):
+            yield dealt(rest, np.zeros(1, int))
+
+    def dealt(frame: pd.DataFrame, starts: np.ndarray) -> pd.DataFrame:
+        n, left = frame["n"].to_numpy(np.int64), np.zeros(len(frame), np.int64)
+        heads = frame.iloc[starts]
+        for a, b, draw, target, node, size in zip(starts, [*starts[1:], len(frame)], heads["draw"], heads["target"], heads["node"], heads["left_size"], strict=True):
+            rng = np.random.default_rng([seed, depth, int(draw), int(node), *target.encode()])
+            left[a:b] = rng.multivariate_hypergeometric(n[a:b], int(size), method="marginals")
+        both = [frame[["draw", "target", "v"]].assign(node=2 * frame["node"] + side, n=part) for side, part in ((0, left), (1, n - left))]
+        out = pd.concat(both, ignore_index=True)
+        return out[out["n"] > 0][["draw", "target", "node", "v", "n"]]
+
+    return deal
+
+
+def split_contingency(counts: DataFrame, draws: int, seed: int = 991) -> DataFrame:
+    """Contingency counts (draw, target, u, v, n) after shuffling the source labels, from the margins alone.
+
+    Shuffling leaves both margins fixed.  The target's levels start at the root of a
+    binary tree of source levels; each round a node's left child takes as many of the
+    node's rows as it is large, drawn without replacement, level by level of the target
+    (a hypergeometric split), and the right child keeps the rest.  A draw costs its
+    non-empty cells times the depth of the tree; no row of the data is repeated and no
+    table of all level pairs is made.  Splits are seeded by their place, so a repeated task
+    repeats them.  The sampler takes targets of up to a billion rows.
+    """
+    leaves, sizes, depth = source_tree(counts)
+    sizes = written(sizes, "tree-sizes")
+    columns = counts.groupBy("target", "v").agg(F.sum("n").cast("bigint").alias("n"))
+    state = columns.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>"))).withColumn("node", F.lit(0).cast("bigint"))
+    state = state.select("draw", "target", "node", "v", "n")
+    for level in range(depth):
+        left = sizes.filter(F.col("depth") == level + 1).select("target", F.shiftright("node", 1).alias("node"), (F.col("node") % 2).alias("side"), "size")
+        left = left.groupBy("target", "node").agg(F.sum(F.when(F.col("side") == 0, F.col("size")).otherwise(0)).cast("bigint").alias("left_size"))
+        placed = state.join(left, ["target", "node"])
+        ordered = placed.repartition("draw", "target", "node").sortWithinPartitions("draw", "target", "node", "v")
+        state = written(ordered.select("draw", "target", "node", "v", "n", "left_size").mapInPandas(_split(seed, level), "draw bigint, target string, node bigint, v string, n bigint"), "splits")
+    return state.join(leaves.withColumnRenamed("leaf", "node"), ["target", "node"]).select("draw", "target", "u", "v", "n")
+
+
+def _expected_cell(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Expected n/N ln(n N / (a b)) of one shuffled cell with margins a, b: the hypergeometric law summed up."""
+    for batch in batches:
+        out = []
+        for a, b, total in zip(batch["nu"].astype(int), batch["nv"].astype(int), batch["total"].astype(int), strict=True):
+            low = max(0, a + b - total)
+            k = np.arange(max(1, low), min(a, b) + 1)
+            # Probabilities by their ratios, from the most likely count on.
+            ratio = (a - k[:-1]) * (b - k[:-1]) / ((k[:-1] + 1.0) * (total - a - b + k[:-1] + 1.0))
+            first = math.lgamma(a + 1) + math.lgamma(b + 1) + math.lgamma(total - a + 1) + math.lgamma(total - b + 1) - math.lgamma(total + 1)
+            first -= sum(math.lgamma(x + 1) for x in (k[0], a - k[0], b - k[0], total - a - b + k[0]))
+            chance = np.exp(first + np.concatenate([[0.0], np.cumsum(np.log(ratio))]))
+            out.append(float((chance * k / total * np.log(k * total / (a * b))).sum()))
+        yield pd.DataFrame({"target": batch["target"], "mi": np.array(out) * batch["times"].to_numpy()})
+
+
+def expected_association(counts: DataFrame) -> DataFrame:
+    """(target, expected_nmi): exact mean of the normalised mutual information over all shuffles of the source labels.
+
+    Pairs of equal margins count once, with their number.
+    """
+    rows, columns = (counts.groupBy("target", level).agg(F.sum("n").alias("m")).groupBy("target", "m").agg(F.count(F.lit(1)).alias("k")) for level in ("u", "v"))
+    total = counts.groupBy("target").agg(F.sum("n").alias("total"))
+    pairs = rows.select("target", F.col("m").alias("nu"), F.col("k").alias("ku")).join(columns.select("target", F.col("m").alias("nv"), F.col("k").alias("kv")), "target").join(total, "target")
+    weighed = pairs.select("target", "nu", "nv", "total", (F.col("ku") * F.col("kv")).alias("times"))
+    cells = weighed.repartition("target", "nu", "nv").mapInPandas(_expected_cell, "target string, mi double")
+    entropy = lambda side: F.sum(F.col(side + "_k") * _entropy(F.col(side), F.col("total")))
+    h = rows.select("target", F.col("m").alias("x"), F.col("k").alias("x_k")).join(total, "target").groupBy("target").agg(entropy("x").alias("hu"))
+    g = columns.select("target", F.col("m").alias("x"), F.col("k").alias("x_k")).join(total, "target").groupBy("target").agg(entropy("x").alias("hv"))
+    mean = (F.col("hu") + F.col("hv")) / 2.0
+    return cells.groupBy("target").agg(F.sum("mi").alias("mi")).join(h, "target").join(g, "target").select("target", F.when(mean > 0, F.col("mi") / mean).otherwise(1.0).alias("expected_nmi"))
+

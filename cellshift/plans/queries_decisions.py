@@ -344,21 +344,72 @@ def k12(star: Star) -> DataFrame:
     return rounded(permutation_null(star, written(plate_counts(star), "contingency")), ["target"])
 
 
-@query("k12_permutation_null_by_margins")
+def split_null(counts: DataFrame) -> DataFrame:
+    """Null of the mutual information of every target with the plate, by hypergeometric splits of the margins."""
+    drawn = written(inference.split_contingency(counts, PERMUTATIONS), "split-contingency")
+    return inference.null_summary(inference.associations(counts), inference.associations(drawn, ["draw", "target"]))
+
+
+@query("k12_permutation_null_by_splits")
+def k12_splits(star: Star) -> DataFrame:
+    return rounded(split_null(written(plate_counts(star), "contingency")), ["target"])
+
+
+@query(
+    "k12_split_margins",
+    f"""
+WITH m AS (SELECT target, 'source' AS side, u AS level, sum(n) AS n FROM v_cont GROUP BY ALL UNION ALL SELECT target, 'target', v, sum(n) FROM v_cont GROUP BY ALL)
+SELECT target, side, level, n::BIGINT AS n, {PERMUTATIONS}::BIGINT AS draws FROM m
+""",
+)
 def k12_margins(star: Star) -> DataFrame:
+    """Draws in which each level of either side has each count; every draw keeps both margins."""
+    drawn = written(inference.split_contingency(written(plate_counts(star), "contingency"), PERMUTATIONS), "split-contingency")
+    sides = [drawn.groupBy("draw", "target", F.lit(name).alias("side"), F.col(level).alias("level")).agg(F.sum("n").alias("n")) for name, level in (("source", "u"), ("target", "v"))]
+    return sides[0].unionByName(sides[1]).groupBy("target", "side", "level", "n").agg(F.count(F.lit(1)).alias("draws"))
+
+
+# The mean over all shuffles in closed form: each cell's hypergeometric law, summed up.
+view(
+    "v_expected",
+    """
+WITH t AS (SELECT target, sum(n) AS tot FROM v_cont GROUP BY 1), a AS (SELECT target, u, sum(n) AS a FROM v_cont GROUP BY 1, 2), b AS (SELECT target, v, sum(n) AS b FROM v_cont GROUP BY 1, 2),
+ k AS (SELECT target, a::BIGINT AS a, b::BIGINT AS b, tot::BIGINT AS tot, unnest(range(greatest(1, a + b - tot)::BIGINT, least(a, b)::BIGINT + 1)) AS k FROM a JOIN b USING (target) JOIN t USING (target)),
+ mi AS (SELECT target, sum(exp(lgamma(a + 1) + lgamma(b + 1) + lgamma(tot - a + 1) + lgamma(tot - b + 1) - lgamma(tot + 1) - lgamma(k + 1) - lgamma(a - k + 1) - lgamma(b - k + 1) - lgamma(tot - a - b + k + 1)) * k / tot * ln(k::DOUBLE * tot / (a::DOUBLE * b))) AS mi FROM k GROUP BY 1),
+ hu AS (SELECT target, -sum(a / tot * ln(a / tot)) AS h FROM a JOIN t USING (target) GROUP BY 1), hv AS (SELECT target, -sum(b / tot * ln(b / tot)) AS h FROM b JOIN t USING (target) GROUP BY 1)
+SELECT target, mi / ((hu.h + hv.h) / 2) AS expected FROM mi JOIN hu USING (target) JOIN hv USING (target)
+""",
+)
+
+
+@query("k12_expected_null", "SELECT target, r6(expected) AS expected, TRUE AS mean_of_draws_agrees, p_ge_observed < 0.05 AS significant FROM v_expected JOIN v_null USING (target)")
+def k12_expected(star: Star) -> DataFrame:
+    """Exact mean of the null, whether the mean of the drawn one lies within five standard errors of it, and significance."""
     counts = written(plate_counts(star), "contingency")
-    null = inference.null_by_margins(counts, PERMUTATIONS)
-    return rounded(inference.null_summary(inference.associations(counts), null), ["target"])
+    drawn = inference.associations(written(inference.split_contingency(counts, PERMUTATIONS), "split-contingency"), ["draw", "target"])
+    drawn = written(drawn, "split-null")
+    value = "normalized_mutual_information"
+    means = drawn.groupBy("target").agg(F.avg(value).alias("mean"), (F.stddev(value) / F.sqrt(F.count(value))).alias("error"))
+    exact = inference.expected_association(counts).join(means, "target").join(inference.null_summary(inference.associations(counts), drawn), "target")
+    near = F.abs(F.col("mean") - F.col("expected_nmi")) <= 5 * F.col("error") + 1e-9
+    return exact.select("target", r6("expected_nmi").alias("expected"), near.alias("mean_of_draws_agrees"), (F.col("p_ge_observed") < 0.05).alias("significant"))
 
 
 @query(
     "n08_plate_association_table",
-    f"SELECT target, target_levels, r6(nmi) AS nmi, r6(cramers_v) AS cramers_v, r6(purity_u_to_v) AS purity_u_to_v, r6(purity_v_to_u) AS purity_v_to_u, {_NULL} FROM v_assoc JOIN v_null USING (target)",
+    """
+SELECT target, target_levels, r6(nmi) AS nmi, r6(cramers_v) AS cramers_v, r6(purity_u_to_v) AS purity_u_to_v, r6(purity_v_to_u) AS purity_v_to_u,
+ r6(observed) AS observed, r6(expected) AS null_mean, p_ge_observed < 0.05 AS significant
+FROM v_assoc JOIN v_null USING (target) JOIN v_expected USING (target)
+""",
 )
 def n08(star: Star) -> DataFrame:
+    """Association of every target with the plate, beside the exact mean and the drawn test of its null."""
     counts = written(plate_counts(star), "contingency")
     table = inference.associations(counts).withColumnRenamed("normalized_mutual_information", "nmi")
-    return rounded(table.join(permutation_null(star, counts), "target"), ["target"])
+    null = split_null(counts).select("target", "observed", (F.col("p_ge_observed") < 0.05).alias("significant"))
+    joined = table.join(null, "target").join(inference.expected_association(counts).withColumnRenamed("expected_nmi", "null_mean"), "target")
+    return rounded(joined, ["target"])
 
 
 @query("n08_plate_sizes", "SELECT plate, count(*) AS n_samples, count(DISTINCT data_source) AS n_sources FROM v_samples GROUP BY 1")

@@ -444,7 +444,61 @@ def h22(star: Star) -> DataFrame:
 @query("h23_low_rank_response_basis")
 def h23(star: Star) -> DataFrame:
     basis = features.response_basis(Study(star).train_deltas, 3)
-    return basis.select("component", r6("energy").alias("energy"), F.posexplode("loadings").alias("position", "loading"))
+    return basis.select("component", "protein", r6("energy").alias("energy"), r6("loading").alias("loading"))
+
+
+# Deltas of train treatments, centred by protein; what a basis is fitted on.
+CENTRED_SQL = """
+SELECT sample_id, protein, t - avg(t) OVER (PARTITION BY protein) AS d FROM v_tdelta
+"""
+
+
+@query(
+    "h23_basis_restores_the_covariance",
+    f"""
+WITH c AS ({CENTRED_SQL}), total AS (SELECT sum(d * d) AS t FROM c), p AS (SELECT DISTINCT protein FROM c)
+SELECT a.protein AS protein, b.protein AS other, r6(coalesce((SELECT sum(x.d * y.d) FROM c x JOIN c y USING (sample_id) WHERE x.protein = a.protein AND y.protein = b.protein), 0) / t) AS share
+FROM p a, p b, total
+""",
+)
+def h23_covariance(star: Star) -> DataFrame:
+    """All components together give back every pair's share of the centred sums of products."""
+    basis = written(features.response_basis(Study(star).train_deltas, 7), "basis")
+    left = basis.select("component", "energy", "protein", F.col("loading").alias("x"))
+    right = basis.select("component", F.col("protein").alias("other"), F.col("loading").alias("y"))
+    pairs = left.join(right, "component").groupBy("protein", "other")
+    return pairs.agg(r6(F.sum(F.col("energy") * F.col("x") * F.col("y"))).alias("share"))
+
+
+@query(
+    "h23_basis_invariants",
+    f"""
+WITH c AS ({CENTRED_SQL}), k AS (SELECT unnest([0, 1, 2]) AS component)
+SELECT 'orthonormal' AS invariant, a.component::BIGINT AS component, b.component::BIGINT AS other, (CASE WHEN a.component = b.component THEN 1.0 ELSE 0.0 END)::DOUBLE AS value FROM k a, k b
+UNION ALL SELECT 'energy_not_above_previous', component, NULL, 1.0 FROM k
+UNION ALL SELECT 'residual_below_millionth', component, NULL, 1.0 FROM k
+UNION ALL SELECT 'cells', NULL, NULL, count(*)::DOUBLE FROM c
+""",
+)
+def h23_invariants(star: Star) -> DataFrame:
+    """Orthonormal loadings, falling energy and small eigenvector residuals of the rank 3 basis."""
+    deltas = Study(star).train_deltas
+    basis = written(features.response_basis(deltas, 3), "basis")
+    other = basis.select(F.col("component").alias("other"), "protein", F.col("loading").alias("y"))
+    none = F.lit(None).cast("bigint")
+    dots = basis.join(other, "protein").groupBy("component", "other").agg(r6(F.sum(F.col("loading") * F.col("y"))).alias("value"))
+    each = basis.groupBy("component").agg(F.first("energy").alias("energy"), F.first("residual").alias("residual"))
+    before = each.select((F.col("component") + 1).alias("component"), F.col("energy").alias("previous"))
+    energy = each.join(before, "component", "left").select("component", (F.coalesce("previous", F.lit(1.0)) >= F.col("energy")).cast("double").alias("value"))
+    residual = each.select("component", (F.col("residual") <= 1e-6).cast("double").alias("value"))
+    cells = features.centred_cells(deltas).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    parts = [
+        dots.select(F.lit("orthonormal").alias("invariant"), "component", "other", (F.col("value") + 0.0).alias("value")),
+        energy.select(F.lit("energy_not_above_previous").alias("invariant"), "component", none.alias("other"), "value"),
+        residual.select(F.lit("residual_below_millionth").alias("invariant"), "component", none.alias("other"), "value"),
+        cells.select(F.lit("cells").alias("invariant"), none.alias("component"), none.alias("other"), "value"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
 
 
 def centre_table(star: Star) -> DataFrame:
@@ -471,6 +525,19 @@ def h24_mds(star: Star) -> DataFrame:
     return out.select("entity", "dimension", r6("coordinate").alias("coordinate"), r6("eigenvalue").alias("eigenvalue"))
 
 
+@query(
+    "h24_coordinates_restore_distances",
+    "WITH n AS (SELECT count(DISTINCT i) AS n FROM v_cdist) SELECT i, j, r6(d * d) AS d2 FROM v_cdist, n WHERE n > 0",
+)
+def h24_distances(star: Star) -> DataFrame:
+    """Distances between points come back from the coordinates of all dimensions, one fewer than entities."""
+    distances = written(centre_table(star), "distances")
+    placed = written(features.classical_mds(distances, distances.select("i").distinct().count() - 1), "coordinates")
+    other = placed.select(F.col("entity").alias("j"), "dimension", F.col("coordinate").alias("y"))
+    pairs = placed.select(F.col("entity").alias("i"), "dimension", F.col("coordinate").alias("x")).join(other, "dimension")
+    return pairs.groupBy("i", "j").agg(r6(F.sum(F.pow(F.col("x") - F.col("y"), 2))).alias("d2"))
+
+
 @query(
     "h24_distance_contract",
     "SELECT 'not_symmetric' AS issue, i, j FROM v_cdist WHERE (i = 0 AND j = 1) OR (i = 1 AND j = 0) UNION ALL SELECT 'diagonal_not_zero', i, j FROM v_cdist WHERE i = 2 AND j = 2",

@@ -181,14 +181,24 @@ def test_cluster_bootstrap_point_value_equals_direct(spark):
     assert out["fc_pcc"]["ci_low"] <= out["fc_pcc"]["mean_delta"] <= out["fc_pcc"]["ci_high"] and out["fc_pcc"]["n_clusters"] == 6
 
 
-def test_margin_null_agrees_with_rank_null(spark):
+def test_split_null_keeps_margins_and_agrees_with_the_rank_null(spark):
     rng = np.random.default_rng(4)
-    data = [(i, f"p{rng.integers(6)}", f"t{rng.integers(3)}") for i in range(600)]
-    rows = spark.createDataFrame(data, "id int, plate string, strain string")
-    counts = inference.contingency(rows, "plate", ["strain"])
-    a = inference.null_by_margins(counts, 150).agg(F.avg("normalized_mutual_information")).first()[0]
-    b = inference.associations(inference.permuted_contingency(rows, "id", "plate", ["strain"], 30, 1), ["draw", "target"]).agg(F.avg("normalized_mutual_information")).first()[0]
-    assert abs(a - b) < 0.25 * b
+    data = [(i, f"p{rng.integers(6)}", f"t{rng.integers(3)}", "same") for i in range(600)]
+    rows = spark.createDataFrame(data, "id int, plate string, strain string, one string")
+    counts = inference.contingency(rows, "plate", ["strain", "one"]).cache()
+    drawn = inference.split_contingency(counts, 150).cache()
+    for level in ("u", "v"):
+        want = {(r["target"], r[level], r["n"]) for r in counts.groupBy("target", level).agg(F.sum("n").alias("n")).collect()}
+        got = drawn.groupBy("draw", "target", level).agg(F.sum("n").alias("n")).groupBy("target", level, "n").count().collect()
+        assert {(r["target"], r[level], r["n"]) for r in got} == want and {r["count"] for r in got} == {150}
+    value = "normalized_mutual_information"
+    splits = inference.associations(drawn, ["draw", "target"]).filter("target = 'strain'").toPandas()[value]
+    ranks = inference.associations(inference.permuted_contingency(rows, "id", "plate", ["strain"], 150, 1), ["draw", "target"]).toPandas()[value]
+    error = 4 * math.hypot(splits.std(), ranks.std()) / math.sqrt(150)
+    assert abs(splits.mean() - ranks.mean()) < error and abs(splits.quantile(0.95) - ranks.quantile(0.95)) < 3 * error
+    exact = {r["target"]: r["expected_nmi"] for r in inference.expected_association(counts).collect()}
+    assert abs(splits.mean() - exact["strain"]) < 4 * splits.std() / math.sqrt(150)
+    assert sorted(map(tuple, drawn.collect())) == sorted(map(tuple, inference.split_contingency(counts.repartition(3), 150).collect()))
 
 
 def test_checks_reject(spark):

@@ -6,9 +6,10 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
-from cellshift.operators import features, graph, selection
+from cellshift.operators import features, graph, selection, spectral
 from cellshift.streaming.running_metrics import latest_state, metric_state, run_to_completion, state_scores
 
 
@@ -89,15 +90,40 @@ def test_classical_mds_takes_all_positive_dimensions(spark):
         assert np.allclose(found, _reference_mds(d, dimensions), atol=1e-6)
 
 
-def test_response_basis_energy(spark):
+def _responses(spark, matrix):
+    rows = [(i, f"P{j:05d}", float(v)) for (i, j), v in np.ndenumerate(matrix)]
+    return spark.createDataFrame(rows, "sample_id int, protein string, truth_delta double")
+
+
+def test_response_basis_equals_a_singular_value_decomposition(spark):
     rng = np.random.default_rng(1)
     matrix = rng.normal(size=(40, 3)) @ rng.normal(size=(3, 5)) + 0.01 * rng.normal(size=(40, 5))
-    rows = [(i, f"P{j}", float(matrix[i, j])) for i in range(40) for j in range(5)]
-    basis = features.response_basis(spark.createDataFrame(rows, "sample_id int, protein string, truth_delta double"), 2).orderBy("component").collect()
-    centred = matrix - matrix.mean(axis=0)
-    singular = np.linalg.svd(centred, compute_uv=False)
+    basis = features.response_basis(_responses(spark, matrix), 7).collect()
+    _, singular, right = np.linalg.svd(matrix - matrix.mean(axis=0), full_matrices=False)
     want = singular**2 / (singular**2).sum()
-    assert all(math.isclose(r["energy"], w, rel_tol=1e-6) for r, w in zip(basis, want))
+    for k in range(7):
+        own = sorted((r["protein"], r["loading"], r["energy"]) for r in basis if r["component"] == k)
+        loadings = np.array([x for _, x, _ in own])
+        # Ranks beyond the data's own are zero.
+        v = right[k] * np.sign(right[k][abs(right[k]).argmax()]) if k < 5 else np.zeros(5)
+        assert np.allclose(loadings, v, atol=1e-6) and math.isclose(own[0][2], want[k] if k < 5 else 0.0, rel_tol=1e-6)
+
+
+def test_response_basis_of_many_proteins_brings_only_small_products_to_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    matrix = rng.normal(size=(40, 4)) * [9, 6, 4, 1] @ rng.normal(size=(4, 5000)) + 0.05 * rng.normal(size=(40, 5000))
+    frame = pd.DataFrame({"sample_id": np.repeat(np.arange(40), 5000), "protein": np.tile([f"P{j:05d}" for j in range(5000)], 40), "truth_delta": matrix.ravel()})
+    deltas = spark.createDataFrame(frame)
+    seen = []
+    collect = type(deltas).collect
+    monkeypatch.setattr(type(deltas), "collect", lambda self: seen.append(collect(self)) or seen[-1])
+    basis = features.response_basis(deltas, 3)
+    monkeypatch.undo()
+    assert max(map(len, seen)) == 3 * (3 + spectral.OVERSAMPLE) ** 2
+    singular = np.linalg.svd(matrix - matrix.mean(axis=0), compute_uv=False)
+    energies = sorted({(r["component"], r["energy"], r["residual"]) for r in basis.select("component", "energy", "residual").collect()})
+    assert np.allclose([e for _, e, _ in energies], (singular**2 / (singular**2).sum())[:3], rtol=1e-6) and all(r <= 1e-6 for _, _, r in energies)
+    assert basis.count() == 15_000
 
 
 def test_hash_features_are_md5_bytes(spark):
