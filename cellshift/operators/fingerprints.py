@@ -31,7 +31,7 @@ def multiset_digest(digest: Column | str) -> Column:
     for position in range(WORDS):
         word = F.conv(F.substring(digest, 1 + position * WORD_DIGITS, WORD_DIGITS), 16, 10).cast("decimal(20,0)")
         words.append(F.sum(word).cast("string"))
-    return F.sha2(F.concat_ws("-", F.count(F.lit(1)).cast("string"), *words), 256)
+    return F.sha2(F.concat_ws("-", F.count(digest).cast("string"), *words), 256)
 
 
 def table_fingerprint(df: DataFrame, columns: Sequence[str] | None = None, by: Sequence[str] = ()) -> DataFrame:

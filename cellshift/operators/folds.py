@@ -1,8 +1,9 @@
 """Hold-out folds as compact tables: candidates, excluded rows and support by subtraction.
 
-A fold's fit set is "all train rows minus the excluded rows", so it is never
-copied per fold.  Whether an entity is still represented in a fit set follows
-from two counts: all rows of the entity and its excluded rows in that fold.
+Fold membership is a number per row whose bit k tells about fold k: bits of the folds
+that fit on the row, and of the folds that score it.  Bits of an entity's rows are OR-ed
+in one partial aggregation, so leaks and missing representation are AND operations on one
+number per entity, and no row is copied per fold.
 """
 
 from __future__ import annotations
@@ -169,44 +170,51 @@ def with_axis_folds(
     return result
 
 
-# ------------------------------------------------- candidates and excluded rows
-def _explode_folds(count: int) -> Column:
-    return F.explode(F.sequence(F.lit(0), F.lit(count - 1)).cast("array<bigint>"))
-
-
+# ------------------------------------------------- candidates and fold masks
 def fold_count(scenario: str, folds: int) -> int:
     return folds * folds if scenario in GRID_SCENARIOS else folds
 
 
-def excluded_rows(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
-    """Train rows kept out of the fit set, one row per (fold, sample)."""
-    c, s = F.col("chemical_fold"), F.col("strain_fold")
-    if scenario in ("S1", "R10"):
-        rows = axis.filter(c.isNotNull()).withColumn("fold", c)
-    elif scenario in ("S2", "R01"):
-        rows = axis.filter(s.isNotNull()).withColumn("fold", s)
-    elif scenario in ("S3", "R00"):
+# Folds that fit the bits of a long.
+MOST_FOLDS = 62
+
+
+def fold_bit(fold: Column) -> Column:
+    """Number with the bit of a fold; null without one."""
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), fold.cast("int"))
+
+
+def has_fold(mask: Column, fold: Column) -> Column:
+    return mask.bitwiseAND(fold_bit(fold)) != 0
+
+
+def every_fold(scenario: str, folds: int) -> int:
+    """Bits of all folds of a scenario."""
+    count = fold_count(scenario, folds)
+    if count > MOST_FOLDS:
+        raise ValueError(f"{scenario} has {count} folds, more than the {MOST_FOLDS} that fit a mask")
+    return (1 << count) - 1
+
+
+def excluded_mask(scenario: str, folds: int) -> Column:
+    """Bits of the folds that keep a train row out of their fit set."""
+    c, s, none = F.col("chemical_fold"), F.col("strain_fold"), F.lit(0).cast("bigint")
+    if scenario in ("S3", "R00"):
         # A row leaves every grid fold of its strain part or its chemical part.
-        touched = axis.filter(c.isNotNull() | s.isNotNull()).withColumn("fold", _explode_folds(folds * folds))
-        rows = touched.filter(
-            F.coalesce(s == F.floor(F.col("fold") / F.lit(folds)), F.lit(False))
-            | F.coalesce(c == F.col("fold") % F.lit(folds), F.lit(False))
-        )
-    elif scenario == "R11":
-        rows = axis.filter(c.isNotNull() & s.isNotNull()).withColumn("fold", s * F.lit(folds) + c)
-    elif scenario == "time":
-        rows = axis.filter(F.col("time_fold").isNotNull()).withColumn("fold", F.col("time_fold"))
-    elif scenario == "RT":
-        rows = axis.filter(F.col("nested_time_fold").isNotNull()).withColumn("fold", F.col("nested_time_fold"))
-    elif scenario == "time_forward":
-        rows = axis.filter(
-            (F.col("kind") == "treatment") & F.col("forward_fold").isNotNull() & (F.col("pert_time") == F.col("max_time"))
-        ).withColumn("fold", F.col("forward_fold"))
-    elif scenario == "plate":
-        rows = axis.filter(F.col("plate_fold").isNotNull()).withColumn("fold", F.col("plate_fold"))
-    else:
+        shifted = lambda bits, by: F.coalesce(F.call_function("shiftleft", F.lit(bits).cast("bigint"), by.cast("int")), none)
+        return shifted((1 << folds) - 1, s * folds).bitwiseOR(shifted(sum(1 << a * folds for a in range(folds)), c))
+    if scenario == "time_forward":
+        latest = (F.col("kind") == "treatment") & (F.col("pert_time") == F.col("max_time"))
+        return F.coalesce(F.when(latest, fold_bit(F.col("forward_fold"))), none)
+    held = {"S1": c, "R10": c, "S2": s, "R01": s, "R11": s * folds + c, "time": F.col("time_fold"), "RT": F.col("nested_time_fold"), "plate": F.col("plate_fold")}
+    if scenario not in held:
         raise ValueError(f"Unknown scenario {scenario!r}")
-    return rows
+    return F.coalesce(fold_bit(held[scenario]), none)
+
+
+def with_fit_mask(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
+    """Add ``fit``: bits of the folds whose fit set holds the row."""
+    return axis.withColumn("fit", F.lit(every_fold(scenario, folds)).cast("bigint").bitwiseAND(F.bitwise_not(excluded_mask(scenario, folds))))
 
 
 def candidate_rows(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
@@ -245,32 +253,24 @@ REQUIRED_SUPPORT = {
 }
 
 
-def _with_support(candidates: DataFrame, axis: DataFrame, excluded: DataFrame, column: str, flag: str) -> DataFrame:
+def _with_support(candidates: DataFrame, fitted: DataFrame, column: str, flag: str) -> DataFrame:
     """Flag candidates whose key keeps at least one row in the fold's fit set."""
-    total = axis.groupBy(column).agg(F.count(F.lit(1)).alias("_all"))
-    out = excluded.groupBy(column, "fold").agg(F.count(F.lit(1)).alias("_out"))
-    return (
-        candidates.join(total, column, "left")
-        .join(out, [column, "fold"], "left")
-        .withColumn(flag, F.coalesce(F.col("_all") - F.coalesce("_out", F.lit(0)) > 0, F.lit(False)))
-        .drop("_all", "_out")
-    )
+    kept = fitted.groupBy(column).agg(F.bit_or("fit").alias("_fit"))
+    return candidates.join(kept, column, "left").withColumn(flag, F.coalesce(has_fold(F.col("_fit"), F.col("fold")), F.lit(False))).drop("_fit")
 
 
 def assignment_table(
     axis: DataFrame, scenario: str, folds: int, strain_key: str = "strain", chemical_key: str = "chemical"
 ) -> DataFrame:
     """One row per candidate: fold, seen flags per axis, eligibility and exclusion reason."""
-    excluded = excluded_rows(axis, scenario, folds)
+    fitted = with_fit_mask(axis, scenario, folds)
     rows = candidate_rows(axis, scenario, folds)
-    rows = _with_support(rows, axis, excluded, strain_key, "strain_seen")
-    rows = _with_support(rows, axis, excluded, chemical_key, "chemical_seen")
-    rows = _with_support(rows, axis, excluded, "pair_key", "pair_seen")
-    rows = _with_support(rows, axis, excluded, "time_key", "time_group_seen")
+    for column, flag in ((strain_key, "strain_seen"), (chemical_key, "chemical_seen"), ("pair_key", "pair_seen"), ("time_key", "time_group_seen")):
+        rows = _with_support(rows, fitted, column, flag)
     rules = {"strain": F.col("strain_seen"), "chemical": F.col("chemical_seen"), "pair": F.col("pair_seen")}
     if scenario in ("time", "RT"):
-        rows = _with_support(rows, axis, excluded, "context_key", "_context_seen")
-        rows = _with_support(rows, axis, excluded, "pert_time", "_time_seen")
+        rows = _with_support(rows, fitted, "context_key", "_context_seen")
+        rows = _with_support(rows, fitted, "pert_time", "_time_seen")
         rules |= {"context": F.col("_context_seen"), "time_value": F.col("_time_seen")}
     eligible = reduce(lambda a, b: a & b, [rules[name] for name in REQUIRED_SUPPORT[scenario]], F.lit(True))
     if scenario == "time_forward":
@@ -296,22 +296,39 @@ def assignment_table(
     )
 
 
-def fit_rows(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
-    """Explicit fit sets (fold, sample): every train row of every fold minus the excluded ones."""
-    every = axis.select("sample_id", _explode_folds(fold_count(scenario, folds)).alias("fold"))
-    gone = excluded_rows(axis, scenario, folds).select("fold", "sample_id")
-    return every.join(gone, ["fold", "sample_id"], "left_anti").select(F.lit(scenario).alias("scenario"), "fold", "sample_id")
+def membership(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
+    """Train rows with ``fit`` and ``valid``: bits of the folds that fit on the row, and that score it.
 
+    A candidate is scored where the keys it needs keep a row in the fit set.
+    """
+    rows = with_fit_mask(axis, scenario, folds)
+    key_of = {"strain": "strain", "chemical": "chemical", "pair": "pair_key", "context": "context_key", "time_value": "pert_time"}
+    fold = candidate_rows(axis, scenario, folds).select("sample_id", "fold")
+    valid = F.coalesce(fold_bit(F.col("fold")), F.lit(0).cast("bigint"))
+    if scenario == "time_forward":
+        valid = F.when(F.col("pert_time") == F.col("max_time"), valid).otherwise(F.lit(0).cast("bigint"))
+    out = rows.join(fold, "sample_id", "left").withColumn("valid", valid).drop("fold")
+    for name in REQUIRED_SUPPORT[scenario]:
+        kept = rows.groupBy(key_of[name]).agg(F.bit_or("fit").alias("_kept"))
+        out = out.join(kept, key_of[name], "left").withColumn("valid", F.col("valid").bitwiseAND(F.coalesce("_kept", F.lit(0).cast("bigint")))).drop("_kept")
+    return out.withColumnsRenamed({"strain": "strain_key", "chemical": "chemical_key"})
 
-# ------------------------------------------------------------------- isolation
-def _leak(valid: DataFrame, fit: DataFrame, key: str, rule: str, want_present: bool) -> DataFrame:
-    """Keys of the validation side that break a presence/absence rule."""
-    v = valid.select("scenario", "fold", F.col(key).alias("key")).distinct()
-    f = fit.select("scenario", "fold", F.col(key).alias("key")).distinct()
-    how = "left_anti" if want_present else "left_semi"
-    return v.join(f, ["scenario", "fold", "key"], how).withColumn("rule", F.lit(rule))
+
+def folds_of(mask: Column, count: int) -> Column:
+    """List of the folds whose bits are set."""
+    return F.filter(F.array(*[F.lit(k).cast("bigint") for k in range(count)]), lambda k: has_fold(mask, k))
+
+
+def per_fold(rows: DataFrame, mask: str, count: int, measures: dict[str, Column]) -> DataFrame:
+    """(fold, measures): aggregates over the rows of each fold, from one pass; folds without rows are left out.
+
+    A measure is an aggregate of a column ``inside``, which is true for the rows of the fold.
+    """
+    each = [F.struct(F.lit(k).cast("bigint").alias("fold"), F.count(F.when(has_fold(F.col(mask), F.lit(k)), F.lit(1))).alias("_rows"), *[build(has_fold(F.col(mask), F.lit(k))).alias(name) for name, build in measures.items()]) for k in range(count)]
+    return rows.agg(F.array(*each).alias("f")).select(F.explode("f").alias("f")).select("f.*").filter("_rows > 0").drop("_rows")
 
 
+# ------------------------------------------------------------------- isolation
 # Per scenario, keys that must be absent from / present in the fit set.
 ABSENT = {
     "S1": ("chemical_key",),
@@ -334,40 +351,52 @@ PRESENT = {
 }
 
 
-def isolation_violations(valid: DataFrame, fit: DataFrame, scenario: str) -> DataFrame:
+def isolation_violations(rows: DataFrame, scenario: str, folds: int) -> DataFrame:
     """Violating keys of one scenario: (scenario, fold, rule, key); empty when isolated.
 
-    Both inputs need scenario, fold, sample_id, strain_key, chemical_key,
-    pair_key, time_key, context_key, plate and pert_time.
+    ``rows`` are those of :func:`membership`, one per sample.  All keys are met in one
+    aggregation: a key that must be absent leaks in the folds of valid AND fit, a key that
+    must be represented is missing in those of valid AND NOT fit.
     """
-    both = valid.select("scenario", "fold", F.col("sample_id").cast("string").alias("key")).join(
-        fit.select("scenario", "fold", F.col("sample_id").cast("string").alias("key")), ["scenario", "fold", "key"], "left_semi"
-    )
-    parts = [both.withColumn("rule", F.lit("sample_in_both"))]
-    parts += [_leak(valid, fit, key, f"{key}_leaks", False) for key in ABSENT[scenario]]
-    parts += [_leak(valid, fit, key, f"{key}_not_represented", True) for key in PRESENT.get(scenario, ())]
+    count = fold_count(scenario, folds)
+    kinds = [(key, f"{key}_leaks", True) for key in ABSENT[scenario]] + [(key, f"{key}_not_represented", False) for key in PRESENT.get(scenario, ())]
+    keyed = [F.struct(F.lit(rule).alias("rule"), F.lit(leak).alias("leak"), F.col(key).cast("string").alias("key")) for key, rule, leak in [("sample_id", "sample_in_both", True), *kinds]]
+    masks = rows.select(F.explode(F.array(*keyed)).alias("k"), "fit", "valid").groupBy("k.rule", "k.leak", "k.key").agg(F.bit_or("fit").alias("fit"), F.bit_or("valid").alias("valid"))
+    bad = F.col("valid").bitwiseAND(F.when(F.col("leak"), F.col("fit")).otherwise(F.bitwise_not(F.col("fit"))))
+    parts = [masks.filter(bad != 0).select(F.explode(folds_of(bad, count)).alias("fold"), "rule", "key")]
     if scenario == "time_forward":
-        first = valid.groupBy("scenario", "fold", "context_key").agg(F.min("pert_time").alias("_first"))
-        last = fit.groupBy("scenario", "fold", "context_key").agg(F.max("pert_time").alias("_last"))
-        late = first.join(last, ["scenario", "fold", "context_key"], "left").filter(
-            F.col("_last").isNull() | (F.col("_last") >= F.col("_first"))
-        )
-        parts.append(late.select("scenario", "fold", F.col("context_key").alias("key"), F.lit("fit_not_earlier").alias("rule")))
-    return reduce(DataFrame.unionByName, parts).select("scenario", "fold", "rule", "key")
-
-
-def fold_fingerprints(rows: DataFrame, by: Sequence[str], key: str = "sample_id") -> DataFrame:
-    """Row count and order-free id fingerprint of every fold, in one partial aggregation."""
-    return rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), multiset_digest(F.sha2(F.col(key).cast("string"), 256)).alias("ids_sha256")
-    )
+        times = [
+            F.struct(
+                F.lit(k).cast("bigint").alias("fold"),
+                F.min(F.when(has_fold(F.col("valid"), F.lit(k)), F.col("pert_time"))).alias("first"),
+                F.max(F.when(has_fold(F.col("fit"), F.lit(k)), F.col("pert_time"))).alias("last"),
+            )
+            for k in range(count)
+        ]
+        late = rows.groupBy(F.col("context_key").alias("key")).agg(F.array(*times).alias("t")).select("key", F.explode("t").alias("t")).select("key", "t.*")
+        late = late.filter(F.col("first").isNotNull() & (F.col("last").isNull() | (F.col("last") >= F.col("first"))))
+        parts.append(late.select("fold", F.lit("fit_not_earlier").alias("rule"), "key"))
+    return reduce(DataFrame.unionByName, parts).select(F.lit(scenario).alias("scenario"), "fold", "rule", "key")
+
+
+def fold_fingerprints(rows: DataFrame, mask: str, count: int, key: str = "sample_id") -> DataFrame:
+    """(fold, n_rows, ids_sha256): row count and order-free id fingerprint of the rows with each fold's bit, from one pass."""
+    digest = F.sha2(F.col(key).cast("string"), 256)
+    return per_fold(rows, mask, count, {"n_rows": lambda inside: F.count(F.when(inside, F.lit(1))), "ids_sha256": lambda inside: multiset_digest(F.when(inside, digest))})
+
+
+def inner_group_folds(rows: DataFrame, group: str, folds: int, inner: int, seed: object) -> DataFrame:
+    """(outer_fold, group, n, inner_fold): snake order of the groups inside every outer fit set of (group, fit).
+
+    Groups are counted per mask first, so only groups are repeated per outer fold.
+    """
+    counted = rows.groupBy(group, "fit").agg(F.count(F.lit(1)).alias("n"))
+    sizes = counted.select(F.explode(folds_of(F.col("fit"), folds)).alias("outer_fold"), group, "n").groupBy("outer_fold", group).agg(F.sum("n").alias("n"))
+    ranked = hash_rank(sizes, group, seed, by=["outer_fold"], largest_first="n")
+    return ranked.select("outer_fold", group, "n", snake_fold(F.col("rank"), inner).alias("inner_fold"))
 
 
-def scoring_pool(fit: DataFrame, samples: DataFrame) -> DataFrame:
-    """Control pool of a fold: its fit rows and every train control."""
-    pool = fit.select("scenario", "fold", "sample_id")
-    folds_of = fit.select("scenario", "fold").distinct()
-    controls = samples.filter((F.col("split") == "train") & (F.col("kind") == "control")).select("sample_id")
-    keyed = folds_of.agg(F.collect_set(F.struct("scenario", "fold")).alias("f")).scalar()
-    extra = controls.select(F.explode(keyed).alias("f"), "sample_id").select("f.scenario", "f.fold", "sample_id")
-    return pool.unionByName(extra).distinct()
+def scoring_pool(rows: DataFrame, scenario: str, folds: int) -> DataFrame:
+    """Rows with ``pool``: bits of the folds whose control pool holds the row, its fit rows and every train control."""
+    whole = F.lit(every_fold(scenario, folds)).cast("bigint")
+    return rows.withColumn("pool", F.when(F.col("kind") == "control", whole).otherwise(F.col("fit")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from cellshift.functions.text import entity_key
 from cellshift.operators import entities, folds
-from cellshift.plans.queries_folds import _fit_and_valid, axis_table
+from cellshift.plans.queries_folds import axis_table
 from cellshift.plans.registry import query, view
 from cellshift.plans.study import FOLDS
 from cellshift.session import written
@@ -375,12 +375,14 @@ SELECT 'chemical' AS axis, (SELECT count(*) FROM adm) AS n_admitted, (SELECT min
 )
 def g16(star: Star) -> DataFrame:
     axis = axis_table(star, ("R10",))
-    fit, valid = _fit_and_valid(axis, "R10")
-    shape = lambda frame: frame.select(F.lit("chemical").alias("axis"), "scenario", "fold", entity_key("chemical_key", ascii_only=True).alias("key"))
+    # Only entities are repeated per fold, not their rows.
+    masks = folds.membership(axis, "R10", FOLDS).groupBy(entity_key("chemical_key", ascii_only=True).alias("key")).agg(F.bit_or("fit").alias("fit"), F.bit_or("valid").alias("valid"))
+    masks = written(masks, "entity-folds")
+    shape = lambda mask: masks.select(F.lit("chemical").alias("axis"), F.lit("R10").alias("scenario"), F.explode(folds.folds_of(F.col(mask), FOLDS)).alias("fold"), "key")
     admitted = star.chemical_registry.filter(entities.admitted_status(F.col("mapping_status"))).select(
         F.lit("chemical").alias("axis"), entity_key("raw_name", ascii_only=True).alias("key")
     )
-    return entities.semantic_coverage(admitted, shape(fit), shape(valid))
+    return entities.semantic_coverage(admitted, shape("fit"), shape("valid"))
 
 
 @query(

@@ -372,15 +372,6 @@ def f13(star: Star) -> DataFrame:
     )
 
 
-def _fit_and_valid(axis: DataFrame, scenario: str) -> tuple[DataFrame, DataFrame]:
-    named = axis.select(
-        "sample_id", F.col("strain").alias("strain_key"), F.col("chemical").alias("chemical_key"), "pair_key", "context_key", "time_key", "plate", "pert_time"
-    )
-    fit = folds.fit_rows(axis, scenario, FOLDS).join(named, "sample_id")
-    valid = folds.assignment_table(axis, scenario, FOLDS).filter("eligible")
-    return fit, valid
-
-
 @query(
     "f14_fold_isolation",
     " UNION ALL ".join(f"SELECT '{s}' AS scenario, CAST(0 AS BIGINT) AS n_violations" for s in ALL_SCENARIOS),
@@ -389,27 +380,38 @@ def f14(star: Star) -> DataFrame:
     axis = axis_table(star, ALL_SCENARIOS)
     parts = []
     for scenario in ALL_SCENARIOS:
-        fit, valid = _fit_and_valid(axis, scenario)
-        bad = folds.isolation_violations(valid, fit, scenario)
+        bad = folds.isolation_violations(folds.membership(axis, scenario, FOLDS), scenario, FOLDS)
         parts.append(bad.agg(F.count(F.lit(1)).alias("n_violations")).select(F.lit(scenario).alias("scenario"), "n_violations"))
     return reduce(DataFrame.unionByName, parts)
 
 
-@query(
-    "f14_isolation_faults_found",
-    """
-WITH bad AS (SELECT DISTINCT cf AS fold, chemical AS key FROM v_axis WHERE kind = 'treatment' AND cf IS NOT NULL),
- fit AS (SELECT DISTINCT k AS fold, chemical AS key FROM v_axis CROSS JOIN (SELECT unnest(range(4)) AS k))
-SELECT 'S1' AS scenario, fold, 'chemical_key_leaks' AS rule, key FROM bad JOIN fit USING (fold, key)
-""",
-)
+# One fault per rule: fit sets that hold nothing out break every rule of absence, empty ones every rule of presence.
+_KEY_SQL = {"strain_key": "strain", "chemical_key": "chemical", "pair_key": "pair_key", "time_key": "time_key", "plate": "plate"}
+
+
+def _fault_sql(scenario: str) -> str:
+    counts = [("all", "sample_in_both", "sample_id")]
+    counts += [("all", f"{key}_leaks", _KEY_SQL[key]) for key in folds.ABSENT[scenario]]
+    counts += [("none", f"{key}_not_represented", _KEY_SQL[key]) for key in folds.PRESENT.get(scenario, ())]
+    if scenario == "time_forward":
+        counts += [(fit, "fit_not_earlier", "context_key") for fit in ("all", "none")]
+    return " UNION ALL ".join(
+        f"SELECT '{scenario}' AS scenario, '{fit}' AS fitted, '{rule}' AS rule, count(DISTINCT (fold, {key})) AS n_keys FROM ({_assignment_sql(scenario)}) q JOIN v_keys USING (sample_id) WHERE eligible HAVING count(*) > 0"
+        for fit, rule, key in counts
+    )
+
+
+@query("f14_isolation_faults_found", " UNION ALL ".join(map(_fault_sql, ALL_SCENARIOS)))
 def f14_faults(star: Star) -> DataFrame:
-    # A faulty fit set that forgot to hold anything out: every held chemical leaks.
-    axis = axis_table(star, ("S1",))
-    named = axis.select("sample_id", F.col("strain").alias("strain_key"), F.col("chemical").alias("chemical_key"), "pair_key", "context_key", "time_key", "plate", "pert_time")
-    every = named.withColumn("fold", F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1)).cast("array<bigint>"))).withColumn("scenario", F.lit("S1"))
-    valid = folds.candidate_rows(axis, "S1", FOLDS).withColumn("scenario", F.lit("S1")).withColumnsRenamed({"strain": "strain_key", "chemical": "chemical_key"})
-    return folds.isolation_violations(valid, every, "S1").filter(F.col("rule") != "sample_in_both").select("scenario", "fold", "rule", "key")
+    """Violations of every rule where the fit sets of all folds hold all rows, or none."""
+    axis = axis_table(star, ALL_SCENARIOS)
+    parts = []
+    for scenario in ALL_SCENARIOS:
+        rows = folds.membership(axis, scenario, FOLDS)
+        for name, mask in (("all", folds.every_fold(scenario, FOLDS)), ("none", 0)):
+            bad = folds.isolation_violations(rows.withColumn("fit", F.lit(mask).cast("bigint")), scenario, FOLDS)
+            parts.append(bad.groupBy("scenario", F.lit(name).alias("fitted"), "rule").agg(F.count(F.lit(1)).alias("n_keys")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query(
@@ -420,8 +422,7 @@ FROM v_axis CROSS JOIN (SELECT unnest(range(4)) AS k) WHERE cf IS NULL OR cf <>
 """,
 )
 def f15(star: Star) -> DataFrame:
-    axis = axis_table(star, ("S1",))
-    return folds.fold_fingerprints(folds.fit_rows(axis, "S1", FOLDS), ["fold"])
+    return folds.fold_fingerprints(folds.with_fit_mask(axis_table(star, ("S1",)), "S1", FOLDS), "fit", FOLDS)
 
 
 @query(
@@ -436,19 +437,12 @@ FROM inner_fold GROUP BY 1, 2
 """,
 )
 def f16(star: Star) -> DataFrame:
-    from cellshift.operators.ranking import hash_rank, snake_fold
-
-    axis = axis_table(star, ("S1",))
-    fit = folds.fit_rows(axis, "S1", FOLDS).withColumnRenamed("fold", "outer_fold")
-    treated = fit.join(axis.filter(F.col("kind") == "treatment").select("sample_id", "chemical", "chemical_fold"), "sample_id")
-    sizes = treated.groupBy("outer_fold", "chemical").agg(F.count(F.lit(1)).alias("n"))
-    ranked = hash_rank(sizes, "chemical", "inner", by=["outer_fold"], largest_first="n")
-    inner = ranked.select("outer_fold", "chemical", snake_fold(F.col("rank"), 2).alias("inner_fold"))
-    rows = treated.join(inner, ["outer_fold", "chemical"])
-    return rows.groupBy("outer_fold", "inner_fold").agg(
-        F.count(F.lit(1)).alias("n_candidates"),
-        F.countDistinct("chemical").alias("n_chemicals"),
-        F.count(F.when(F.col("chemical_fold") == F.col("outer_fold"), F.lit(1))).alias("n_outside"),
+    treated = folds.with_fit_mask(axis_table(star, ("S1",)), "S1", FOLDS).filter(F.col("kind") == "treatment")
+    inner = folds.inner_group_folds(treated, "chemical", FOLDS, 2, "inner")
+    held = treated.select("chemical", "chemical_fold").distinct()
+    outside = F.when(F.col("chemical_fold") == F.col("outer_fold"), F.col("n")).otherwise(0)
+    return inner.join(held, "chemical").groupBy("outer_fold", "inner_fold").agg(
+        F.sum("n").alias("n_candidates"), F.count(F.lit(1)).alias("n_chemicals"), F.sum(outside).cast("bigint").alias("n_outside")
     )
 
 
@@ -461,9 +455,9 @@ SELECT fold, count(*) AS n_pool FROM pool GROUP BY 1
 """,
 )
 def f17(star: Star) -> DataFrame:
-    axis = axis_table(star, ("plate",))
-    pool = folds.scoring_pool(folds.fit_rows(axis, "plate", FOLDS), star.train)
-    return pool.groupBy("fold").agg(F.count(F.lit(1)).alias("n_pool"))
+    rows = folds.with_fit_mask(axis_table(star, ("plate",)), "plate", FOLDS)
+    pool = folds.scoring_pool(rows, "plate", FOLDS)
+    return folds.per_fold(pool, "pool", FOLDS, {"n_pool": lambda inside: F.count(F.when(inside, F.lit(1)))})
 
 
 @query(
