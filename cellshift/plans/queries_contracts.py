@@ -301,8 +301,12 @@ def b07(star: Star) -> DataFrame:
 
 @query(
     "b08_log2_cells",
-    "SELECT sample_id, protein, r6(y) AS y FROM v_y WHERE protein IN (SELECT protein FROM v_cells JOIN v_train USING (sample_id) "
-    "GROUP BY 1 HAVING 1 - count(*) * 1.0 / (SELECT count(*) FROM v_train) < 0.8)",
+    """
+WITH rows AS MATERIALIZED (SELECT count(*) AS n FROM v_train),
+ kept AS MATERIALIZED (SELECT protein FROM (SELECT protein, count(*) AS seen FROM v_cells JOIN v_train USING (sample_id) GROUP BY 1), rows WHERE 1 - seen * 1.0 / n < 0.8),
+ y AS MATERIALIZED (SELECT * FROM v_y)
+SELECT y.sample_id, y.protein, r6(y.y) AS y FROM y JOIN kept ON kept.protein = y.protein
+""",
 )
 def b08(star: Star) -> DataFrame:
     kept = prepare.kept_proteins(Study(star).raw_rates, THRESHOLD)

@@ -721,7 +721,7 @@ def l09_verdict(star: Star) -> DataFrame:
 
 
 @query(
-    "l10_multi_comparison_verdict",
+    "l10_strain_verdict_at_two_thresholds",
     f"""
 WITH c AS (SELECT scenario, 'primary' AS comparison, bool_and({_passed_sql('0.01')}) AND bool_or(metric LIKE '%residual%') AS promoted FROM v_promo WHERE cluster_axis = 'strain' GROUP BY 1
  UNION ALL SELECT scenario, 'negative_control', bool_and({_passed_sql('0.0')}) AND bool_or(metric LIKE '%residual%') FROM v_promo WHERE cluster_axis = 'strain' GROUP BY 1)
@@ -784,7 +784,7 @@ def negative_control_stats(star: Star) -> DataFrame:
 
 
 @query(
-    "l10_gated_comparisons_verdict",
+    "l10_multi_comparison_verdict",
     f"""
 WITH s AS (SELECT 'primary' AS comparison, scenario, cluster_axis, metric, {_passed_sql('0.01')} AS passed FROM v_promo
   UNION ALL SELECT 'negative_control', scenario, cluster_axis, metric, {_passed_sql('0.0')} FROM v_neg_promo),

@@ -149,8 +149,7 @@ def h09(star: Star) -> DataFrame:
     return out.select("sample_id", "protein", r6("prior").alias("prior"))
 
 
-# The scale queries h10-h12 leave L7 out of the fit: it stands for a protein that the fit has not seen and
-# takes the default.  Their *_all_proteins forms fit every protein.
+# The *_unseen_default forms leave L7 out of the fit: it stands for a protein that the fit has not seen.
 SCALE_ALL_SQL = "SELECT protein, avg(y) AS m, greatest(stddev_pop(y), 0.5) AS s, count(y) AS n, stddev_pop(y) AS raw FROM v_y JOIN v_train USING (sample_id) GROUP BY 1"
 SCALE_SQL = "SELECT protein, avg(y) AS m, greatest(stddev_pop(y), 0.5) AS s, count(y) AS n, stddev_pop(y) AS raw FROM v_y JOIN v_train USING (sample_id) WHERE protein <> 'L7' GROUP BY 1"
 
@@ -181,7 +180,7 @@ def _standardised_fold_changes(star: Star, unseen: str | None) -> DataFrame:
 
 
 @query(
-    "h10_target_scale",
+    "h10_unseen_default",
     f"""
 SELECT p.protein, r6(coalesce(m, 0)) AS target_mean, r6(coalesce(s, 0.5)) AS target_scale, r6(CASE WHEN coalesce(n, 0) < 2 OR raw < 1.1 THEN 1 ELSE raw END) AS unit_scale
 FROM (SELECT DISTINCT protein FROM v_y) p LEFT JOIN ({SCALE_SQL}) x USING (protein)
@@ -192,10 +191,11 @@ def h10(star: Star) -> DataFrame:
 
 
 @query(
-    "h11_standardised_cells",
+    "h11_unseen_default",
     f"""
-SELECT sample_id, protein, r6((y - coalesce(m, 0)) / coalesce(s, 0.5)) AS z, r6(y / coalesce(s, 0.5)) AS response_z, r6(y) AS restored
-FROM v_y LEFT JOIN ({SCALE_SQL}) x USING (protein)
+WITH y AS MATERIALIZED (SELECT * FROM v_y), x AS MATERIALIZED ({SCALE_SQL})
+SELECT y.sample_id, y.protein, r6((y.y - coalesce(x.m, 0)) / coalesce(x.s, 0.5)) AS z, r6(y.y / coalesce(x.s, 0.5)) AS response_z, r6(y.y) AS restored
+FROM y LEFT JOIN x ON x.protein = y.protein
 """,
 )
 def h11(star: Star) -> DataFrame:
@@ -203,7 +203,7 @@ def h11(star: Star) -> DataFrame:
 
 
 @query(
-    "h12_standardised_fold_changes",
+    "h12_unseen_default",
     f"SELECT sample_id, protein, r6(t / coalesce(s, 0.5)) AS target FROM v_tdelta LEFT JOIN ({SCALE_SQL}) x USING (protein)",
 )
 def h12(star: Star) -> DataFrame:
@@ -211,7 +211,7 @@ def h12(star: Star) -> DataFrame:
 
 
 @query(
-    "h10_target_scale_all_proteins",
+    "h10_target_scale",
     f"""
 SELECT p.protein, r6(coalesce(m, 0)) AS target_mean, r6(coalesce(s, 0.5)) AS target_scale, r6(CASE WHEN coalesce(n, 0) < 2 OR raw < 1.1 THEN 1 ELSE raw END) AS unit_scale
 FROM (SELECT DISTINCT protein FROM v_y) p LEFT JOIN ({SCALE_ALL_SQL}) x USING (protein)
@@ -222,10 +222,11 @@ def h10_all(star: Star) -> DataFrame:
 
 
 @query(
-    "h11_standardised_cells_all_proteins",
+    "h11_standardised_cells",
     f"""
-SELECT sample_id, protein, r6((y - coalesce(m, 0)) / coalesce(s, 0.5)) AS z, r6(y / coalesce(s, 0.5)) AS response_z, r6(y) AS restored
-FROM v_y LEFT JOIN ({SCALE_ALL_SQL}) x USING (protein)
+WITH y AS MATERIALIZED (SELECT * FROM v_y), x AS MATERIALIZED ({SCALE_ALL_SQL})
+SELECT y.sample_id, y.protein, r6((y.y - coalesce(x.m, 0)) / coalesce(x.s, 0.5)) AS z, r6(y.y / coalesce(x.s, 0.5)) AS response_z, r6(y.y) AS restored
+FROM y LEFT JOIN x ON x.protein = y.protein
 """,
 )
 def h11_all(star: Star) -> DataFrame:
@@ -233,7 +234,7 @@ def h11_all(star: Star) -> DataFrame:
 
 
 @query(
-    "h12_standardised_fold_changes_all_proteins",
+    "h12_standardised_fold_changes",
     f"SELECT sample_id, protein, r6(t / coalesce(s, 0.5)) AS target FROM v_tdelta LEFT JOIN ({SCALE_ALL_SQL}) x USING (protein)",
 )
 def h12_all(star: Star) -> DataFrame:

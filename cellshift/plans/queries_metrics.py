@@ -13,6 +13,7 @@ from cellshift.plans.sqltext import pcc, r2, response
 from cellshift.plans.study import Study
 from cellshift.session import written
 from cellshift.sources.star import Star
+from cellshift.streaming.metric_processor import resumed_scores
 from cellshift.streaming.running_metrics import running_scores
 
 ROUNDED = metrics.RESPONSE_METRICS
@@ -631,20 +632,28 @@ def d27(star: Star) -> DataFrame:
     return rounded(metrics.loss_report(Study(star).absolute, ["split"], "m1"), ["split"])
 
 
-@query(
-    "d28_running_metric_state",
-    f"""
+_RUNNING_SQL = f"""
 SELECT event_type, count(*) AS n, r6({pcc('k', 'value')}) AS pcc,
        count(*) FILTER (WHERE abs(value) > 10) AS n_high_true, count(*) FILTER (WHERE abs(k) > 10) AS n_high_pred,
        count(*) FILTER (WHERE abs(value) > 10 AND abs(k) > 10 AND sign(k) = sign(value)) AS n_high_hit
 FROM (SELECT event_type, value, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events) GROUP BY 1
-""",
-)
+"""
+
+
+@query("d28_running_metric_state", _RUNNING_SQL)
 def d28(star: Star) -> DataFrame:
     state = running_scores(star.spark, f"{star.folder}/events.parquet", threshold=10.0)
     return rounded(state, ["event_type"])
 
 
+@query("d28_resumed_metric_state", _RUNNING_SQL)
+def d28_resumed(star: Star) -> DataFrame:
+    """The same scores from a keyed stateful processor that was fed in four batches, stopped half way and resumed."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    pairs = star.table("events").select(F.col("event_id").alias("id"), F.col("event_type").alias("key"), k.alias("prediction"), F.col("value").alias("truth"))
+    return rounded(resumed_scores(pairs, 10.0).withColumnRenamed("key", "event_type"), ["event_type"])
+
+
 @query(
     "d05_regression_report",
     f"""

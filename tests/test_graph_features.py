@@ -7,9 +7,11 @@ import random
 
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from cellshift.operators import features, graph, selection, spectral
+from cellshift.streaming import metric_processor
 from cellshift.streaming.running_metrics import latest_state, metric_state, run_to_completion, state_scores
 
 
@@ -180,3 +182,28 @@ def test_stream_state_equals_batch(spark, tmp_path):
     assert len(spark.read.parquet(folder).select("batch").distinct().collect()) >= 5
     for key in want:
         assert got[key]["n"] == want[key]["n"] and math.isclose(got[key]["pcc"], want[key]["pcc"], rel_tol=1e-9)
+
+
+def test_stateful_processor_survives_a_failed_batch_and_a_restart(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = spark.createDataFrame([(f"k{i % 3}", float(a), float(b)) for i, (a, b) in enumerate(rng.normal(0, 2, (300, 2)))] + [("k9", None, 1.0)], "key string, prediction double, truth double")
+    source, checkpoint = str(tmp_path / "in"), str(tmp_path / "progress")
+    rows.repartition(5).write.parquet(source)
+    stream = lambda: metric_processor.metric_stream(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source), 1.0)
+
+    def fail(frame, batch):
+        if batch == 2:
+            raise RuntimeError("lost in batch 2")
+
+    with pytest.raises(Exception, match="lost in batch 2"):
+        metric_processor.advance(stream(), checkpoint, fail)
+    assert metric_processor.advance(stream(), checkpoint) == [2, 3, 4]
+    rows.limit(0).union(spark.createDataFrame([("k0", 5.0, 5.0)], rows.schema)).coalesce(1).write.mode("append").parquet(source)
+    assert metric_processor.advance(stream(), checkpoint) == [5]
+    whole = rows.union(spark.createDataFrame([("k0", 5.0, 5.0)], rows.schema))
+    want = {r["key"]: r for r in metric_state(whole, "key", "prediction", "truth").collect()}
+    got = {r["key"]: r for r in metric_processor.stored_state(spark, checkpoint).collect()}
+    assert set(got) == set(want)
+    for key in want:
+        for name in metric_processor.FIELDS:
+            assert math.isclose(got[key][name], want[key][name], rel_tol=1e-9, abs_tol=1e-9), (key, name)

@@ -98,7 +98,7 @@ def test_controls_pool_is_respected(spark, small):
     assert controls.control_means(samples, y, empty_pool).count() == 0
 
 
-@pytest.mark.parametrize("name", ["h10_target_scale_all_proteins", "h11_standardised_cells_all_proteins", "h12_standardised_fold_changes_all_proteins"])
+@pytest.mark.parametrize("name", ["h10_target_scale", "h11_standardised_cells", "h12_standardised_fold_changes"])
 def test_scales_fit_every_protein(spark, name):
     test_queries_match_sql(spark, name)
     if name.startswith("h10"):
@@ -120,4 +120,4 @@ def test_every_required_axis_and_comparison_gates(spark):
 
 
 def test_gated_comparisons_match_sql(spark):
-    test_queries_match_sql(spark, "l10_gated_comparisons_verdict")
+    test_queries_match_sql(spark, "l10_multi_comparison_verdict")
