@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import csv
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,17 +21,47 @@ def header_of(spark: SparkSession, path: str, sep: str = ",") -> list[str]:
     return spark.read.option("header", True).option("sep", sep).option("inferSchema", False).csv(path).columns
 
 
+# Bytes of a file that are read at a time until its first line is whole.
+HEADER_CHUNK = 65_536
+
+
+def first_line(path: str) -> tuple[str, int]:
+    """First line of a (gzipped or plain) file and the bytes taken from it, by whatever store the path names."""
+    local = path.startswith(("file:", "/"))
+    system, inner = (fs.LocalFileSystem(), "/" + path.removeprefix("file:").lstrip("/")) if local else fs.FileSystem.from_uri(path)
+    data = b""
+    with system.open_input_stream(inner, compression="gzip" if inner.endswith(".gz") else None, buffer_size=None) as source:
+        while b"\n" not in data and (chunk := source.read(HEADER_CHUNK)):
+            data += chunk
+    return data.partition(b"\n")[0].decode("utf-8-sig").rstrip("\r"), len(data)
+
+
+def _headers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        found = [first_line(path) for path in batch["path"]]
+        yield pd.DataFrame({"path": batch["path"], "header": [line for line, _ in found], "taken": [n for _, n in found]})
+
+
+def file_headers(spark: SparkSession, path: str, **options: object) -> DataFrame:
+    """(path, header, taken) of every file that is not empty: tasks open the listed files and read one chunk, not the rows.
+
+    The listing comes from Spark, contents are not asked for.
+    """
+    files = spark.read.format("binaryFile").options(**options).load(path).filter("length > 0").select("path")
+    dealt = files.repartition(spark.sparkContext.defaultParallelism)
+    return dealt.mapInPandas(_headers, "path string, header string, taken bigint")
+
+
 def header_groups(spark: SparkSession, path: str, sep: str = ",", **options: object) -> list[tuple[list[str], list[str]]]:
     """(column names, files) for every header line that the files of a path begin with.
 
-    A file's first line is the first row of its first block; one row per file reaches the
-    driver, as many as its file listing has.
+    What reaches the driver are the distinct headers with their file names, as many as
+    the driver's own file listing has.
     """
-    lines = spark.read.options(**options).text(path).select("value", "_metadata.file_path", "_metadata.file_block_start").filter("file_block_start = 0")
-    first = lines.groupBy("file_path").agg(F.first("value").alias("header"))
-    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file_path")).alias("files")).orderBy("header").collect()
-    # The files are named, so the CSV reader splits quoted names the way it will split the rows.
-    return [(spark.read.option("header", True).option("sep", sep).csv(row["files"][0]).columns, row["files"]) for row in found]
+    first = file_headers(spark, path, **options)
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("path")).alias("files")).orderBy("header").collect()
+    # Quoted names are split the way the rows will be.
+    return [(next(csv.reader([row["header"]], delimiter=sep)), row["files"]) for row in found]
 
 
 def _by_name(parts: Sequence[DataFrame]) -> DataFrame:

@@ -15,6 +15,7 @@ from cellshift.operators import checks, controls, folds, inference, metrics, pre
 from cellshift.operators.fingerprints import table_fingerprint
 from cellshift.operators.quantiles import exact_quantile
 from cellshift.operators.ranking import best_per_group, hash_rank, shifted_donor
+from cellshift.sources import readers
 
 
 def test_names_and_kinds(spark):
@@ -218,3 +219,19 @@ def test_route_weights_are_validated(spark):
     with pytest.raises(ValueError):
         predict.route_rows(rows, {"R10": (0.5, {"b": 0.7})}, "r", "a")
     assert predict.route_rows(rows, {"R10": (0.5, {"b": 1.0})}, "r", "a").first()["final"] == 1.5
+
+
+def test_headers_cost_one_chunk_of_each_file(spark, tmp_path):
+    import gzip
+
+    wide = "x" * 100
+    (tmp_path / "a.csv").write_text('"b, c",a\n' + f"1,{wide}\n" * 20_000)
+    (tmp_path / "b.csv").write_text("a,d\r\n1,2\r\n")
+    (tmp_path / "c.csv").write_text("")
+    with gzip.open(tmp_path / "d.csv.gz", "wt") as out:
+        out.write("a,d\n3,4\n")
+    found = {r["path"].rpartition("/")[2]: r for r in readers.file_headers(spark, str(tmp_path)).collect()}
+    assert {name: r["header"] for name, r in found.items()} == {"a.csv": '"b, c",a', "b.csv": "a,d", "d.csv.gz": "a,d"}
+    assert found["a.csv"]["taken"] <= readers.HEADER_CHUNK < (tmp_path / "a.csv").stat().st_size
+    groups = readers.header_groups(spark, str(tmp_path))
+    assert [(names, len(files)) for names, files in groups] == [(["b, c", "a"], 1), (["a", "d"], 2)]
