@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellshift.functions import sqlnames
 from cellshift.functions.moments import MOMENTS, moment_aggs, pearson_agg, pearson_from_moments, r2_agg
 from cellshift.functions.numbers import r6, ratio
 from cellshift.operators import checks, controls, metrics
@@ -368,6 +369,14 @@ def d15(star: Star) -> DataFrame:
     return rounded(metrics.response_report(Study(star).scored_model("m0"), ["split"]), ["split"])
 
 
+@query("d15_response_report_in_sql", RESPONSE_SQL)
+def d15_sql(star: Star) -> DataFrame:
+    """The same report as SQL text over the session's own score functions."""
+    sqlnames.register(star.spark)
+    Study(star).scored_model("m0").createOrReplaceTempView("scored_responses")
+    return rounded(star.spark.sql(sqlnames.response_report_sql("scored_responses", "split")), ["split"])
+
+
 @query(
     "d16_combined_fold_evaluation",
     f"""
