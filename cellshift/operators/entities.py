@@ -144,6 +144,14 @@ def support_flags(rows: DataFrame, support: DataFrame) -> DataFrame:
     return flagged.withColumn("support_route", route)
 
 
+def support_regime() -> Column:
+    """Regime of a row with ``kind`` and ``support_route``: control for non-treatments."""
+    regime = F.lit(None).cast("string")
+    for route, name in ROUTES.items():
+        regime = F.when(F.col("support_route") == route, name).otherwise(regime)
+    return F.when(F.col("kind") != "treatment", "control").otherwise(regime)
+
+
 def route_audit(rows: DataFrame, support: DataFrame, pairs: DataFrame) -> DataFrame:
     """Expert gates, reasons and the regime (control for non-treatments) of every row."""
     flagged = support_flags(rows, support)
@@ -152,9 +160,6 @@ def route_audit(rows: DataFrame, support: DataFrame, pairs: DataFrame) -> DataFr
         flagged, pairs, "context_time", composite_key(context_time_fields("strain_support_key", "chemical_support_key")), "context_time_seen"
     )
     treated = F.col("kind") == "treatment"
-    regime = F.lit(None).cast("string")
-    for route, name in ROUTES.items():
-        regime = F.when(F.col("support_route") == route, name).otherwise(regime)
     reason = lambda seen, yes, no: F.when(~treated, "non_treatment_response_disabled").when(F.col(seen), yes).otherwise(no)
     key_yes, key_no = "canonical_support_key_seen", "canonical_support_key_unseen"
     return flagged.withColumns(
@@ -166,17 +171,16 @@ def route_audit(rows: DataFrame, support: DataFrame, pairs: DataFrame) -> DataFr
             "chemical_expert_reason": reason("chemical_seen", key_yes, key_no),
             "pair_expert_reason": reason("pair_seen", "canonical_pair_seen", "canonical_pair_unseen"),
             "context_time_reason": F.when(F.col("context_time_seen"), "exact_context_time_seen").otherwise("exact_context_time_unseen"),
-            "support_regime": F.when(~treated, "control").otherwise(regime),
+            "support_regime": support_regime(),
         }
     )
 
 
-def route_counts(audit: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Rows per regime with the share of rows that carry no known regime (must be zero)."""
-    known = F.col("support_regime").isin("control", *ROUTES.values())
-    return audit.groupBy(*by, "support_regime").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count(F.when(~F.coalesce(known, F.lit(False)), F.lit(1))).alias("n_unknown")
-    )
+def route_counts(audit: DataFrame, by: Sequence[str] = (), rows: str | None = None) -> DataFrame:
+    """Rows per regime with the number of rows that carry no known regime (must be zero); ``rows`` names a count column of grouped input."""
+    known = F.coalesce(F.col("support_regime").isin("control", *ROUTES.values()), F.lit(False))
+    n = F.col(rows) if rows else F.lit(1).cast("bigint")
+    return audit.groupBy(*by, "support_regime").agg(F.sum(n).alias("n_rows"), F.sum(F.when(known, F.lit(0).cast("bigint")).otherwise(n)).alias("n_unknown"))
 
 
 # ------------------------------------------------------------------- validation

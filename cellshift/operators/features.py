@@ -219,6 +219,49 @@ def centre_distances(rows: DataFrame, key: str, vector: str, centres: DataFrame,
     return pairs.select(key, "centre", squared_distance("_v", "_c").alias("d2"))
 
 
+MOST_PIVOTS = 64
+
+
+def pivot_index(centres: DataFrame, key: str, vector: str) -> tuple[DataFrame, Column]:
+    """Centres under their nearest pivot (cluster, centre, _c, dc), and the pivots with cluster radii as one scalar.
+
+    Pivots are centres themselves, the first by key digest: the square root of their
+    number, ``MOST_PIVOTS`` at most, so the scalar is small whatever the centres are.
+    """
+    points = written(centres.select(F.col(key).alias("centre"), F.col(vector).alias("_c")), "centres")
+    count = max(1, min(MOST_PIVOTS, math.isqrt(points.count())))
+    chosen = written(points.orderBy(F.xxhash64("centre"), "centre").limit(count), "pivots")
+    bare = chosen.agg(F.sort_array(F.collect_list(F.struct(F.col("centre").alias("pivot"), F.col("_c").alias("at"))))).scalar()
+    near = F.array_min(F.transform("_pivots", lambda p: F.struct(F.sqrt(squared_distance(F.col("_c"), p["at"])).alias("dc"), p["pivot"].alias("cluster"))))
+    index = written(points.withColumn("_pivots", bare).withColumn("_n", near).select(F.col("_n.cluster").alias("cluster"), "centre", "_c", F.col("_n.dc").alias("dc")), "centre-index")
+    radii = index.groupBy("cluster").agg(F.max("dc").alias("radius"))
+    pivots = chosen.join(radii, chosen["centre"] == radii["cluster"]).agg(F.sort_array(F.collect_list(F.struct(F.col("cluster"), F.col("_c").alias("at"), "radius")))).scalar()
+    return index, pivots
+
+
+def centres_within(rows: DataFrame, key: str, vector: str, index: DataFrame, pivots: Column, reach: Column | None = None) -> DataFrame:
+    """(key, centre, d2) of the centres no farther than ``reach``, by default than the nearest pivot.
+
+    A cluster is opened where the triangle inequality allows a member within reach; a
+    member's vector is looked at where its own distance to the pivot allows it.  Every
+    centre within reach is found, so the nearest one is.
+    """
+    seen = F.transform("_pivots", lambda p: F.struct(p["cluster"].alias("cluster"), F.sqrt(squared_distance(F.col("_v"), p["at"])).alias("dp"), p["radius"].alias("radius")))
+    placed = rows.select(key, F.col(vector).alias("_v")).withColumn("_pivots", pivots).withColumn("_seen", seen).drop("_pivots")
+    placed = placed.withColumn("_reach", reach if reach is not None else F.array_min(F.transform("_seen", lambda s: s["dp"])))
+    slack = F.col("_reach") * (1 + 1e-9) + 1e-9
+    opened = placed.withColumn("_s", F.explode(F.filter("_seen", lambda s: s["dp"] - s["radius"] <= slack))).select(key, "_v", "_reach", "_s.cluster", "_s.dp")
+    met = opened.join(index, (opened["cluster"] == index["cluster"]) & (F.abs(F.col("dp") - F.col("dc")) <= slack))
+    return met.select(key, "centre", squared_distance("_v", "_c").alias("d2"), "_reach").filter(F.sqrt("d2") <= slack).drop("_reach")
+
+
+def truncated_kernel(rows: DataFrame, key: str, vector: str, index: DataFrame, pivots: Column, bandwidth: DataFrame, least: float) -> DataFrame:
+    """Kernel entries of at least ``least``; smaller ones are not made."""
+    width = F.greatest(bandwidth.select("bandwidth").scalar(), F.lit(1e-6))
+    found = centres_within(rows, key, vector, index, pivots, width * math.sqrt(-2 * math.log(least)))
+    return rbf_kernel(found, bandwidth).filter(F.col("value") >= least)
+
+
 def kernel_bandwidth(centres: DataFrame, key: str, vector: str) -> DataFrame:
     """Median non-zero distance between different centres (1 if there is none): one row."""
     table = centre_distances(centres, key, vector, centres, key, vector)

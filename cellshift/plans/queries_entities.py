@@ -168,18 +168,24 @@ FROM (SELECT *, c_key IN (SELECT key FROM v_support WHERE axis = 'chemical_suppo
 
 @query("g07_support_route", "SELECT sample_id, cs AS chemical_seen, ss AS strain_seen, support_route FROM v_routed")
 def g07(star: Star) -> DataFrame:
-    rows = written(resolved(star), "resolved")
-    flagged = entities.support_flags(rows, written(entities.fit_support(fit_part(star, rows)), "support"))
+    flagged = entities.support_flags(stored_resolved(star), stored_support(star))
     return flagged.select("sample_id", "chemical_seen", "strain_seen", "support_route")
 
 
+def stored_resolved(star: Star) -> DataFrame:
+    """Resolved metadata of every sample, derived once per application."""
+    return star.stored("resolved", lambda: resolved(star))
+
+
+def stored_support(star: Star) -> DataFrame:
+    """Keys seen in fitting, derived once per application."""
+    return star.stored("support", lambda: entities.fit_support(fit_part(star, stored_resolved(star))))
+
+
 def audited(star: Star) -> DataFrame:
-    """Route audit of every sample; the resolved metadata and the two support sets are stored once."""
-    rows = written(resolved(star), "resolved")
-    fit = fit_part(star, rows)
-    support = written(entities.fit_support(fit), "support")
-    pairs = written(entities.treatment_support(fit), "pairs")
-    return entities.route_audit(rows, support, pairs)
+    """Route audit of every sample, over the stored metadata and support sets."""
+    pairs = star.stored("pairs", lambda: entities.treatment_support(fit_part(star, stored_resolved(star))))
+    return entities.route_audit(stored_resolved(star), stored_support(star), pairs)
 
 
 @query(
@@ -208,7 +214,11 @@ view(
 
 @query("g09_route_counts", "SELECT split, support_regime, count(*) AS n_rows, CAST(0 AS BIGINT) AS n_unknown FROM v_regime GROUP BY 1, 2")
 def g09(star: Star) -> DataFrame:
-    return entities.route_counts(audited(star), ["split"])
+    # Regimes need the two entity keys only, so combinations are counted first and looked up once.
+    keys = ["split", "kind", "chemical_support_key", "strain_support_key"]
+    combined = stored_resolved(star).groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    flagged = entities.support_flags(combined, stored_support(star)).withColumn("support_regime", entities.support_regime())
+    return entities.route_counts(flagged, ["split"], "n")
 
 
 # ----------------------------------------------------------- registry building

@@ -349,8 +349,23 @@ def h16(star: Star) -> DataFrame:
 
 @query("h17_nearest_centre", "SELECT vec_id, centre, r6(d2) AS d2 FROM v_dist QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY d2, centre) = 1")
 def h17(star: Star) -> DataFrame:
-    distances = features.centre_distances(embedding_rows(star), "vec_id", "v", label_centres(star), "label", "c")
-    return features.nearest_centre(distances, "vec_id").select("vec_id", "centre", r6("d2").alias("d2"))
+    found = features.centres_within(embedding_rows(star), "vec_id", "v", *features.pivot_index(label_centres(star), "label", "c"))
+    return features.nearest_centre(found, "vec_id").select("vec_id", "centre", r6("d2").alias("d2"))
+
+
+LEAST_KERNEL = 0.00001
+
+
+@query(
+    "h16_truncated_kernel_features",
+    f"SELECT vec_id, centre, r6(1000000 * k) AS value_ppm FROM (SELECT vec_id, centre, exp(-d2 / (2 * pow((SELECT median(d) FROM v_cdist WHERE i < j AND d > 1e-8), 2))) AS k FROM v_dist) WHERE k >= {LEAST_KERNEL:.5f}",
+)
+def h16_truncated(star: Star) -> DataFrame:
+    """Kernel features that are large enough to matter; the others are never made."""
+    centres = written(label_centres(star), "centres")
+    index = features.pivot_index(centres, "label", "c")
+    out = features.truncated_kernel(embedding_rows(star), "vec_id", "v", *index, features.kernel_bandwidth(centres, "label", "c"), LEAST_KERNEL)
+    return out.select("vec_id", "centre", r6(F.col("value") * 1000000).alias("value_ppm"))
 
 
 @query(

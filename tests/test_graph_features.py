@@ -207,3 +207,21 @@ def test_stateful_processor_survives_a_failed_batch_and_a_restart(spark, tmp_pat
     for key in want:
         for name in metric_processor.FIELDS:
             assert math.isclose(got[key][name], want[key][name], rel_tol=1e-9, abs_tol=1e-9), (key, name)
+
+
+def test_pruned_centres_equal_the_full_product_and_look_at_few(spark):
+    rng = np.random.default_rng(5)
+    hubs = rng.normal(0, 10, (12, 3))
+    points = [(i, [float(x) for x in hubs[i % 12] + rng.normal(0, 0.5, 3)]) for i in range(400)]
+    rows = spark.createDataFrame(points[100:], "row int, v array<double>")
+    # A repeated centre makes ties.
+    centres = spark.createDataFrame([*points[:100], (500, points[3][1])], "c int, v array<double>")
+    full = features.centre_distances(rows, "row", "v", centres, "c", "v").cache()
+    index, pivots = features.pivot_index(centres, "c", "v")
+    near = features.centres_within(rows, "row", "v", index, pivots).cache()
+    assert sorted(map(tuple, features.nearest_centre(near, "row").collect())) == sorted(map(tuple, features.nearest_centre(full, "row").collect()))
+    assert near.count() < 0.2 * full.count()
+    width = spark.createDataFrame([(1.5,)], "bandwidth double")
+    want = features.rbf_kernel(full, width).filter("value >= 0.1").select("row", "centre").collect()
+    got = features.truncated_kernel(rows, "row", "v", index, pivots, width, 0.1).select("row", "centre").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and want
