@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, compression: str = "none") -> None:
@@ -14,9 +13,12 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", header: bool = True, com
 
 
 def write_predictions(predictions: DataFrame, path: str, partition_by: Sequence[str] = ("scenario", "fold")) -> None:
-    """Predictions as one dataset; rows of a fold are spread over several files, not one task."""
-    spread = predictions.repartition(*partition_by, F.pmod(F.xxhash64("sample_id"), F.lit(16)))
-    spread.write.mode("error").partitionBy(*partition_by).parquet(path)
+    """Predictions as one dataset; a fold has as many files as its size asks for.
+
+    Rows are gathered by fold, and adaptive execution splits large folds and merges small
+    ones to the advisory partition size.
+    """
+    predictions.hint("rebalance", *partition_by).write.mode("error").partitionBy(*partition_by).parquet(path)
 
 
 def write_metric_table(table: DataFrame, path: str) -> dict[str, str]:
