@@ -14,9 +14,6 @@ The corpus is its own reference, so three steps keep the shards small and comple
    dealt to shards by anchor.  All equal windows meet in one shard.  Anchors with very
    many different contexts are dealt by single windows instead.
 3. Equal contexts are one row with their smallest document before they are dealt.
-
-``automaton_of`` with ``matching_statistics`` also serves a fixed reference that fits
-a broadcast (``remove_reference``).
 """
 
 from __future__ import annotations
