@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellshift.session import written
+from cellshift.session import released, written
 
 OVERSAMPLE = 8
 TOLERANCE = 1e-6
@@ -116,7 +116,9 @@ def leading(apply: Callable[[DataFrame, int], DataFrame], keys: DataFrame, rank:
             real = abs(values[:kept]) > largest * 1e-12
             pad[:, :kept] = np.where(real, ritz[:, :kept], 0.0)
             full = lambda x: np.concatenate([np.where(real, x[:kept], 0.0), np.zeros(rank - kept)])
-            return written(pair.select("key", combined("v", pad).alias("v")), "spectral-vectors"), full(values), full(residuals)
+            found = written(pair.select("key", combined("v", pad).alias("v")), "spectral-vectors")
+            released(keys.sparkSession, "spectral-keys", "spectral-block", "spectral-pair")
+            return found, full(values), full(residuals)
         block = written(pair.select("key", combined("z", _inverse_root(zz)).alias("v")), "spectral-block")
     raise ValueError(f"No convergence in {rounds} rounds, residuals {residuals[:kept].tolist()}; the leading values lie too close together")
 

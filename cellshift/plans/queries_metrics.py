@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellshift.functions import sqlnames
 from cellshift.functions.moments import MOMENTS, moment_aggs, pearson_agg, pearson_from_moments, r2_agg
 from cellshift.functions.numbers import r6, ratio
-from cellshift.operators import checks, controls, metrics
+from cellshift.operators import checks, controls, metrics, quantiles
 from cellshift.plans.registry import query, view
 from cellshift.plans.sqltext import pcc, r2, response
 from cellshift.plans.study import Study
@@ -255,6 +255,24 @@ def d06(star: Star) -> DataFrame:
     return rounded(medians, ["split"])
 
 
+@query(
+    "d06_mergeable_sample_medians",
+    f"""
+SELECT split, count(p) AS n_scores, r6(median(p)) AS sample_pcc_median, TRUE AS running_median_agrees
+FROM (SELECT split, sample_id, {pcc('m1', 'y')} AS p FROM v_abs GROUP BY 1, 2) GROUP BY 1
+""",
+)
+def d06_mergeable(star: Star) -> DataFrame:
+    """Exact medians, and whether the one merged from four parts' states keeps its stated rank error."""
+    scores = metrics.axis_scores(Study(star).absolute, ["split"], "sample_id", "m1").select("split", "sample_id", "pcc")
+    scores = written(scores.filter(F.col("pcc").isNotNull()), "sample-scores")
+    parts = scores.groupBy("split", F.pmod(F.xxhash64("sample_id"), F.lit(4)).alias("part")).agg(quantiles.quantile_state("pcc").alias("state"))
+    running = quantiles.merged_state(parts, ["split"]).select("split", quantiles.state_quantile("state").alias("estimate"))
+    errors = quantiles.rank_errors(scores, ["split"], "pcc", running, "estimate")
+    exact = quantiles.exact_quantile(scores, ["split"], "pcc", 0.5, "median")
+    return errors.join(exact, "split").select("split", F.col("n").alias("n_scores"), r6("median").alias("sample_pcc_median"), (F.col("error") <= quantiles.RANK_ERROR).alias("running_median_agrees"))
+
+
 @query(
     "d07_protein_pcc_median",
     f"SELECT split, r6(median(p)) AS protein_pcc_median FROM (SELECT split, protein, {pcc('m1', 'y')} AS p FROM v_abs GROUP BY 1, 2) GROUP BY 1",

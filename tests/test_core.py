@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cellshift.functions.moments import moment_aggs, pearson_agg, pearson_from_moments, r2_agg
 from cellshift.functions.text import entity_key, plain_name, row_kind, slug, text_flag
-from cellshift.operators import checks, controls, folds, inference, metrics, predict, prepare, priors
+from cellshift.operators import checks, controls, folds, inference, metrics, predict, prepare, priors, quantiles
 from cellshift.operators.fingerprints import table_fingerprint
 from cellshift.operators.quantiles import exact_quantile
 from cellshift.operators.ranking import best_per_group, hash_rank, shifted_donor
@@ -235,3 +235,13 @@ def test_headers_cost_one_chunk_of_each_file(spark, tmp_path):
     assert found["a.csv"]["taken"] <= readers.HEADER_CHUNK < (tmp_path / "a.csv").stat().st_size
     groups = readers.header_groups(spark, str(tmp_path))
     assert [(names, len(files)) for names, files in groups] == [(["b, c", "a"], 1), (["a", "d"], 2)]
+
+
+def test_merged_quantile_states_keep_their_rank_error(spark):
+    rng = np.random.default_rng(8)
+    rows = spark.createDataFrame([(f"g{i % 2}", i % 7, float(v)) for i, v in enumerate(rng.lognormal(size=20_000))] + [("g0", 0, None)], "g string, part int, v double")
+    states = rows.groupBy("g", "part").agg(quantiles.quantile_state("v").alias("state"))
+    for q in (0.1, 0.5, 0.95):
+        running = quantiles.merged_state(states, ["g"]).select("g", quantiles.state_quantile("state", q).alias("e"))
+        found = quantiles.rank_errors(rows, ["g"], "v", running, "e", q).collect()
+        assert {r["g"]: r["n"] for r in found} == {"g0": 10_000, "g1": 10_000} and all(r["error"] <= quantiles.RANK_ERROR for r in found)
