@@ -24,11 +24,11 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellshift.llm.common import bounded_batches, text_of, words_of
+from cellshift.llm.common import bounded_batches, let, text_of, words_of
 from cellshift.llm.minhash import _lists, _mix
 from cellshift.session import written
 
@@ -233,9 +233,10 @@ def _marker(window: int, shared):
             doc = np.searchsorted(offsets, starts, side="right") - 1
             lengths = stops - starts
             picks = np.repeat(starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            words = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)), pa.array(values[picks].view(np.int64)))
+            codes = _sequence_hash(values[picks], np.concatenate([[0], np.cumsum(lengths)]))
             contexts = pa.StructArray.from_arrays(
-                [pa.array(signed[starts]), pa.array((starts - offsets[doc]).astype(np.int64)), words], ["anchor", "start", "words"]
+                [pa.array(signed[starts]), pa.array((starts - offsets[doc]).astype(np.int32)), pa.array(lengths.astype(np.int32)), pa.array(codes.view(np.int64))],
+                ["anchor", "start", "length", "code"],
             )
             per_doc = np.bincount(doc, minlength=batch.num_rows)
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per_doc)]).astype(np.int32)), contexts)
@@ -252,7 +253,7 @@ def _first_owners(window: int):
     """For each distinct context of a shard: the smallest document of each of its windows."""
 
     def solve(unit: pd.DataFrame) -> pd.DataFrame:
-        contexts = [list(words) for words in unit["words"]]
+        contexts = [words.split(" ") for words in unit["words"]]
         shard = automaton_of(zip(contexts, unit["doc_id"], strict=True))
         firsts = [
             [shard.owner_of_suffix(state, window) for state, length in shard.matching_statistics(codes) if length >= window] for codes in contexts
@@ -305,7 +306,7 @@ def marked(docs: DataFrame, key: str, text: str, window: int, broadcast_anchors:
     hashed = _hashed(docs, key, text)
     shared = written(shared_anchors(hashed, window), "shared-anchors")
     kind = docs.schema[key].dataType
-    context = T.ArrayType(T.StructType([T.StructField("anchor", T.LongType()), T.StructField("start", T.LongType()), T.StructField("words", T.ArrayType(T.LongType()))]))
+    context = T._parse_datatype_string("array<struct<anchor: bigint, start: int, length: int, code: bigint>>")
     schema = T.StructType(
         [
             T.StructField("row", hashed.schema["row"].dataType),
@@ -344,39 +345,55 @@ def _named_anchors(window: int, kind: T.DataType):
     return emit
 
 
+def _worded(table: DataFrame, plain: Column) -> DataFrame:
+    """Contexts with their words joined by a space, cut from the stored text; each text is split once."""
+    within = lambda words: F.transform(
+        "contexts", lambda c: F.struct(c["anchor"].alias("anchor"), c["start"].alias("start"), c["code"].alias("code"), F.array_join(F.slice(words, c["start"] + 1, c["length"]), " ").alias("words"))
+    )
+    some = table.filter(F.size("contexts") > 0)
+    return some.select("doc_id", "sequence", F.explode(let(words_of(plain), within)).alias("c")).select("doc_id", "sequence", "c.*")
+
+
+def _by_windows(contexts: DataFrame, window: int) -> DataFrame:
+    """Contexts of crowded anchors as single windows, routed by the window itself."""
+    within = lambda words: F.transform(
+        F.sequence(F.lit(0), F.size(words) - window), lambda i: F.struct((F.col("start") + i).alias("start"), F.array_join(F.slice(words, i + 1, F.lit(window)), " ").alias("words"))
+    )
+    pieces = contexts.select("doc_id", "sequence", F.explode(let(F.split("words", " "), within)).alias("p")).select("doc_id", "sequence", "p.*")
+    code = F.xxhash64("words")
+    return pieces.select("doc_id", "sequence", "start", code.alias("route"), code.alias("code"), "words")
+
+
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, broadcast_anchors: int = BROADCAST_ANCHORS) -> DataFrame:
     """Cut every word under a window that also starts in a document with a smaller key.
 
     Returns (row, n_words, n_removed, kept_text), ``row`` being the input row; kept words
     are joined by one space.  Windows are judged on the input.  Null texts have no words;
     texts shorter than a window lose nothing.  A null key is not smaller than any other
-    and loses nothing.  Rows that share a key do not cut each other.  Word equality is
-    decided on 64-bit word hashes, 13 of which must agree in order.
+    and loses nothing.  Rows that share a key do not cut each other.  Anchors and contexts
+    are named by 64-bit hashes; inside a shard the words themselves are compared.
     """
     bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     table = written(marked(docs, key, text, window, broadcast_anchors), "marked-texts", compression="zstd")
+    plain = text_of(f"row.{text}")
     contexts = table.select("doc_id", "sequence", F.explode("contexts").alias("c")).select("doc_id", "sequence", "c.*")
-    crowded = contexts.select("anchor", F.xxhash64("words").alias("code")).distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_CONTEXTS)
+    crowded = contexts.select("anchor", "code").distinct().groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SHARD_CONTEXTS)
     crowded = written(crowded.select("anchor", F.lit(True).alias("crowded")), "crowded-anchors")
-    single = F.transform(
-        F.sequence(F.lit(0), F.size("words") - window),
-        lambda i: F.struct((F.col("start") + i).alias("start"), F.slice("words", i + 1, F.lit(window)).alias("words")),
-    )
-    whole = F.array(F.struct("start", "words"))
-    dealt = contexts.join(crowded, "anchor", "left").withColumn("piece", F.explode(F.when(F.col("crowded"), single).otherwise(whole)))
-    dealt = dealt.select(
-        "doc_id", "sequence", F.col("piece.start").alias("start"), F.col("piece.words").alias("words"), F.xxhash64("piece.words").alias("code"), "anchor", "crowded"
-    )
-    dealt = dealt.withColumn("route", F.when(F.col("crowded"), F.col("code")).otherwise(F.col("anchor"))).drop("anchor", "crowded")
-    distinct = dealt.groupBy("route", "code", "words").agg(F.min("doc_id").alias("doc_id"))
+    worded = _worded(table, plain)
+    # Contexts travel once with their words, to be made distinct, and once as places only.
+    normal = worded.join(crowded, "anchor", "left_anti").select("doc_id", F.col("anchor").alias("route"), "code", "words")
+    single = _by_windows(worded.join(crowded, "anchor", "left_semi"), window)
+    distinct = normal.unionByName(single.select("doc_id", "route", "code", "words")).groupBy("route", "code", "words").agg(F.min("doc_id").alias("doc_id"))
+    dealt = contexts.join(crowded, "anchor", "left_anti").select("doc_id", "sequence", "start", F.col("anchor").alias("route"), "code")
+    dealt = dealt.unionByName(single.drop("words"))
     shards = (table.agg(F.sum(F.size("contexts"))).first()[0] or 0) // SHARD_CONTEXTS + 1
     firsts = (
         distinct.withColumn("shard", F.pmod("route", F.lit(shards)))
         .groupBy("shard")
         .applyInPandas(_first_owners(window), f"route bigint, code bigint, firsts array<{kind}>")
     )
-    hits = dealt.select("doc_id", "sequence", "start", "route", "code").join(firsts, ["route", "code"])
+    hits = dealt.join(firsts, ["route", "code"])
     starts = F.filter(F.transform("firsts", lambda first, i: F.when(first < F.col("doc_id"), F.col("start") + i)), lambda at: at.isNotNull())
     cuts = hits.withColumn("starts", starts).filter(F.size("starts") > 0).groupBy("doc_id", "sequence").agg(F.flatten(F.collect_list("starts")).alias("starts"))
     copies = table.filter(F.col("copied") & (F.col("n_words") >= window)).select("doc_id", "sequence", "n_words")
@@ -385,7 +402,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
     edits = written(cuts.join(again, ["doc_id", "sequence"], "full"), "edits")
     # Only texts that may change are moved; the others are passed on from where they lie.
     may_change = F.col("copied") | (F.size("contexts") > 0)
-    plain = F.coalesce(F.col(f"row.{text}").cast("string"), F.lit(""))
     changed = table.filter(may_change).select("row", plain.alias("text"), "n_words", "doc_id", "sequence").join(edits, ["doc_id", "sequence"], "left")
     changed = changed.select("row", "text", "n_words", "starts", F.coalesce("whole", F.lit(False)).alias("whole"))
     schema = T.StructType(
