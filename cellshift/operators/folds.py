@@ -217,10 +217,9 @@ def with_fit_mask(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
     return axis.withColumn("fit", F.lit(every_fold(scenario, folds)).cast("bigint").bitwiseAND(F.bitwise_not(excluded_mask(scenario, folds))))
 
 
-def candidate_rows(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
-    """Rows a fold could score: the held-out treatments (all held-out rows for plates)."""
+def held_fold(axis: DataFrame, scenario: str, folds: int) -> Column:
+    """Fold that could score a row: that of held-out treatments (of all held-out rows for plates), else null."""
     c, s = F.col("chemical_fold"), F.col("strain_fold")
-    treated = axis if scenario == "plate" else axis.filter(F.col("kind") == "treatment")
     fold = {
         "S1": c,
         "R10": c,
@@ -234,7 +233,12 @@ def candidate_rows(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
         "time_forward": F.col("forward_fold") if "forward_fold" in axis.columns else None,
         "plate": F.col("plate_fold") if "plate_fold" in axis.columns else None,
     }[scenario]
-    return treated.withColumn("fold", fold).filter(F.col("fold").isNotNull())
+    return fold if scenario == "plate" else F.when(F.col("kind") == "treatment", fold)
+
+
+def candidate_rows(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
+    """Rows a fold could score: the held-out treatments (all held-out rows for plates)."""
+    return axis.withColumn("fold", held_fold(axis, scenario, folds)).filter(F.col("fold").isNotNull())
 
 
 # Which keys must stay represented in the fit set for a candidate to be scored.
@@ -303,11 +307,11 @@ def membership(axis: DataFrame, scenario: str, folds: int) -> DataFrame:
     """
     rows = with_fit_mask(axis, scenario, folds)
     key_of = {"strain": "strain", "chemical": "chemical", "pair": "pair_key", "context": "context_key", "time_value": "pert_time"}
-    fold = candidate_rows(axis, scenario, folds).select("sample_id", "fold")
-    valid = F.coalesce(fold_bit(F.col("fold")), F.lit(0).cast("bigint"))
+    # The fold is a column of the row itself: no table of all samples is joined, or broadcast, to find it.
+    valid = F.coalesce(fold_bit(held_fold(axis, scenario, folds)), F.lit(0).cast("bigint"))
     if scenario == "time_forward":
         valid = F.when(F.col("pert_time") == F.col("max_time"), valid).otherwise(F.lit(0).cast("bigint"))
-    out = rows.join(fold, "sample_id", "left").withColumn("valid", valid).drop("fold")
+    out = rows.withColumn("valid", valid)
     for name in REQUIRED_SUPPORT[scenario]:
         kept = rows.groupBy(key_of[name]).agg(F.bit_or("fit").alias("_kept"))
         out = out.join(kept, key_of[name], "left").withColumn("valid", F.col("valid").bitwiseAND(F.coalesce("_kept", F.lit(0).cast("bigint")))).drop("_kept")
