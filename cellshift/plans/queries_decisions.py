@@ -526,7 +526,8 @@ def l03_stitched(star: Star) -> DataFrame:
 
     study = Study(star)
     winners = selection.nested_selection(written(family_grid(study), "family-grid"), SELECTORS, FOLDS)
-    chosen = winners.select("selector", F.col("outer_fold").alias("fold"), F.col("selected_candidate").alias("candidate"))
+    # Stored, so that the planner knows these few rows as the small side; by estimates the cells of all candidates looked smaller and were broadcast.
+    chosen = written(winners.select("selector", F.col("outer_fold").alias("fold"), F.col("selected_candidate").alias("candidate")), "winners")
     rows = fusion_cells(study).join(chosen, ["fold", "candidate"])
     return rows.groupBy("selector", "fold").agg(F.count(F.lit(1)).alias("n_cells"), r6(pearson_agg("pred_delta", "truth_delta")).alias("fc_pcc"))
 

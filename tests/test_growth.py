@@ -5,6 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cellshift.operators import folds
+from cellshift.plans import queries_decisions
+from cellshift.sources.star import Star
+from tests.conftest import SF
+
+
+def nodes(plan) -> list:
+    """Nodes of a plan of the JVM, each before its children."""
+    children = plan.children()
+    return [plan] + [node for i in range(children.size()) for node in nodes(children.apply(i))]
 
 
 def optimized(df) -> str:
@@ -25,3 +34,8 @@ def test_fold_membership_joins_no_table_of_samples(spark):
     assert len(got) == 40 and got[1] == (0b101, 0b010) and got[4] == (0b110, 0)
 
 
+def test_stitched_winners_broadcast_the_winners_not_the_cells(spark):
+    plan = queries_decisions.l03_stitched(Star(spark, SF))._jdf.queryExecution().optimizedPlan()
+    joins = [node for node in nodes(plan) if node.nodeName() == "Join"]
+    cells, winners = (joins[0].children().apply(i).stats().sizeInBytes() for i in (0, 1))
+    assert winners < cells
