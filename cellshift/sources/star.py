@@ -45,8 +45,8 @@ SCHEMAS = {
 # Prepared tables of this process: (application, folder, name) -> (table name, path).
 _PREPARED: dict[tuple[str, str, str], tuple[str, str]] = {}
 
-# Bytes of source data per bucket of a prepared table.
-BUCKET_BYTES = 256 * 1024 * 1024
+# Bytes of source data per bucket of a prepared table: what one task sorts or aggregates by sample at a time.
+BUCKET_BYTES = 8 * 1024 * 1024
 
 
 def split_rule(time: Column, chemical: Column, strain: Column, kind: Column) -> Column:
@@ -87,10 +87,14 @@ class Star:
         size = system.getContentSummary(path).getLength()
         return max(self.spark.sparkContext.defaultParallelism, min(math.ceil(size / BUCKET_BYTES), 100_000))
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """Rows shuffled to the buckets of the prepared tables; what follows by sample_id needs no other shuffle."""
+        return rows.repartition(self._buckets(), "sample_id")
+
     def _prepared(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """Derive a table once per application, bucketed and sorted by sample_id.
 
-        Samples and cells get the same bucketing, so their joins and the per-sample
+        ``build`` deals its rows out with :meth:`_dealt`, as early and narrow as it can.  Samples and cells get the same bucketing, so their joins and the per-sample
         aggregations need no shuffle, and column pruning reaches the files.  The
         table lives in the shared scratch folder and is rebuilt if that was cleared.
         """
@@ -101,9 +105,8 @@ class Star:
             if system.exists(path):
                 return self.spark.table(known[0])
         table, path = f"cellshift_{name}_{uuid.uuid4().hex}", scratch_path(self.spark, name)
-        buckets = self._buckets()
-        writer = build().repartition(buckets, "sample_id").write.mode("error").format("parquet")
-        writer.bucketBy(buckets, "sample_id").sortBy("sample_id").option("path", path).saveAsTable(table)
+        writer = build().write.mode("error").format("parquet")
+        writer.bucketBy(self._buckets(), "sample_id").sortBy("sample_id").option("path", path).saveAsTable(table)
         _PREPARED[key] = (table, path)
         return self.spark.table(table)
 
@@ -134,22 +137,18 @@ class Star:
 
     def _derive_samples(self) -> DataFrame:
         """One row per order with line items; the first part of the order names the chemical."""
-        first_part = self.table("lineitem").groupBy(F.col("l_orderkey").alias("sample_id")).agg(
-            F.min("l_partkey").alias("p_partkey")
-        )
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("sample_id"), F.col("l_partkey").alias("p_partkey"))
         place = (
             self.table("customer")
             .join(self.table("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-            .select("c_custkey", "c_mktsegment", "n_name", "r_name")
-        )
-        rows = (
-            self.table("orders")
-            .join(first_part, F.col("o_orderkey") == F.col("sample_id"))
-            .join(self.table("part").select("p_partkey", "p_brand"), "p_partkey")
-            .join(place, F.col("o_custkey") == F.col("c_custkey"))
+            .select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "n_name", "r_name")
         )
-        fields = rows.select(
+        first_part = lines.groupBy("sample_id").agg(F.min("p_partkey").alias("p_partkey"))
+        orders = self.table("orders").withColumnRenamed("o_orderkey", "sample_id")
+        rows = orders.join(first_part, "sample_id").join(self.table("part").select("p_partkey", "p_brand"), "p_partkey").join(place, "o_custkey")
+        # Dealt out before the wide text columns are made.
+        fields = self._dealt(rows.select("sample_id", "o_custkey", "r_name", "p_brand", "c_mktsegment", "o_orderstatus", "o_orderdate", "n_name", "o_orderpriority")).select(
             "sample_id",
             F.concat(F.lit("src"), (F.col("o_custkey") % 2).cast("string")).alias("data_source"),
             F.col("r_name").alias("strain"),
@@ -174,10 +173,9 @@ class Star:
 
     def _derive_cells(self) -> DataFrame:
         """Raw positive values: repeated (order, line number) pairs are averaged."""
-        return self.table("lineitem").groupBy(
-            F.col("l_orderkey").alias("sample_id"),
-            F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("protein"),
-        ).agg(F.avg("l_extendedprice").alias("value"))
+        lines = self.table("lineitem").select(F.col("l_orderkey").alias("sample_id"), "l_linenumber", "l_extendedprice")
+        means = self._dealt(lines).groupBy("sample_id", "l_linenumber").agg(F.avg("l_extendedprice").alias("value"))
+        return means.select("sample_id", F.concat(F.lit("L"), F.col("l_linenumber").cast("string")).alias("protein"), "value")
 
     @cached_property
     def log2(self) -> DataFrame:
