@@ -419,15 +419,13 @@ FROM (SELECT 'absolute' AS kind, m1 - c AS p, t, m1 AS m, y FROM v_oof UNION ALL
 """,
 )
 def d17(star: Star) -> DataFrame:
-    cells = Study(star).oof
-    absolute = cells.select("sample_id", "protein", F.lit("absolute").alias("kind"), F.col("m1").alias("value"))
-    delta = cells.select("sample_id", "protein", F.lit("delta").alias("kind"), (F.col("m1") - F.col("m0")).alias("value"))
-    preds = absolute.unionByName(delta)
-    joined = cells.select("sample_id", "protein", "y", "control", "truth_delta").join(preds, ["sample_id", "protein"])
-    is_absolute = F.col("kind") == "absolute"
-    views = joined.withColumn("pred_delta", F.when(is_absolute, F.col("value") - F.col("control")).otherwise(F.col("value"))).withColumn(
-        "m", F.when(is_absolute, F.col("value"))
+    # Both views come from the row of the cell itself; no prediction is shuffled back to it.
+    as_delta, no_value = F.col("m1") - F.col("control"), F.lit(None).cast("double")
+    options = F.array(
+        F.struct(F.lit("absolute").alias("kind"), as_delta.alias("pred_delta"), F.col("m1").alias("m")),
+        F.struct(F.lit("delta").alias("kind"), (F.col("m1") - F.col("m0")).alias("pred_delta"), no_value.alias("m")),
     )
+    views = Study(star).oof.select("y", "truth_delta", F.explode(options).alias("v")).select("y", "truth_delta", "v.*")
     return views.groupBy("kind").agg(
         F.count(F.lit(1)).alias("n_cells"), r6(pearson_agg("pred_delta", "truth_delta")).alias("fc_pcc"), r6(metrics.rmse()).alias("rmse")
     )
