@@ -397,19 +397,13 @@ def k12_expected(star: Star) -> DataFrame:
 
 @query(
     "n08_plate_association_table",
-    """
-SELECT target, target_levels, r6(nmi) AS nmi, r6(cramers_v) AS cramers_v, r6(purity_u_to_v) AS purity_u_to_v, r6(purity_v_to_u) AS purity_v_to_u,
- r6(observed) AS observed, r6(expected) AS null_mean, p_ge_observed < 0.05 AS significant
-FROM v_assoc JOIN v_null USING (target) JOIN v_expected USING (target)
-""",
+    f"SELECT target, target_levels, r6(nmi) AS nmi, r6(cramers_v) AS cramers_v, r6(purity_u_to_v) AS purity_u_to_v, r6(purity_v_to_u) AS purity_v_to_u, {_NULL} FROM v_assoc JOIN v_null USING (target)",
 )
 def n08(star: Star) -> DataFrame:
-    """Association of every target with the plate, beside the exact mean and the drawn test of its null."""
+    """Association of every target with the plate, beside its null from shuffled plate labels."""
     counts = written(plate_counts(star), "contingency")
     table = inference.associations(counts).withColumnRenamed("normalized_mutual_information", "nmi")
-    null = split_null(counts).select("target", "observed", (F.col("p_ge_observed") < 0.05).alias("significant"))
-    joined = table.join(null, "target").join(inference.expected_association(counts).withColumnRenamed("expected_nmi", "null_mean"), "target")
-    return rounded(joined, ["target"])
+    return rounded(table.join(permutation_null(star, counts), "target"), ["target"])
 
 
 @query("n08_plate_sizes", "SELECT plate, count(*) AS n_samples, count(DISTINCT data_source) AS n_sources FROM v_samples GROUP BY 1")
