@@ -244,22 +244,36 @@ def associations(counts: DataFrame, by: Sequence[str] = ("target",)) -> DataFram
     )
 
 
+# Digits of the digest that split a draw for ranking: 256 counts a draw, however many rows there are.
+DRAW_BUCKET_DIGITS = 2
+
+
 def permuted_contingency(rows: DataFrame, key: str, source: str, targets: Sequence[str], draws: int, seed: object) -> DataFrame:
     """Contingency counts after shuffling the source labels, per draw (two hash orders joined by rank).
 
     Costs draws x rows; :func:`split_contingency` draws the same null from the
-    margins alone and is the choice for large tables.
+    margins alone and is the choice for large tables.  A repeated row carries one
+    number for its target levels, and the table of bucket counts, which may be
+    broadcast, has at most 256 rows a draw.
     """
-    spread = rows.select(key, source, *targets).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")))
-    keyed = spread.withColumn("_k", F.concat_ws("|", F.col("draw").cast("string"), F.col(key).cast("string")))
-    take = hash_rank(keyed.select("draw", "_k", *targets), "_k", f"{seed}-to", by=["draw"], out="_place")
-    give = hash_rank(keyed.select("draw", "_k", source), "_k", f"{seed}-from", by=["draw"], out="_place").drop("_k")
-    mixed = take.join(give, ["draw", "_place"])
-    options = F.array(*[F.struct(F.lit(name).alias("target"), F.coalesce(F.col(name).cast("string"), F.lit("<NA>")).alias("v")) for name in targets])
+    levels = [F.coalesce(F.col(name).cast("string"), F.lit("<NA>")).alias(name) for name in targets]
+    named = rows.select(F.col(key).cast("string").alias("_key"), F.coalesce(F.col(source).cast("string"), F.lit("<NA>")).alias("_u"), *levels)
+    classes = written(named.groupBy(*targets).agg(F.count(F.lit(1)).alias("_n")).select(*targets, F.monotonically_increasing_id().alias("_class")), "target-classes")
+    sources = written(named.groupBy("_u").agg(F.count(F.lit(1)).alias("_n")).select("_u", F.monotonically_increasing_id().alias("_source")), "source-classes")
+    coded = written(named.join(classes, list(targets)).join(sources, "_u").select("_key", "_class", "_source"), "coded-rows")
+    spread = coded.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)).cast("array<bigint>")))
+    keyed = spread.withColumn("_k", F.concat_ws("|", F.col("draw").cast("string"), F.col("_key")))
+    take = hash_rank(keyed.select("draw", "_k", "_class"), "_k", f"{seed}-to", by=["draw"], out="_place", bucket_digits=DRAW_BUCKET_DIGITS).drop("_k")
+    give = hash_rank(keyed.select("draw", "_k", "_source"), "_k", f"{seed}-from", by=["draw"], out="_place", bucket_digits=DRAW_BUCKET_DIGITS).drop("_k")
+    # By estimates, which do not count the draws, either side looks small enough to broadcast.
+    mixed = take.hint("merge").join(give, ["draw", "_place"]).groupBy("draw", "_source", "_class").agg(F.count(F.lit(1)).alias("_n"))
+    options = F.array(*[F.struct(F.lit(name).alias("target"), F.col(name).alias("v")) for name in targets])
     return (
-        mixed.select("draw", F.coalesce(F.col(source).cast("string"), F.lit("<NA>")).alias("u"), F.explode(options).alias("t"))
+        mixed.join(classes, "_class")
+        .join(sources, "_source")
+        .select("draw", F.col("_u").alias("u"), F.explode(options).alias("t"), "_n")
         .groupBy("draw", F.col("t.target").alias("target"), "u", F.col("t.v").alias("v"))
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_n").alias("n"))
     )
 
 

@@ -27,9 +27,9 @@ def hash_rank(
     ``largest_first`` the rank goes by that column descending before the digest.
     """
     lead = [largest_first] if largest_first else []
-    tagged = df.withColumn("_digest", text_hash(F.lit(str(seed)), F.col(key))).withColumn(
-        "_bucket", F.substring("_digest", 1, bucket_digits)
-    )
+    digest = text_hash(F.lit(str(seed)), F.col(key))
+    # Sixteen bytes sort as their 32 digits do.
+    tagged = df.withColumn("_bucket", F.substring(digest, 1, bucket_digits)).withColumn("_digest", F.unhex(digest))
     slot = [*by, *lead, "_bucket"]
     running = (
         Window.partitionBy(*by)
@@ -43,8 +43,9 @@ def hash_rank(
         .drop("_size")
     )
     inside = Window.partitionBy(*slot).orderBy("_digest", key)
+    # Merged, since estimates may take either side for small; the window needs the same shuffle of the rows anyway.
     return (
-        tagged.join(offsets, slot)
+        tagged.hint("merge").join(offsets, slot)
         .withColumn(out, F.row_number().over(inside) + F.col("_before"))
         .drop("_digest", "_bucket", "_before")
     )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import functions as F
 
-from cellshift.operators import folds
+import __spark_entry__ as entry
+from cellshift.operators import folds, inference
 from cellshift.plans import queries_decisions
-from cellshift.sources.star import Star
+from cellshift.sources.star import BUCKET_BYTES, Star
 from tests.conftest import SF
 
 
@@ -39,3 +42,46 @@ def test_stitched_winners_broadcast_the_winners_not_the_cells(spark):
     joins = [node for node in nodes(plan) if node.nodeName() == "Join"]
     cells, winners = (joins[0].children().apply(i).stats().sizeInBytes() for i in (0, 1))
     assert winners < cells
+
+
+def test_rank_null_counts_do_not_grow_with_the_rows(spark):
+    """The table of bucket counts, which the planner may broadcast: 256 rows a draw at most, not 4096."""
+    rows = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit("p"), F.col("id") % 4).alias("plate"), F.concat(F.lit("x"), F.col("id") % 3).alias("a"), F.lit("one").alias("b"))
+    drawn = inference.permuted_contingency(rows, "k", "plate", ["a", "b"], 2, 7)
+    plan = drawn._jdf.queryExecution().optimizedPlan()
+    digits = [line for line in plan.toString().splitlines() if "substring(md5" in line]
+    assert digits and all(", 1, 2) AS _bucket" in line for line in digits)
+    executed = drawn._jdf.queryExecution().executedPlan().toString()
+    assert any("SortMergeJoin" in line and "_place" in line for line in executed.splitlines())
+    got = {(r["draw"], r["target"], r["u"], r["v"]): r["n"] for r in drawn.collect()}
+    want: dict = {}
+    for draw in range(2):
+        order = {side: sorted(range(3000), key=lambda i: hashlib.md5(f"7-{side}|{draw}|{i}".encode()).hexdigest()) for side in ("to", "from")}
+        for to, give in zip(order["to"], order["from"], strict=True):
+            for target, v in (("a", f"x{to % 3}"), ("b", "one")):
+                want[draw, target, f"p{give % 4}", v] = want.get((draw, target, f"p{give % 4}", v), 0) + 1
+    assert got == want
+
+
+def test_association_table_has_the_whole_null(spark):
+    assert {"observed", "null_mean", "null_p95", "p_ge_observed"} <= set(entry.queries()["n08_plate_association_table"](spark, SF).columns)
+
+
+def test_cells_are_shuffled_once_into_small_buckets(spark):
+    star = Star(spark, SF)
+    plan = star._derive_cells().repartition(star._buckets(), "sample_id")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert BUCKET_BYTES <= 16 * 1024 * 1024
+
+
+def test_views_of_a_cell_need_no_join(spark):
+    assert "Join" not in optimized(entry.queries()["d17_delta_and_absolute_views"](spark, SF))
+
+
+def test_id_sets_are_read_off_one_aggregate(spark):
+    assert "Join" not in optimized(entry.queries()["p04_id_set_algebra"](spark, SF))
+
+
+def test_winner_keeps_no_samples_per_group(spark):
+    plan = optimized(entry.queries()["e07_guarded_winner"](spark, SF))
+    assert not any("Aggregate [" in line and "sample_id" in line for line in plan.splitlines())
