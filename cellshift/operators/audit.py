@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cellshift.functions.numbers import non_finite, ratio
 from cellshift.functions.text import composite_key, text_flag
 from cellshift.operators import controls
+from cellshift.operators.prepare import with_samples
 
 
 def split_summary(samples: DataFrame, cells: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def split_summary(samples: DataFrame, cells: DataFrame) -> DataFrame:
         F.size(F.collect_set("chemical")).cast("bigint").alias("n_chemicals"),
         F.array_join(F.transform(F.sort_array(F.collect_set("pert_time")), lambda t: t.cast("string")), "|").alias("times"),
     )
-    observed = cells.join(samples.select("sample_id", "split"), "sample_id").groupBy("split").agg(F.count(F.lit(1)).alias("_cells"))
+    observed = with_samples(cells, samples.select("sample_id", "split")).groupBy("split").agg(F.count(F.lit(1)).alias("_cells"))
     n_proteins = cells.agg(F.countDistinct("protein")).scalar()
     return (
         kinds.join(observed, "split", "left")
@@ -57,7 +58,7 @@ def control_coverage(samples: DataFrame, y: DataFrame, pools: dict[str, DataFram
             F.count(F.lit(1)).alias("n_treatments"), F.count(F.when(F.col("has_exact_match"), F.lit(1))).alias("n_matched")
         )
         means = controls.control_means(samples, y, pool).select("match_key", "protein")
-        cells = y.join(treated, "sample_id").join(means, ["match_key", "protein"], "left_semi").groupBy("split").agg(
+        cells = with_samples(y, treated).join(means, ["match_key", "protein"], "left_semi").groupBy("split").agg(
             F.count(F.lit(1)).alias("n_delta_cells")
         )
         parts.append(rows.join(cells, "split", "left").withColumn("n_delta_cells", F.coalesce("n_delta_cells", F.lit(0))).withColumn("pool", F.lit(label)))

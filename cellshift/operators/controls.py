@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellshift.functions.numbers import ratio
+from cellshift.operators.prepare import with_samples
 
 
 def control_means(samples: DataFrame, y: DataFrame, pool: DataFrame | None = None) -> DataFrame:
     """Per (match_key, protein) mean of the control rows of a pool."""
     controls = samples.filter(F.col("kind") == "control")
     if pool is not None:
-        controls = controls.join(pool.select("sample_id"), "sample_id", "left_semi")
+        controls = with_samples(controls, pool.select("sample_id"), "left_semi")
     return (
-        y.join(controls.select("sample_id", "match_key"), "sample_id")
+        with_samples(y, controls.select("sample_id", "match_key"))
         .groupBy("match_key", "protein")
         .agg(F.avg("y").alias("control"), F.count(F.lit(1)).alias("n_control_values"))
     )
@@ -26,7 +27,7 @@ def matched_keys(samples: DataFrame, pool: DataFrame | None = None) -> DataFrame
     """Match keys for which the pool has at least one control row."""
     controls = samples.filter(F.col("kind") == "control")
     if pool is not None:
-        controls = controls.join(pool.select("sample_id"), "sample_id", "left_semi")
+        controls = with_samples(controls, pool.select("sample_id"), "left_semi")
     return controls.select("match_key").distinct()
 
 
@@ -48,7 +49,7 @@ def truth_deltas(targets: DataFrame, y: DataFrame, means: DataFrame) -> DataFram
     """Observed treatment value minus its matched control, cell by cell."""
     treatments = targets.filter(F.col("kind") == "treatment")
     return (
-        y.join(treatments, "sample_id")
+        with_samples(y, treatments)
         .join(means.select("match_key", "protein", "control"), ["match_key", "protein"])
         .withColumn("truth_delta", F.col("y") - F.col("control"))
     )
@@ -88,7 +89,7 @@ def leave_fold_out_mean(
 
 def control_observed_truth(y: DataFrame, targets: DataFrame, means: DataFrame) -> DataFrame:
     """Truth restricted to cells whose matched control is observed; empty rows vanish."""
-    return y.join(targets.select("sample_id", "match_key"), "sample_id").join(
+    return with_samples(y, targets.select("sample_id", "match_key")).join(
         means.select("match_key", "protein"), ["match_key", "protein"], "left_semi"
     ).select("sample_id", "protein", "y")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cellshift.functions.text import key_part, slug
 from cellshift.operators import spectral
+from cellshift.operators.prepare import with_samples
 from cellshift.operators.quantiles import exact_quantile
 from cellshift.operators.ranking import best_per_group, hash_rank, shifted_donor
 from cellshift.session import written
@@ -117,7 +118,7 @@ def target_scale(y: DataFrame, fit_ids: DataFrame, proteins: DataFrame, floor: f
     a spread under the floor.
     """
     stats = (
-        y.join(fit_ids.select("sample_id"), "sample_id", "left_semi")
+        with_samples(y, fit_ids.select("sample_id"), "left_semi")
         .groupBy("protein")
         .agg(F.avg(value).alias("_mean"), F.stddev_pop(value).alias("_std"), F.count(value).alias("_n"))
     )

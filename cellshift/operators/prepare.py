@@ -16,11 +16,20 @@ def long_cells(wide: DataFrame, key: str = "sample_id") -> DataFrame:
     return stacked.withColumn("value", missing_nan("value")).filter(F.col("value").isNotNull())
 
 
+def with_samples(cells: DataFrame, samples: DataFrame, how: str = "inner") -> DataFrame:
+    """Cells joined with the rows of their samples, by merging.
+
+    Samples are as many as the input has, but their columns of few values make small files, so
+    by file size the planner would broadcast them to every task.  Prepared tables lie in the
+    same buckets; merging them moves no row.
+    """
+    return cells.join(samples.hint("merge"), "sample_id", how)
+
+
 def missing_rates(cells: DataFrame, fit_ids: DataFrame, proteins: DataFrame | None = None) -> DataFrame:
     """Share of fit samples without a value, per protein (proteins never seen get rate 1)."""
     observed = (
-        cells.filter(F.col("value").isNotNull())
-        .join(fit_ids.select("sample_id"), "sample_id", "left_semi")
+        with_samples(cells.filter(F.col("value").isNotNull()), fit_ids.select("sample_id"), "left_semi")
         .groupBy("protein")
         .agg(F.count(F.lit(1)).alias("n_observed"))
     )

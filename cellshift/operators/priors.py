@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellshift.functions.numbers import ratio
+from cellshift.operators.prepare import with_samples
 
 
 def protein_means(y: DataFrame, fit_ids: DataFrame, value: str = "y", out: str = "protein_mean") -> DataFrame:
     """Mean of the fit rows per protein."""
     return (
-        y.join(fit_ids.select("sample_id"), "sample_id", "left_semi")
+        with_samples(y, fit_ids.select("sample_id"), "left_semi")
         .groupBy("protein")
         .agg(F.avg(value).alias(out), F.count(value).alias("n_fit_values"))
     )

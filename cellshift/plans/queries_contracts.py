@@ -411,7 +411,7 @@ FROM v_abs GROUP BY 1
 )
 def b12(star: Star) -> DataFrame:
     study = Study(star)
-    truth = star.log2.join(star.samples.select("sample_id", "split"), "sample_id")
+    truth = prepare.with_samples(star.log2, star.samples.select("sample_id", "split"))
     preds = study.absolute.select("sample_id", "protein", F.col("m0").alias("m"))
     return truth.join(preds, ["sample_id", "protein"], "left").groupBy("split").agg(
         F.count(F.lit(1)).alias("n_cells"), F.count("m").alias("n_predicted"), r6(F.avg("y")).alias("mean_truth"), r6(F.avg("m")).alias("mean_prediction")
@@ -552,6 +552,6 @@ GROUP BY 1
 def c07(star: Star) -> DataFrame:
     study = Study(star)
     truth = controls.control_observed_truth(star.log2, star.samples, study.all_controls)
-    return truth.join(star.samples.select("sample_id", "split"), "sample_id").groupBy("split").agg(
+    return prepare.with_samples(truth, star.samples.select("sample_id", "split")).groupBy("split").agg(
         F.count(F.lit(1)).alias("n_cells"), F.countDistinct("sample_id").alias("n_samples"), r6(F.avg("y")).alias("mean_truth")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellshift.functions.numbers import r6
-from cellshift.operators import entities, features, priors
+from cellshift.operators import entities, features, prepare, priors
 from cellshift.operators.grids import dense_grid
 from cellshift.plans.registry import query, view
 from cellshift.plans.study import Study
@@ -126,7 +126,7 @@ LEFT JOIN v_pm ON v_pm.protein = p.protein LEFT JOIN v_sm m ON m.strain = s.stra
 def h08(star: Star) -> DataFrame:
     study = Study(star)
     rows = star.samples.filter(F.col("split") != "train").select("sample_id", "strain")
-    fit = star.log2.join(star.train.select("sample_id", "strain"), "sample_id")
+    fit = prepare.with_samples(star.log2, star.train.select("sample_id", "strain"))
     prior = fit.groupBy("strain", "protein").agg(F.avg("y").alias("group_prior"))
     grid = dense_grid(rows, star.log2.select("protein"))
     out = priors.prior_with_fallback(grid, prior, ["strain"], study.protein_means, "group_prior", "protein_mean", "prior")
@@ -377,7 +377,7 @@ FROM v_y y JOIN v_samples s USING (sample_id) LEFT JOIN f ON f.strain = s.strain
 """,
 )
 def h18(star: Star) -> DataFrame:
-    cells = star.log2.join(star.samples.select("sample_id", "strain", "split"), "sample_id")
+    cells = prepare.with_samples(star.log2, star.samples.select("sample_id", "strain", "split"))
     out = features.group_residual(cells, cells.filter(F.col("split") == "train"), "strain")
     return out.select("sample_id", "protein", r6("residual").alias("residual"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cellshift.functions import sqlnames
 from cellshift.functions.moments import MOMENTS, moment_aggs, pearson_agg, pearson_from_moments, r2_agg
 from cellshift.functions.numbers import r6, ratio
-from cellshift.operators import checks, controls, metrics, quantiles
+from cellshift.operators import checks, controls, metrics, prepare, quantiles
 from cellshift.plans.registry import query, view
 from cellshift.plans.sqltext import pcc, r2, response
 from cellshift.plans.study import Study
@@ -374,7 +374,7 @@ FROM (SELECT DISTINCT plate FROM v_samples) g LEFT JOIN
 """,
 )
 def d14(star: Star) -> DataFrame:
-    scored = Study(star).scored_model("m2").filter(F.col("split") == "val_both").join(star.samples.select("sample_id", "plate"), "sample_id")
+    scored = prepare.with_samples(Study(star).scored_model("m2").filter(F.col("split") == "val_both"), star.samples.select("sample_id", "plate"))
     report = metrics.response_report(scored, ["plate"], groups=star.samples.select("plate"))
     return rounded(report, ["plate"])
 
@@ -600,8 +600,8 @@ def d24(star: Star) -> DataFrame:
     study = Study(star)
     held = star.samples.filter(F.col("split") != "train")
     held_ids = held.select("sample_id")
-    truth = star.cells.join(held_ids, "sample_id", "left_semi")
-    preds = study.absolute.join(held_ids, "sample_id", "left_semi").select("sample_id", "protein", F.col("m2").alias("value"))
+    truth = prepare.with_samples(star.cells, held_ids, "left_semi")
+    preds = prepare.with_samples(study.absolute, held_ids, "left_semi").select("sample_id", "protein", F.col("m2").alias("value"))
     overall, by_split = score_study(
         held, truth, preds, study.context_reference, study.drug_reference, truth_scale="auto",
         control_samples=star.samples, control_cells=star.log2,
@@ -623,7 +623,7 @@ def d24_incomplete(star: Star) -> DataFrame:
     held = star.samples.filter(F.col("split") != "train")
     value = F.when(F.col("protein") == "L6", F.lit(None)).when(F.col("protein") == "L5", F.lit(float("inf"))).otherwise(F.lit(1.0))
     preds = star.cells.filter(F.col("protein") != "L7").select("sample_id", "protein", value.cast("double").alias("value"))
-    gaps = incomplete_predictions(held, star.cells, preds).join(held.select("sample_id", "split"), "sample_id")
+    gaps = prepare.with_samples(incomplete_predictions(held, star.cells, preds), held.select("sample_id", "split"))
     return gaps.groupBy("split", "protein", "reason").agg(F.count(F.lit(1)).alias("n_cells"))
 
 

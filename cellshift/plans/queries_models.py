@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellshift.functions.numbers import r6
-from cellshift.operators import controls, metrics, predict
+from cellshift.operators import controls, metrics, predict, prepare
 from cellshift.operators.grids import dense_grid, literal_rows
 from cellshift.plans.queries_entities import audited
 from cellshift.plans.queries_metrics import rounded
@@ -37,7 +37,7 @@ def i02(star: Star) -> DataFrame:
     from cellshift.functions.moments import pearson_agg
 
     preds = controls.exact_control(star.samples, star.log2, star.treatments)
-    cells = star.log2.join(preds, ["sample_id", "protein"]).join(star.samples.select("sample_id", "split"), "sample_id")
+    cells = prepare.with_samples(star.log2.join(preds, ["sample_id", "protein"]), star.samples.select("sample_id", "split"))
     return cells.groupBy("split").agg(
         F.count(F.lit(1)).alias("n_cells"), r6(metrics.rmse("control", "y")).alias("rmse"), r6(pearson_agg("control", "y")).alias("pcc")
     )
@@ -46,7 +46,7 @@ def i02(star: Star) -> DataFrame:
 def member_predictions(star: Star) -> DataFrame:
     """Three ensemble members as long predictions."""
     study = Study(star)
-    rows = star.log2.join(star.samples.select("sample_id", "split", "strain", "chemical"), "sample_id")
+    rows = prepare.with_samples(star.log2, star.samples.select("sample_id", "split", "strain", "chemical"))
     wide = study.predicted(rows, MEMBERS)
     return wide.unpivot(["sample_id", "split", "protein"], ["m1", "m_a", "m_b"], "member", "value")
 
@@ -215,7 +215,7 @@ def i11(star: Star) -> DataFrame:
 def routed_cells(star: Star) -> DataFrame:
     study = Study(star)
     regimes = audited(star).select("sample_id", "support_regime")
-    cells = study.absolute.join(regimes, "sample_id")
+    cells = prepare.with_samples(study.absolute, regimes)
     return predict.route_rows(cells, ROUTES, "support_regime", "m0")
 
 

@@ -33,7 +33,7 @@ def prepared_samples(samples: DataFrame, match_fields=MATCH_FIELDS) -> DataFrame
 
 def incomplete_predictions(samples: DataFrame, truth: DataFrame, predictions: DataFrame) -> DataFrame:
     """Observed truth cells without a finite prediction: (sample_id, protein, reason)."""
-    wanted = truth.filter(missing_nan("value").isNotNull()).join(samples.select("sample_id"), "sample_id", "left_semi").select("sample_id", "protein")
+    wanted = prepare.with_samples(truth.filter(missing_nan("value").isNotNull()), samples.select("sample_id"), "left_semi").select("sample_id", "protein")
     given = predictions.select("sample_id", "protein", F.col("value").alias("_p"), F.lit(True).alias("_given"))
     reason = (
         F.when(F.col("_given").isNull(), "absent").when(F.col("_p").isNull() | F.isnan("_p"), "missing").when(non_finite("_p"), "non_finite")
@@ -67,7 +67,7 @@ def score_study(
     refused = F.raise_error(F.concat(F.lit("No finite prediction for "), F.col("sample_id").cast("string"), F.lit("/"), F.col("protein"))).cast("double")
     checked = F.when(F.col("m").isNull() | non_finite("m"), refused).otherwise(F.col("m"))
     paired = y.filter(F.col("y").isNotNull()).join(p, ["sample_id", "protein"], "left").withColumn("m", checked)
-    absolute = written(paired.join(ids, "sample_id"), "absolute")
+    absolute = written(prepare.with_samples(paired, ids), "absolute")
     pool_samples = samples if control_samples is None else control_samples
     pool_cells = y if control_cells is None else control_cells
     means = controls.control_means(pool_samples, pool_cells)

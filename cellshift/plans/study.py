@@ -35,7 +35,7 @@ class Study:
 
     def _fit_totals(self, key: str, prefix: str) -> DataFrame:
         """Sums and counts of train cells per (key, protein)."""
-        fit = lambda: self.star.log2.join(self.star.train.select("sample_id", key), "sample_id")
+        fit = lambda: prepare.with_samples(self.star.log2, self.star.train.select("sample_id", key))
         return self.star.stored(f"totals-{key}", lambda: priors.group_totals(fit(), [key], "y", prefix))
 
     @cached_property
@@ -81,9 +81,7 @@ class Study:
     @cached_property
     def absolute(self) -> DataFrame:
         """Observed cells of every sample with the three predictions."""
-        rows = self.star.log2.join(
-            self.star.samples.select("sample_id", "split", "kind", "strain", "chemical", "match_key"), "sample_id"
-        )
+        rows = prepare.with_samples(self.star.log2, self.star.samples.select("sample_id", "split", "kind", "strain", "chemical", "match_key"))
         return self.predicted(rows)
 
     @cached_property
@@ -119,7 +117,7 @@ class Study:
         train = self.star.train.select("sample_id", "strain", "chemical", "match_key", "kind").join(
             self.chemical_folds, "chemical", "left"
         )
-        fit = self.star.log2.join(train.select("sample_id", "strain", "fold"), "sample_id")
+        fit = prepare.with_samples(self.star.log2, train.select("sample_id", "strain", "fold"))
         protein = self.star.stored("oof-protein", lambda: controls.leave_fold_out_mean(fit, [], "y", out="m0"))
         strain = self.star.stored("oof-strain", lambda: controls.leave_fold_out_mean(fit, ["strain"], "y", out="_sm", count_out="_sn"))
         deltas = self.train_deltas.join(self.chemical_folds, "chemical")

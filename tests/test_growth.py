@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from cellshift.operators import folds, inference
-from cellshift.plans import queries_decisions
+from cellshift.plans import queries_decisions, queries_models
+from cellshift.plans.study import Study
 from cellshift.sources.star import BUCKET_BYTES, Star
 from tests.conftest import SF
 
@@ -85,3 +86,20 @@ def test_id_sets_are_read_off_one_aggregate(spark):
 def test_winner_keeps_no_samples_per_group(spark):
     plan = optimized(entry.queries()["e07_guarded_winner"](spark, SF))
     assert not any("Aggregate [" in line and "sample_id" in line for line in plan.splitlines())
+
+
+def physical(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def joins_by_sample(df) -> list[str]:
+    return [line for line in physical(df).splitlines() if "Join" in line and "sample_id" in line]
+
+
+def test_cells_meet_their_samples_without_a_broadcast(spark):
+    star = Star(spark, SF)
+    study = Study(star)
+    for rows in (study.absolute, study.scored, study.train_deltas, queries_models.member_predictions(star), queries_decisions.seeded_cells(star)):
+        joins = joins_by_sample(rows)
+        assert joins and all("SortMergeJoin" in line for line in joins)
+        assert "Exchange hashpartitioning(sample_id" not in physical(rows)
