@@ -48,7 +48,9 @@ def member_predictions(star: Star) -> DataFrame:
     study = Study(star)
     rows = prepare.with_samples(star.log2, star.samples.select("sample_id", "split", "strain", "chemical"))
     wide = study.predicted(rows, MEMBERS)
-    return wide.unpivot(["sample_id", "split", "protein"], ["m1", "m_a", "m_b"], "member", "value")
+    # Exploded, since an unpivot would forget the buckets and the averages per cell would shuffle all members.
+    members = F.array(*[F.struct(F.lit(name).alias("member"), F.col(name).alias("value")) for name in ("m1", *MEMBERS)])
+    return wide.select("sample_id", "split", "protein", F.explode(members).alias("_m")).select("sample_id", "split", "protein", "_m.*")
 
 
 @query(

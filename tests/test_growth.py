@@ -103,3 +103,7 @@ def test_cells_meet_their_samples_without_a_broadcast(spark):
         joins = joins_by_sample(rows)
         assert joins and all("SortMergeJoin" in line for line in joins)
         assert "Exchange hashpartitioning(sample_id" not in physical(rows)
+
+
+def test_seed_average_stays_in_the_buckets(spark):
+    assert "Exchange hashpartitioning(sample_id" not in physical(entry.queries()["i03_seed_average"](spark, SF))
