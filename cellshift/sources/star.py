@@ -256,9 +256,15 @@ class Star:
 
     @cached_property
     def links(self) -> DataFrame:
-        """Scored name pairs: parts and their suppliers, score from how often they meet."""
+        """Scored name pairs: parts and their suppliers, score from how often they meet.
+
+        Few pairs repeat, so counting before the shuffle would only hold the pairs of a whole
+        input split in memory; they are dealt into buckets first.
+        """
         return (
             self.table("lineitem")
+            .select("l_partkey", "l_suppkey")
+            .repartition(self._buckets(), "l_partkey", "l_suppkey")
             .groupBy("l_partkey", "l_suppkey")
             .agg(F.least(F.lit(1000), F.count(F.lit(1)) * 250).cast("bigint").alias("combined_score"))
             .select(

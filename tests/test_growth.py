@@ -107,3 +107,11 @@ def test_cells_meet_their_samples_without_a_broadcast(spark):
 
 def test_seed_average_stays_in_the_buckets(spark):
     assert "Exchange hashpartitioning(sample_id" not in physical(entry.queries()["i03_seed_average"](spark, SF))
+
+
+def test_pairs_are_counted_in_small_buckets(spark):
+    """One shuffle of bare keys into buckets, and no count of a whole input split before it."""
+    star = Star(spark, SF)
+    plan = physical(star.links)
+    assert plan.count("Exchange") == 1 and f", {star._buckets()}), REPARTITION_BY_NUM" in plan
+    assert plan.index("HashAggregate") < plan.rindex("HashAggregate") < plan.index("Exchange")
