@@ -31,7 +31,12 @@ view(
 
 
 def resolved(star: Star) -> DataFrame:
-    return entities.with_support_keys(star.samples, star.chemical_registry, star.strain_registry)
+    # The combinations of names are resolved and stored; known as small, they come to the samples, which stay in their buckets.
+    named = star.stored("entity-names", lambda: star.samples.select("chemical", "strain").distinct())
+    table = star.stored("resolved-names", lambda: entities.with_support_keys(named, star.chemical_registry, star.strain_registry))
+    table = table.withColumnsRenamed({"chemical": "_chemical", "strain": "_strain"})
+    same = F.col("chemical").eqNullSafe(F.col("_chemical")) & F.col("strain").eqNullSafe(F.col("_strain"))
+    return star.samples.join(table, same, "left").drop("_chemical", "_strain")
 
 
 def fit_part(star: Star, rows: DataFrame) -> DataFrame:
@@ -183,9 +188,9 @@ def stored_support(star: Star) -> DataFrame:
 
 
 def audited(star: Star) -> DataFrame:
-    """Route audit of every sample, over the stored metadata and support sets."""
+    """Route audit of every sample, in the buckets of the samples, over the stored support sets."""
     pairs = star.stored("pairs", lambda: entities.treatment_support(fit_part(star, stored_resolved(star))))
-    return entities.route_audit(stored_resolved(star), stored_support(star), pairs)
+    return entities.route_audit(resolved(star), stored_support(star), pairs)
 
 
 @query(

@@ -115,3 +115,17 @@ def test_pairs_are_counted_in_small_buckets(spark):
     plan = physical(star.links)
     assert plan.count("Exchange") == 1 and f", {star._buckets()}), REPARTITION_BY_NUM" in plan
     assert plan.index("HashAggregate") < plan.rindex("HashAggregate") < plan.index("Exchange")
+
+
+def test_regimes_meet_the_cells_in_their_buckets(spark):
+    routed = queries_models.routed_cells(Star(spark, SF))
+    # The names are looked up in a small table; only ids with their regime are shuffled.
+    assert physical(routed).count("Exchange hashpartitioning") == 1
+    joins = joins_by_sample(routed)
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
+def test_samples_are_derived_without_a_broadcast_of_parts_or_customers(spark):
+    plan = physical(Star(spark, SF)._derive_samples())
+    joins = [line for line in plan.splitlines() if "Join" in line and ("p_partkey" in line or "o_custkey" in line)]
+    assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
