@@ -147,8 +147,9 @@ class Star:
         first_part = lines.groupBy("sample_id").agg(F.min("p_partkey").alias("p_partkey"))
         orders = self.table("orders").withColumnRenamed("o_orderkey", "sample_id")
         # Parts and customers grow with the orders but make small files, by whose size they would be broadcast.
+        # First parts are as many as the orders; while few they would be broadcast once their size is known.
         brands = self.table("part").select("p_partkey", "p_brand").hint("merge")
-        rows = orders.join(first_part, "sample_id").join(brands, "p_partkey").join(place.hint("merge"), "o_custkey")
+        rows = orders.join(first_part.hint("merge"), "sample_id").join(brands, "p_partkey").join(place.hint("merge"), "o_custkey")
         # Dealt out before the wide text columns are made.
         fields = self._dealt(rows.select("sample_id", "o_custkey", "r_name", "p_brand", "c_mktsegment", "o_orderstatus", "o_orderdate", "n_name", "o_orderpriority")).select(
             "sample_id",

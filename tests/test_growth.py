@@ -129,3 +129,8 @@ def test_samples_are_derived_without_a_broadcast_of_parts_or_customers(spark):
     plan = physical(Star(spark, SF)._derive_samples())
     joins = [line for line in plan.splitlines() if "Join" in line and ("p_partkey" in line or "o_custkey" in line)]
     assert len(joins) == 2 and all("SortMergeJoin" in line for line in joins)
+
+
+def test_samples_meet_their_first_parts_without_a_broadcast(spark):
+    joins = joins_by_sample(Star(spark, SF)._derive_samples())
+    assert len(joins) == 1 and "SortMergeJoin" in joins[0]
