@@ -144,18 +144,18 @@ class Star:
             .join(self.table("region"), F.col("n_regionkey") == F.col("r_regionkey"))
             .select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment", "n_name", "r_name")
         )
-        first_part = lines.groupBy("sample_id").agg(F.min("p_partkey").alias("p_partkey"))
-        orders = self.table("orders").withColumnRenamed("o_orderkey", "sample_id")
+        # Lines of an order lie apart: counted before the shuffle, the orders of a whole input split would be held in memory.
+        first_part = self._dealt(lines).groupBy("sample_id").agg(F.min("p_partkey").alias("p_partkey"))
         # Parts and customers grow with the orders but make small files, by whose size they would be broadcast.
-        # First parts are as many as the orders; while few they would be broadcast once their size is known.
-        brands = self.table("part").select("p_partkey", "p_brand").hint("merge")
-        rows = orders.join(first_part.hint("merge"), "sample_id").join(brands, "p_partkey").join(place.hint("merge"), "o_custkey")
+        # The narrow first parts travel to the brands, the orders only to their customers; both then meet in the buckets.
+        brands = self.table("part").select("p_partkey", F.col("p_brand").alias("chemical")).hint("merge")
+        chemicals = self._dealt(first_part.join(brands, "p_partkey").select("sample_id", "chemical"))
+        placed = self.table("orders").withColumnRenamed("o_orderkey", "sample_id").join(place.hint("merge"), "o_custkey")
         # Dealt out before the wide text columns are made.
-        fields = self._dealt(rows.select("sample_id", "o_custkey", "r_name", "p_brand", "c_mktsegment", "o_orderstatus", "o_orderdate", "n_name", "o_orderpriority")).select(
+        fields = self._dealt(placed.select("sample_id", "o_custkey", "r_name", "c_mktsegment", "o_orderstatus", "o_orderdate", "n_name", "o_orderpriority")).select(
             "sample_id",
             F.concat(F.lit("src"), (F.col("o_custkey") % 2).cast("string")).alias("data_source"),
             F.col("r_name").alias("strain"),
-            F.col("p_brand").alias("chemical"),
             F.col("c_mktsegment").alias("medium"),
             F.col("o_orderstatus").alias("temperature"),
             F.year("o_orderdate").cast("bigint").alias("pert_time"),
@@ -164,6 +164,8 @@ class Star:
             F.col("o_orderpriority").alias("instrument"),
             F.concat(F.lit("W"), (F.col("o_custkey") % 96).cast("string")).alias("well"),
         )
+        columns = ["sample_id", "data_source", "strain", "chemical", *fields.columns[3:]]
+        fields = fields.join(chemicals.hint("merge"), "sample_id").select(*columns)
         kind = row_kind("chemical", STAR_CONTROLS, STAR_QUALITY_CONTROLS)
         return (
             fields.withColumn("kind", kind)

@@ -134,3 +134,18 @@ def test_samples_are_derived_without_a_broadcast_of_parts_or_customers(spark):
 def test_samples_meet_their_first_parts_without_a_broadcast(spark):
     joins = joins_by_sample(Star(spark, SF)._derive_samples())
     assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
+def test_first_parts_are_counted_in_the_buckets(spark):
+    """Nothing is counted per input split, and the last join stays in the buckets whatever partitions the session asks for."""
+    star = Star(spark, SF)
+    default = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 50)
+        lines = [line.strip(" :+-") for line in physical(star._derive_samples()).splitlines()]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", default)
+    first = min(i for i, line in enumerate(lines) if "partial_min" in line)
+    dealt = [line for line in lines if "Exchange hashpartitioning(sample_id" in line]
+    assert lines[first + 1] in dealt and len(dealt) == 3
+    assert all(f", {star._buckets()}), REPARTITION_BY_NUM" in line for line in dealt)
