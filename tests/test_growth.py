@@ -149,3 +149,9 @@ def test_first_parts_are_counted_in_the_buckets(spark):
     dealt = [line for line in lines if "Exchange hashpartitioning(sample_id" in line]
     assert lines[first + 1] in dealt and len(dealt) == 3
     assert all(f", {star._buckets()}), REPARTITION_BY_NUM" in line for line in dealt)
+
+
+def test_orders_travel_wide_only_to_their_customers(spark):
+    plan = Star(spark, SF)._derive_samples()._jdf.queryExecution().optimizedPlan()
+    wide = [node for node in nodes(plan) if node.nodeName() == "Join" and "o_orderpriority" in node.output().mkString(" ")]
+    assert len(wide) == 1
