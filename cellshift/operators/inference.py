@@ -251,8 +251,9 @@ DRAW_BUCKET_DIGITS = 2
 def permuted_contingency(rows: DataFrame, key: str, source: str, targets: Sequence[str], draws: int, seed: object) -> DataFrame:
     """Contingency counts after shuffling the source labels, per draw (two hash orders joined by rank).
 
-    Costs draws x rows; :func:`split_contingency` draws the same null from the
-    margins alone and is the choice for large tables.  A repeated row carries one
+    Shuffles draws x rows: for small tables and for checking
+    :func:`~cellshift.operators.shuffled.permuted_counts`, which counts the same a few
+    draws at a time; :func:`split_contingency` draws the null from the margins alone.  A repeated row carries one
     number for its target levels, and the table of bucket counts, which may be
     broadcast, has at most 256 rows a draw.
     """

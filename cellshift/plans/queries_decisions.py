@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cellshift.functions.numbers import r6
-from cellshift.operators import inference, metrics, predict, selection
+from cellshift.operators import inference, metrics, predict, selection, shuffled
 from cellshift.operators.fingerprints import multiset_digest
 from cellshift.operators.grids import literal_rows
 from cellshift.plans.queries_metrics import rounded
@@ -16,7 +16,7 @@ from cellshift.plans.queries_models import GRID_METRICS, PARTS, WEIGHT_SQL, WEIG
 from cellshift.plans.registry import VIEWS, query, view
 from cellshift.plans.sqltext import digest_sum, pcc, r2, response
 from cellshift.plans.study import FOLDS, Study
-from cellshift.session import written
+from cellshift.session import shuffles_dropped, written
 from cellshift.sources.star import Star
 
 # Draws of the unit and cluster bootstraps, and of the promotion gate's entity bootstrap.
@@ -334,14 +334,16 @@ _NULL = "r6(observed) AS observed, r6(null_mean) AS null_mean, r6(null_p95) AS n
 
 def permutation_null(star: Star, counts: DataFrame) -> DataFrame:
     """Null of the mutual information of every target with the plate, from shuffled plate labels."""
-    drawn = inference.permuted_contingency(star.samples.select("sample_id", "plate", *TARGETS), "sample_id", "plate", TARGETS, PERMUTATIONS, 991)
-    null = inference.associations(written(drawn, "permuted-contingency"), ["draw", "target"])
+    drawn = shuffled.permuted_counts(star.samples.select("sample_id", "plate", *TARGETS), "sample_id", "plate", TARGETS, PERMUTATIONS, 991)
+    null = inference.associations(drawn, ["draw", "target"])
     return inference.null_summary(inference.associations(counts), null)
 
 
 @query("k12_permutation_null_by_ranks", f"SELECT target, {_NULL} FROM v_null")
 def k12(star: Star) -> DataFrame:
-    return rounded(permutation_null(star, written(plate_counts(star), "contingency")), ["target"])
+    # The samples may be made here; their shuffles go before the draws begin.
+    with shuffles_dropped(star.spark):
+        return rounded(permutation_null(star, written(plate_counts(star), "contingency")), ["target"])
 
 
 def split_null(counts: DataFrame) -> DataFrame:

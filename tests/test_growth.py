@@ -7,7 +7,7 @@ import hashlib
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from cellshift.operators import folds, inference
+from cellshift.operators import folds, inference, shuffled
 from cellshift.plans import queries_decisions, queries_models
 from cellshift.plans.study import Study
 from cellshift.sources.star import BUCKET_BYTES, Star
@@ -155,3 +155,50 @@ def test_orders_travel_wide_only_to_their_customers(spark):
     plan = Star(spark, SF)._derive_samples()._jdf.queryExecution().optimizedPlan()
     wide = [node for node in nodes(plan) if node.nodeName() == "Join" and "o_orderpriority" in node.output().mkString(" ")]
     assert len(wide) == 1
+
+
+def odd_rows(spark):
+    """Keys of one to two blocks of the digest, missing levels, many levels."""
+    i = F.col("id")
+    key = F.concat(F.when(i % 7 == 0, F.repeat(F.lit("long"), i.cast("int") % 40 + 1)).otherwise(F.lit("")), i.cast("string"))
+    return spark.range(1200).select(
+        key.alias("k"), F.when(i % 11 > 0, F.concat(F.lit("p"), i % 4)).alias("plate"), F.when(i % 5 > 0, F.concat(F.lit("\u00e9"), i % 3)).alias("a"), (i % 250).alias("b")
+    )
+
+
+def counted(counts) -> list:
+    return sorted(map(tuple, counts.select("draw", "target", "u", "v", "n").collect()))
+
+
+def test_batched_rank_null_counts_what_the_joined_one_counts(spark, monkeypatch):
+    """Also over several batches, slices and chunks, and where leading bits leave rows without an order."""
+    rows, how = odd_rows(spark), ("k", "plate", ["a", "b"], 5, 7)
+    want = counted(inference.permuted_contingency(rows, *how))
+    assert counted(shuffled.permuted_counts(rows, *how)) == want
+    for name, value in (("BATCH_ROWS", 3000), ("BATCH_DRAWS", 1), ("SLICE_ROWS", 400), ("CHUNK_ROWS", 500)):
+        monkeypatch.setattr(shuffled, name, value)
+    monkeypatch.setattr(shuffled, "_code_bits", lambda size: 46)
+    monkeypatch.setattr(shuffled, "EXPECTED_TIES", 1e9)
+    again, batches, tied = [], [], shuffled._tied
+    monkeypatch.setattr(shuffled, "_tied", lambda *args: (batches.append(len(args[2])), again.extend(ties := tied(*args)), ties)[2])
+    assert counted(shuffled.permuted_counts(rows, *how)) == want
+    assert again and max(batches) <= 2 and len(batches) >= 4
+
+
+def shuffle_bytes(spark) -> int:
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    total = 0
+    while files.hasNext():
+        file = files.next()
+        total += file.length() if file.getName().startswith("shuffle_") else 0
+    return total
+
+
+def test_rank_null_leaves_no_row_per_draw_on_disk(spark):
+    """Nothing of draws x rows is left to the driver's garbage collection; a row and draw takes over ten bytes."""
+    star = Star(spark, SF)
+    draws_x_rows = queries_decisions.PERMUTATIONS * star.samples.count()
+    before = shuffle_bytes(spark)
+    entry.queries()["k12_permutation_null_by_ranks"](spark, SF).collect()
+    assert shuffle_bytes(spark) - before < 2 * draws_x_rows
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
