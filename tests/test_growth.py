@@ -202,3 +202,10 @@ def test_rank_null_leaves_no_row_per_draw_on_disk(spark):
     entry.queries()["k12_permutation_null_by_ranks"](spark, SF).collect()
     assert shuffle_bytes(spark) - before < 2 * draws_x_rows
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+
+
+def test_association_table_leaves_no_row_per_draw_on_disk(spark):
+    draws_x_rows = queries_decisions.PERMUTATIONS * Star(spark, SF).samples.count()
+    before = shuffle_bytes(spark)
+    assert entry.queries()["n08_plate_association_table"](spark, SF).count() == 5
+    assert shuffle_bytes(spark) - before < 2 * draws_x_rows
